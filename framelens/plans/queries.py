@@ -29,13 +29,17 @@ class ArticlePlan:
 
     def __init__(self, spark: SparkSession, d: str, params: Params = DEFAULT):
         self.spark, self.d, self.params = spark, d, params
+        self._prep = None
 
     def raw(self) -> DataFrame:
         return views.articles(self.spark, self.d)
 
     def prep(self) -> DataFrame:
-        return topics.with_model_group(corpus.preprocess(self.raw(), params=self.params),
-                                       self.params)
+        """The ARTICLE table; cached because sizes, terms and frames all read it."""
+        if self._prep is None:
+            self._prep = topics.with_model_group(
+                corpus.preprocess(self.raw(), params=self.params), self.params).persist()
+        return self._prep
 
     def counts(self) -> DataFrame:
         return topics.term_counts(self.prep(), self.params)
@@ -177,3 +181,182 @@ QUERIES = {
     "annotation_gaps": q_annotation_gaps,
     "annotation_template": q_annotation_template,
 }
+
+
+# ---------------------------------------------------------------------------
+# Collection, recovery and scalar keys over the export / page views
+# ---------------------------------------------------------------------------
+from ..functions import scalars as S  # noqa: E402
+from ..functions.htmltext import extract_body  # noqa: E402
+from ..operators import collection as C  # noqa: E402
+
+DISCOVERY_KEYWORDS = ("4chan", "far right")
+LANG_NAMES_OF_SEGMENT = (("en", "English"), ("fr", "French"), ("es", "Spanish"), ("de", "German"))
+
+
+def _records(spark, d):
+    return C.normalize_records(views.media_export(spark, d), views.FIXTURE_OUTLETS)
+
+
+def _known(spark, d):
+    p = views.table(spark, d, "pages", "page_id")
+    return p.filter(F.col("page_id") % 3 != 0).select("url").distinct()
+
+
+def _live_corpus(spark, d):
+    """First collection pass: the known pages with their extracted bodies."""
+    recs = _records(spark, d).join(_known(spark, d), "url", "left_semi")
+    return C.with_bodies(recs, views.table(spark, d, "pages", "page_id"))
+
+
+def _ledger(spark, d):
+    return C.missing_ledger(_records(spark, d), _live_corpus(spark, d))
+
+
+def q_canon_domain(spark, d):
+    e = views.media_export(spark, d)
+    return e.select("id", "media_name", S.canon_domain("media_name").alias("domain"),
+                    S.canon_domain("url").alias("canon_url"))
+
+
+def q_url_slug(spark, d):
+    return views.media_export(spark, d).select("id", S.url_slug("url").alias("slug"))
+
+
+def q_url_host(spark, d):
+    return views.media_export(spark, d).select("id", S.url_host("url").alias("host"))
+
+
+def q_normalize_date(spark, d):
+    e = views.media_export(spark, d)
+    seen = F.concat(F.regexp_replace("publish_date", "-", ""), F.lit("T120000Z"))
+    return e.select("id", S.normalize_publish_date("publish_date").alias("date"),
+                    S.normalize_seendate(seen).alias("seen_date"),
+                    S.normalize_seendate(F.col("language")).alias("not_a_date"))
+
+
+def _language_name(segment):
+    out = None
+    for code, name in LANG_NAMES_OF_SEGMENT:
+        cond = F.col(segment) == code
+        out = F.when(cond, name) if out is None else out.when(cond, name)
+    return out.otherwise(F.col(segment))
+
+
+def q_lang_hint(spark, d):
+    e = views.media_export(spark, d)
+    return e.select("id", S.lang_hint(_language_name("language"),
+                                      C.outlet_default_lang("media_name", views.FIXTURE_OUTLETS))
+                    .alias("lang"))
+
+
+def q_keyword_query(spark, d):
+    doms = _records(spark, d).select("domain").distinct()
+    return C.discovery_plan(doms, DISCOVERY_KEYWORDS, "2017-01-01", "2025-12-31")
+
+
+def q_match_outlet(spark, d):
+    e = views.media_export(spark, d)
+    return e.select("id", "media_name",
+                    C.outlet_match("media_name", views.FIXTURE_OUTLETS).alias("source"))
+
+
+def q_normalize_records(spark, d):
+    return _records(spark, d)
+
+
+def _responses(spark, d):
+    """One landed discovery response (JSON text) per page of a configured outlet."""
+    e = views.media_export(spark, d, keep_html=True)
+    ords = None
+    for o in views.FIXTURE_OUTLETS:
+        dom = F.lit(C._canon_py(o[2]))
+        m = S.canon_domain("media_name")
+        cond = (F.length(m) > 0) & ((m == dom) | m.contains(dom) | dom.contains(m))
+        ords = F.when(cond, o[0]) if ords is None else ords.when(cond, o[0])
+    title = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
+    art = F.struct(F.col("url"), F.concat(F.lit("  "), title, F.lit(" ")).alias("title"),
+                   F.concat(F.regexp_replace("publish_date", "-", ""), F.lit("T120000Z"))
+                   .alias("seendate"),
+                   _language_name("language").alias("language"))
+    return (e.select("id", ords.alias("outlet_ord"),
+                                   F.to_json(F.struct(F.array(art).alias("articles")))
+                                   .alias("response"))
+             .filter(F.col("outlet_ord").isNotNull()))
+
+
+def q_ingest_artlist(spark, d):
+    return C.ingest_artlist(_responses(spark, d), views.FIXTURE_OUTLETS)
+
+
+def q_known_urls(spark, d):
+    return _known(spark, d)
+
+
+def q_todo_urls(spark, d):
+    return C.todo_urls(_records(spark, d), _known(spark, d)).select("url", "id")
+
+
+def q_extract_body(spark, d):
+    p = views.table(spark, d, "pages", "page_id")
+    return p.select("page_id", extract_body("html").alias("body"))
+
+
+def q_missing_ledger(spark, d):
+    return _ledger(spark, d)
+
+
+def q_nearest_snapshot(spark, d):
+    return C.nearest_snapshot(_ledger(spark, d), views.snapshot_index(spark, d))
+
+
+def q_fetch_schedule(spark, d):
+    req = C.page_requests(views.table(spark, d, "pages", "page_id"))
+    return C.fetch_schedule(req).select("seq", "host", "slot", "offset_s")
+
+
+def q_latest_per_outlet(spark, d):
+    return C.latest_per_outlet(_records(spark, d)).select("source", "url", "date", "rank")
+
+
+def q_collect_merge(spark, d):
+    merged = C.collect_merge(_records(spark, d), _live_corpus(spark, d),
+                             views.table(spark, d, "pages", "page_id"))
+    return merged.select("id", "url", "source", "lang", "date",
+                         F.length("body").alias("body_chars"))
+
+
+def q_recover_merge(spark, d):
+    merged, _ = C.recover_merge(_ledger(spark, d), _live_corpus(spark, d),
+                                views.snapshot_index(spark, d))
+    return merged.select("id", "url", "source", "date", F.length("body").alias("body_chars"),
+                         "retrieved_via")
+
+
+def q_still_missing(spark, d):
+    _, still = C.recover_merge(_ledger(spark, d), _live_corpus(spark, d),
+                               views.snapshot_index(spark, d))
+    return still
+
+
+QUERIES.update({
+    "canon_domain": q_canon_domain,
+    "url_slug": q_url_slug,
+    "url_host": q_url_host,
+    "normalize_date": q_normalize_date,
+    "lang_hint": q_lang_hint,
+    "discovery_plan": q_keyword_query,
+    "match_outlet": q_match_outlet,
+    "normalize_records": q_normalize_records,
+    "ingest_artlist": q_ingest_artlist,
+    "known_urls": q_known_urls,
+    "todo_urls": q_todo_urls,
+    "extract_body": q_extract_body,
+    "missing_ledger": q_missing_ledger,
+    "nearest_snapshot": q_nearest_snapshot,
+    "fetch_schedule": q_fetch_schedule,
+    "latest_per_outlet": q_latest_per_outlet,
+    "collect_merge": q_collect_merge,
+    "recover_merge": q_recover_merge,
+    "still_missing": q_still_missing,
+})

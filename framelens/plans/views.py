@@ -23,13 +23,25 @@ FIXTURE_OUTLETS = (
 )
 
 
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+def table(spark: SparkSession, d: str, name: str, key: str | None = None) -> DataFrame:
+    """Scan a table; spread it when the scan gives fewer tasks than cores.
+
+    A cluster-sized table already splits into many scan tasks and is left
+    alone; a small single-row-group file (tests, the bench) is hash-spread
+    on its key so the text-heavy stages that follow use every core.
+    """
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    if key is None:
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, key)
+    return df
 
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
     """Raw article records with stubs, duplicate urls/texts, null bodies, bad dates."""
-    doc = table(spark, d, "documents")
+    doc = table(spark, d, "documents", "doc_id")
     doc_id = F.col("doc_id")
     nl = F.instr(F.col("text"), "\n")
     return doc.select(
@@ -61,9 +73,10 @@ def outlets(spark: SparkSession, rows=FIXTURE_OUTLETS) -> DataFrame:
     return spark.createDataFrame(list(rows), "ord int, name string, domain string, lang string")
 
 
-def media_export(spark: SparkSession, d: str) -> DataFrame:
+def media_export(spark: SparkSession, d: str, keep_html: bool = False) -> DataFrame:
     """Metadata export shaped rows built from ``pages`` (no body)."""
-    p = table(spark, d, "pages")
+    p = table(spark, d, "pages", "page_id")
+    extra = [F.col("html")] if keep_html else []
     return p.select(
         F.col("page_id").cast("string").alias("id"),
         F.lit(None).cast("string").alias("indexed_date"),
@@ -76,12 +89,13 @@ def media_export(spark: SparkSession, d: str) -> DataFrame:
                       "yyyy-MM-dd").alias("publish_date"),
         F.lit(None).cast("string").alias("title"),
         F.col("url"),
+        *extra,
     )
 
 
 def snapshot_index(spark: SparkSession, d: str) -> DataFrame:
     """Three archive snapshots per page around its publish date."""
-    p = table(spark, d, "pages")
+    p = table(spark, d, "pages", "page_id")
     base = F.date_add(F.lit("2017-01-01").cast("date"), ((F.col("page_id") * 13) % 3400).cast("int"))
     k = F.col("k")
     return (
