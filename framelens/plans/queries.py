@@ -360,3 +360,24 @@ QUERIES.update({
     "recover_merge": q_recover_merge,
     "still_missing": q_still_missing,
 })
+
+
+# ---------------------------------------------------------------------------
+# Language identification
+# ---------------------------------------------------------------------------
+from ..operators import langid  # noqa: E402
+
+
+def language_model(spark, d):
+    """Profiles trained on the labelled half (even doc_id) of ``documents``."""
+    docs = views.table(spark, d, "documents", "doc_id")
+    return langid.train_profiles(docs.filter(F.col("doc_id") % 2 == 0), "doc_id", "text", "lang")
+
+
+def q_detect_language(spark, d):
+    docs = views.table(spark, d, "documents", "doc_id")
+    profile, consts = language_model(spark, d)
+    return langid.detect_language(docs, profile, consts, "doc_id", "text", "lang")
+
+
+QUERIES["detect_language"] = q_detect_language
