@@ -114,8 +114,8 @@ def topic_names(summary: DataFrame) -> DataFrame:
     return summary.select("model_group", F.col("topic_id").alias("topic"), "name")
 
 
-def representative_docs(docs: DataFrame, weights: DataFrame, params: Params = DEFAULT,
-                        key: str = "doc_id") -> DataFrame:
+def representative_docs(docs: DataFrame, counts: DataFrame, weights: DataFrame,
+                        params: Params = DEFAULT, key: str = "doc_id") -> DataFrame:
     """Top ``n`` documents per topic by cosine of their c-TF-IDF to the topic's.
 
     Every document of a topic is ranked (not a sample of it); the document's
@@ -123,9 +123,7 @@ def representative_docs(docs: DataFrame, weights: DataFrame, params: Params = DE
     """
     dt = doc_terms(docs, params, key)
     w = weights.select("model_group", "topic", "term", "weight")
-    idfs = weights.select("model_group", "term").distinct().join(
-        idf(weights.select("model_group", "topic", "term", "n")), ["model_group", "term"])
-    dv = dt.join(idfs, ["model_group", "term"])
+    dv = dt.join(idf(counts), ["model_group", "term"])
     dtot = dv.groupBy("model_group", key).agg(F.sum("n").alias("dtotal"))
     dv = dv.join(dtot, ["model_group", key]).withColumn(
         "dw", F.col("n") / F.col("dtotal") * F.col("idf"))
@@ -176,9 +174,7 @@ def topics_over_time(docs: DataFrame, counts: DataFrame, params: Params = DEFAUL
               .join(vocab_idf, ["model_group", "term"]))
     btot = bt.groupBy("model_group", "topic", "bin").agg(F.sum("n").alias("total"))
     bw = (bt.join(btot, ["model_group", "topic", "bin"])
-            .withColumn("weight", F.round(F.col("n") / F.col("total") * F.col("idf"), 9))
-            .withColumn("_tb", F.concat_ws("|", F.col("topic").cast("string"),
-                                           F.col("bin").cast("string"))))
+            .withColumn("weight", F.round(F.col("n") / F.col("total") * F.col("idf"), 9)))
     words = top_k_per_group(bw, ["model_group", "topic", "bin"],
                             [F.col("weight").desc(), F.col("term")], params.words_over_time,
                             unique="term", salt_buckets=params.hot_key_salt)

@@ -381,3 +381,24 @@ def q_detect_language(spark, d):
 
 
 QUERIES["detect_language"] = q_detect_language
+
+
+# ---------------------------------------------------------------------------
+# Topic keys that need the document table too
+# ---------------------------------------------------------------------------
+def q_topics_over_time(spark, d):
+    p = ArticlePlan(spark, d)
+    out = topics.topics_over_time(p.prep(), p.counts())
+    return out.select("model_group", "topic", "bin", F.col("bin_start").cast("string").alias("bin_start"),
+                      "frequency", "words")
+
+
+def q_representative_docs(spark, d):
+    p = ArticlePlan(spark, d)
+    out = topics.representative_docs(p.prep(), p.counts(), p.weights())
+    return rounded(out.select("model_group", "topic", "doc_id", "score", "rank", "source",
+                              F.col("date").cast("string").alias("date"), "title", "url"))
+
+
+QUERIES["topics_over_time"] = q_topics_over_time
+QUERIES["representative_docs"] = q_representative_docs
