@@ -402,3 +402,56 @@ def q_representative_docs(spark, d):
 
 QUERIES["topics_over_time"] = q_topics_over_time
 QUERIES["representative_docs"] = q_representative_docs
+
+
+# ---------------------------------------------------------------------------
+# Vectors, graph and clusters over the embeddings table
+# ---------------------------------------------------------------------------
+from ..operators import clustering as K  # noqa: E402
+
+
+def _vectors(spark, d):
+    return views.table(spark, d, "embeddings", "vec_id").select("vec_id", "embedding")
+
+
+def q_knn_graph(spark, d):
+    nodes = K.collapse_copies(_vectors(spark, d))
+    return K.eps_edges(nodes)
+
+
+def q_density_clusters(spark, d):
+    return K.density_clusters(_vectors(spark, d))
+
+
+def q_assign_topics(spark, d):
+    return rounded(K.assign_topics(_vectors(spark, d)))
+
+
+def q_topic_probability(spark, d):
+    v = _vectors(spark, d)
+    return rounded(K.topic_probability(v, K.density_clusters(v)))
+
+
+def q_reduce_dims(spark, d):
+    out = K.reduce_dims(_vectors(spark, d))
+    return out.select("vec_id", *[F.round(F.col("reduced")[i], 6).alias(f"c{i}") for i in range(5)])
+
+
+def q_embed_docs(spark, d):
+    docs = ArticlePlan(spark, d).prep()
+    out = K.embed_docs(docs)
+    from pyspark.ml.functions import vector_to_array
+    arr = vector_to_array("features")
+    return out.select("doc_id", F.size(F.filter(arr, lambda x: x != 0)).alias("nnz"),
+                      F.round(F.sqrt(F.aggregate(F.transform(arr, lambda x: x * x), F.lit(0.0),
+                                                 lambda a, b: a + b)), 6).alias("norm"))
+
+
+QUERIES.update({
+    "knn_graph": q_knn_graph,
+    "density_clusters": q_density_clusters,
+    "assign_topics": q_assign_topics,
+    "topic_probability": q_topic_probability,
+    "reduce_dims": q_reduce_dims,
+    "embed_docs": q_embed_docs,
+})
