@@ -455,3 +455,23 @@ QUERIES.update({
     "reduce_dims": q_reduce_dims,
     "embed_docs": q_embed_docs,
 })
+
+
+# ---------------------------------------------------------------------------
+# Streaming ingest over the pages table (one availableNow pass)
+# ---------------------------------------------------------------------------
+import uuid  # noqa: E402
+
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..streaming.ingest import incremental_ingest  # noqa: E402
+
+
+def q_incremental_ingest(spark, d):
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/ingest-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{d}/pages.parquet").schema
+    corpus = incremental_ingest(spark, f"{d}/pages*.parquet", f"{base}/corpus", f"{base}/state",
+                                fmt="parquet", schema=schema)
+    return corpus.select("url")
+
+
+QUERIES["incremental_ingest"] = q_incremental_ingest
