@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import ANNOTATION, EXPORT, MISSING, RAW_WITH_CORRUPT
+from ..schemas import ANNOTATION, EXPORT, MISSING, RAW
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
@@ -21,23 +21,20 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
 def read_raw(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Raw corpus (JSON Lines): (records, quarantined malformed lines).
 
-    Blank lines are skipped by the reader; a malformed line lands in the
-    quarantine frame rather than failing the job.
+    Blank lines are skipped; a malformed line lands in the quarantine frame
+    (column ``line``) rather than failing the job or vanishing silently.
     """
-    df = (spark.read.schema(RAW_WITH_CORRUPT).option("mode", "PERMISSIVE")
-               .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    good = df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    # (the url column is read too: Spark refuses a scan of the corrupt column alone)
-    bad = df.filter(F.col("_corrupt_record").isNotNull()).select("_corrupt_record", "url")
+    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
+    ok = F.try_parse_json("value").isNotNull()
+    good = lines.filter(ok).select(F.from_json("value", RAW).alias("r")).select("r.*")
+    bad = lines.filter(~ok).select(F.col("value").alias("line"))
     return good, bad
 
 
 def read_known_urls(spark: SparkSession, path: str) -> DataFrame:
     """Set of urls already collected; malformed lines and lines without url ignored."""
-    df = (spark.read.schema(RAW_WITH_CORRUPT).option("mode", "PERMISSIVE")
-               .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    return (df.filter(F.col("_corrupt_record").isNull() & F.col("url").isNotNull())
-              .select("url").distinct())
+    good, _ = read_raw(spark, path)
+    return good.filter(F.col("url").isNotNull()).select("url").distinct()
 
 
 def append_records(records: DataFrame, path: str, fmt: str = "json") -> None:
