@@ -23,12 +23,20 @@ ARTICLE_COLUMNS = ["id", "title", "body", "text", "date", "year", "source", "dom
 
 
 def clean_articles(raw: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Clean body and title, then compose ``text``."""
-    return (raw
-            .withColumn("body", clean_text("body", params.boilerplate))
-            .withColumn("title", clean_text(F.coalesce(F.col("title"), F.lit("")),
-                                            params.boilerplate))
-            .withColumn("text", compose_text("title", "body")))
+    """Clean body and title, then compose ``text``.
+
+    The cleaned values are produced by a one-element ``inline`` (a Generate
+    node): the optimizer does not inline generator output into later
+    filters and projections, so the regex cleaning runs once per row even
+    though the stub filter, ``text`` and the dedup digest all read it.
+    """
+    others = [c for c in raw.columns if c not in ("body", "title")]
+    cleaned = F.struct(clean_text("body", params.boilerplate).alias("body"),
+                       clean_text(F.coalesce(F.col("title"), F.lit("")),
+                                  params.boilerplate).alias("title"))
+    out = raw.select(*others, F.inline(F.array(cleaned)))
+    return (out.withColumn("text", compose_text("title", "body"))
+               .select(*raw.columns, "text"))
 
 
 def drop_stubs(df: DataFrame, params: Params = DEFAULT) -> DataFrame:

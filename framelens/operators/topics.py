@@ -9,7 +9,7 @@ split strategy, so the split strategy is a key, not a loop.
 from __future__ import annotations
 
 from pyspark.ml.feature import NGram, RegexTokenizer, StopWordsRemover
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stopwords import topic_stopwords
@@ -59,10 +59,11 @@ def term_counts(docs: DataFrame, params: Params = DEFAULT) -> DataFrame:
     counts = (toks.select("model_group", "topic", F.explode("terms").alias("term"))
                   .groupBy("model_group", "topic", "term")
                   .agg(F.count(F.lit(1)).alias("n")))
-    vocab = (counts.groupBy("model_group", "term").agg(F.count(F.lit(1)).alias("n_topics"))
-                   .filter(F.col("n_topics") >= params.min_df)
-                   .select("model_group", "term"))
-    return counts.join(vocab, ["model_group", "term"], "left_semi")
+    # topics per term: a window over the aggregated rows (at most one row per
+    # topic and term, so a term's window is bounded by the number of topics)
+    n_topics = F.count(F.lit(1)).over(Window.partitionBy("model_group", "term"))
+    return (counts.withColumn("_n_topics", n_topics)
+                  .filter(F.col("_n_topics") >= params.min_df).drop("_n_topics"))
 
 
 def idf(counts: DataFrame) -> DataFrame:

@@ -30,6 +30,8 @@ class ArticlePlan:
     def __init__(self, spark: SparkSession, d: str, params: Params = DEFAULT):
         self.spark, self.d, self.params = spark, d, params
         self._prep = None
+        self._counts = None
+        self._summary = None
 
     def raw(self) -> DataFrame:
         return views.articles(self.spark, self.d)
@@ -42,13 +44,19 @@ class ArticlePlan:
         return self._prep
 
     def counts(self) -> DataFrame:
-        return topics.term_counts(self.prep(), self.params)
+        """Topic x term counts: read three times by c-TF-IDF, so cached once."""
+        if self._counts is None:
+            self._counts = topics.term_counts(self.prep(), self.params).persist()
+        return self._counts
 
     def weights(self) -> DataFrame:
         return topics.ctfidf(self.counts())
 
     def summary(self) -> DataFrame:
-        return topics.topic_summary(self.prep(), self.weights(), self.params)
+        """Topic table (one row per topic): cached, every frame key joins it."""
+        if self._summary is None:
+            self._summary = topics.topic_summary(self.prep(), self.weights(), self.params).persist()
+        return self._summary
 
     def names(self) -> DataFrame:
         return frames.frame_names(topics.topic_names(self.summary()),
