@@ -12,10 +12,11 @@ epsilon graph. That cut is built here, as Spark jobs:
 2. the epsilon graph is found exactly with pivot partitioning: every node
    has a home cell (nearest of P pivots) and is replicated to each cell
    whose pivot is within ``d(x, home) + 2r``; by the triangle inequality
-   every pair within ``r`` meets in the home cell of one of its ends, so a
-   join on the cell id (with the exact cosine test as join condition)
-   finds all edges and each directed pair once. A hot cell is split by
-   AQE's skew-join handling;
+   every pair within ``r`` meets in the home cell of its larger end, so
+   comparing each cell's replicas with its homes finds every edge once.
+   Cells are cut into bounded chunks and compared block by block with
+   numpy matrix products (one block per row of a join), so a hot cell is
+   spread over many tasks;
 3. connected components by min-label propagation with pointer jumping,
    checkpointed each round into the shared checkpoint folder;
 4. components smaller than ``min_cluster_size`` (counting copies) become
@@ -119,23 +120,61 @@ def pivot_cells(nodes: DataFrame, pivots: np.ndarray, radius: float) -> DataFram
     return nodes.mapInPandas(assign, "node long, vec array<float>, weight long, cell int, home boolean")
 
 
-def eps_edges(nodes: DataFrame, params: Params = DEFAULT, n_pivots: int | None = None) -> DataFrame:
+def _block_edges(eps: float):
+    """mapInPandas body: exact cosines of one (replica chunk x home chunk) block."""
+    def run(batches):
+        for pdf in batches:
+            out_src, out_dst, out_cos = [], [], []
+            for rid, rvec, hid, hvec in zip(pdf["rid"], pdf["rvec"], pdf["hid"], pdf["hvec"]):
+                a = np.stack(rvec).astype(np.float64)
+                b = np.stack(hvec).astype(np.float64)
+                na = np.sqrt((a * a).sum(axis=1))
+                nb = np.sqrt((b * b).sum(axis=1))
+                cos = np.round((a @ b.T) / np.outer(na, nb), 6)
+                ra = np.asarray(rid)[:, None]
+                hb = np.asarray(hid)[None, :]
+                i, j = np.nonzero((cos >= eps) & (ra < hb))
+                out_src.append(np.asarray(rid)[i])
+                out_dst.append(np.asarray(hid)[j])
+                out_cos.append(cos[i, j])
+            if out_src:
+                yield pd.DataFrame({"src": np.concatenate(out_src).astype(np.int64),
+                                    "dst": np.concatenate(out_dst).astype(np.int64),
+                                    "cosine": np.concatenate(out_cos)})
+    return run
+
+
+def eps_edges(nodes: DataFrame, params: Params = DEFAULT, n_pivots: int = 32,
+              block: int = 256) -> DataFrame:
     """Undirected edges ``(src, dst, cosine)`` with src < dst and
-    ``round(cosine, 6) >= eps_cosine``; exact (no candidate cap)."""
+    ``round(cosine, 6) >= eps_cosine``; exact (no candidate cap).
+
+    Inside a cell, replicas and homes are cut into hash chunks of about
+    ``block`` rows; each (replica chunk, home chunk) pair is one row of a
+    join and one numpy matrix product, so work is spread over tasks and no
+    task holds more than two chunks, however large the cell.
+    """
     eps = params.eps_cosine
     # slack so that the rounding in the test can never drop a true edge
     radius = math.sqrt(max(0.0, 2.0 - 2.0 * (eps - 1e-6)))
-    if n_pivots is None:
-        n_pivots = 32
     pivots = _pick_pivots(nodes, n_pivots)
-    cells = pivot_cells(nodes, pivots, radius)
-    homes = cells.filter("home").select("cell", F.col("node").alias("dst"), F.col("vec").alias("vd"))
-    reps = cells.select("cell", F.col("node").alias("src"), F.col("vec").alias("vs"))
-    pairs = (reps.join(homes, "cell")
-                 .filter(F.col("src") < F.col("dst"))
-                 .select("src", "dst", F.round(cosine("vs", "vd"), 6).alias("cosine"))
-                 .filter(F.col("cosine") >= eps))
-    return pairs
+    cells = cut_lineage(pivot_cells(nodes, pivots, radius).drop("weight"))
+    sizes = cells.groupBy("cell").agg(
+        F.sum(F.col("home").cast("long")).alias("n_home"), F.count(F.lit(1)).alias("n_rep"))
+    chunked = (cells.join(sizes, "cell")
+                    .withColumn("hchunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("n_home") / block)))
+                    .withColumn("rchunk", F.pmod(F.xxhash64("node", F.lit(1)),
+                                                 F.ceil(F.col("n_rep") / block))))
+    homes = (chunked.filter("home").groupBy("cell", "hchunk")
+                    .agg(F.collect_list(F.struct("node", "vec")).alias("_h"))
+                    .select("cell", F.transform("_h", lambda x: x["node"]).alias("hid"),
+                            F.transform("_h", lambda x: x["vec"]).alias("hvec")))
+    reps = (chunked.groupBy("cell", "rchunk")
+                   .agg(F.collect_list(F.struct("node", "vec")).alias("_r"))
+                   .select("cell", F.transform("_r", lambda x: x["node"]).alias("rid"),
+                           F.transform("_r", lambda x: x["vec"]).alias("rvec")))
+    blocks = reps.join(homes, "cell").select("rid", "rvec", "hid", "hvec")
+    return blocks.mapInPandas(_block_edges(eps), "src long, dst long, cosine double")
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -150,6 +189,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
                  .unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))))
     both = cut_lineage(both)
     labels = cut_lineage(nodes.select("node", F.col("node").alias("label")))
+    # labels only ever decrease, so "some label changed" == "the sum dropped"
+    total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
     for _ in range(max_rounds):
         offers = (both.join(labels.withColumnRenamed("node", "b"), "b")
                       .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("offer")))
@@ -159,12 +200,11 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
                       .select(F.col("s.node").alias("node"),
                               F.least(F.col("s.label"), F.coalesce(F.col("t.label"), F.col("s.label")))
                               .alias("label")))
-        jumped = cut_lineage(jumped)
-        changed = (jumped.alias("n").join(labels.alias("o"), "node")
-                         .filter(F.col("n.label") != F.col("o.label")).limit(1).count())
-        labels = jumped
-        if changed == 0:
+        labels = cut_lineage(jumped)
+        new_total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        if new_total == total:
             return labels
+        total = new_total
     raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
 
 

@@ -53,11 +53,20 @@ def trigram_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def train_profiles(labelled: DataFrame, key: str = "doc_id", text: str = "text",
-                   label: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """(profile ``(lang, tri, logn)``, per-language constants ``(lang, prior, denom)``)."""
+                   label: str = "lang", doc_counts: DataFrame | None = None
+                   ) -> tuple[DataFrame, DataFrame]:
+    """(profile ``(lang, tri, logn)``, per-language constants ``(lang, prior, denom)``).
+
+    ``doc_counts`` (``(key, tri, c)``, e.g. computed once for all documents
+    and also used for scoring) avoids exploding the training texts twice.
+    """
     lab = labelled.filter(F.col(label).isNotNull())
-    counts = (exploded_trigrams(lab.withColumnRenamed(label, "lang"), ["lang"], text)
-                 .groupBy("lang", "tri").agg(F.count(F.lit(1)).alias("n")))
+    if doc_counts is None:
+        counts = (exploded_trigrams(lab.withColumnRenamed(label, "lang"), ["lang"], text)
+                     .groupBy("lang", "tri").agg(F.count(F.lit(1)).alias("n")))
+    else:
+        counts = (doc_counts.join(lab.select(key, F.col(label).alias("lang")), key)
+                            .groupBy("lang", "tri").agg(F.sum("c").alias("n")))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("N"))
     docs = lab.groupBy(F.col(label).alias("lang")).agg(F.count(F.lit(1)).alias("d"))
     # Vocabulary size V, split by the first language of each trigram so that
@@ -75,13 +84,14 @@ def train_profiles(labelled: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def detect_language(docs: DataFrame, profile: DataFrame, consts: DataFrame, key: str = "doc_id",
-                    text: str = "text", hint: str = "lang", params: Params = DEFAULT) -> DataFrame:
+                    text: str = "text", hint: str = "lang", params: Params = DEFAULT,
+                    doc_counts: DataFrame | None = None) -> DataFrame:
     """``(key, lang_detected, lang)``: the best language, and the accepted result.
 
     ``lang`` is the detected code if it is accepted (en/fr by default), else
     the row's hint; a text without trigrams gives the hint.
     """
-    tc = trigram_counts(docs, key, text)
+    tc = doc_counts if doc_counts is not None else trigram_counts(docs, key, text)
     partial = (tc.join(profile, "tri")
                  .groupBy(key, "lang").agg(F.sum(F.col("c") * F.col("logn")).alias("part")))
     sizes = tc.groupBy(key).agg(F.sum("c").alias("C"))

@@ -59,6 +59,17 @@ def term_counts(docs: DataFrame, params: Params = DEFAULT) -> DataFrame:
     counts = (toks.select("model_group", "topic", F.explode("terms").alias("term"))
                   .groupBy("model_group", "topic", "term")
                   .agg(F.count(F.lit(1)).alias("n")))
+    return min_df_filter(counts, params)
+
+
+def term_counts_from_docs(dterms: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Per-topic term counts from per-document counts (no second tokenisation)."""
+    counts = dterms.groupBy("model_group", "topic", "term").agg(F.sum("n").alias("n"))
+    return min_df_filter(counts, params)
+
+
+def min_df_filter(counts: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Keep terms that occur in at least ``min_df`` topics (class documents)."""
     # topics per term: a window over the aggregated rows (at most one row per
     # topic and term, so a term's window is bounded by the number of topics)
     n_topics = F.count(F.lit(1)).over(Window.partitionBy("model_group", "term"))
@@ -116,13 +127,14 @@ def topic_names(summary: DataFrame) -> DataFrame:
 
 
 def representative_docs(docs: DataFrame, counts: DataFrame, weights: DataFrame,
-                        params: Params = DEFAULT, key: str = "doc_id") -> DataFrame:
+                        params: Params = DEFAULT, key: str = "doc_id",
+                        dterms: DataFrame | None = None) -> DataFrame:
     """Top ``n`` documents per topic by cosine of their c-TF-IDF to the topic's.
 
     Every document of a topic is ranked (not a sample of it); the document's
     vector is its term shares over the topic vocabulary times the idf.
     """
-    dt = doc_terms(docs, params, key)
+    dt = dterms if dterms is not None else doc_terms(docs, params, key)
     w = weights.select("model_group", "topic", "term", "weight")
     dv = dt.join(idf(counts), ["model_group", "term"])
     dtot = dv.groupBy("model_group", key).agg(F.sum("n").alias("dtotal"))
@@ -141,7 +153,8 @@ def representative_docs(docs: DataFrame, counts: DataFrame, weights: DataFrame,
     return top.join(meta, ["model_group", key])
 
 
-def topics_over_time(docs: DataFrame, counts: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def topics_over_time(docs: DataFrame, counts: DataFrame, params: Params = DEFAULT,
+                     dterms: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """Per topic x equal-width time bin: frequency and top words.
 
     bins = min(max_time_bins, distinct years, >= 1) over the date range; words
@@ -168,11 +181,16 @@ def topics_over_time(docs: DataFrame, counts: DataFrame, params: Params = DEFAUL
     binned = binned.join(top_topics, ["model_group", "topic"], "left_semi")
     freq = binned.groupBy("model_group", "topic", "bin", "bin_start").agg(
         F.count(F.lit(1)).alias("frequency"))
-    toks = tokenize(binned, params=params)
     vocab_idf = idf(counts)
-    bt = (toks.select("model_group", "topic", "bin", F.explode("terms").alias("term"))
-              .groupBy("model_group", "topic", "bin", "term").agg(F.count(F.lit(1)).alias("n"))
-              .join(vocab_idf, ["model_group", "term"]))
+    if dterms is None:
+        toks = tokenize(binned, params=params)
+        per_bin = (toks.select("model_group", "topic", "bin", F.explode("terms").alias("term"))
+                       .groupBy("model_group", "topic", "bin", "term")
+                       .agg(F.count(F.lit(1)).alias("n")))
+    else:
+        per_bin = (dterms.join(binned.select("model_group", key, "bin"), ["model_group", key])
+                         .groupBy("model_group", "topic", "bin", "term").agg(F.sum("n").alias("n")))
+    bt = per_bin.join(vocab_idf, ["model_group", "term"])
     btot = bt.groupBy("model_group", "topic", "bin").agg(F.sum("n").alias("total"))
     bw = (bt.join(btot, ["model_group", "topic", "bin"])
             .withColumn("weight", F.round(F.col("n") / F.col("total") * F.col("idf"), 9)))

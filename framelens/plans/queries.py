@@ -32,6 +32,7 @@ class ArticlePlan:
         self._prep = None
         self._counts = None
         self._summary = None
+        self._dterms = None
 
     def raw(self) -> DataFrame:
         return views.articles(self.spark, self.d)
@@ -43,10 +44,16 @@ class ArticlePlan:
                 corpus.preprocess(self.raw(), params=self.params), self.params).persist()
         return self._prep
 
+    def dterms(self) -> DataFrame:
+        """Document x term counts: the only tokenisation pass, cached."""
+        if self._dterms is None:
+            self._dterms = topics.doc_terms(self.prep(), self.params).persist()
+        return self._dterms
+
     def counts(self) -> DataFrame:
         """Topic x term counts: read three times by c-TF-IDF, so cached once."""
         if self._counts is None:
-            self._counts = topics.term_counts(self.prep(), self.params).persist()
+            self._counts = topics.term_counts_from_docs(self.dterms(), self.params).persist()
         return self._counts
 
     def weights(self) -> DataFrame:
@@ -384,8 +391,10 @@ def language_model(spark, d):
 
 def q_detect_language(spark, d):
     docs = views.table(spark, d, "documents", "doc_id")
-    profile, consts = language_model(spark, d)
-    return langid.detect_language(docs, profile, consts, "doc_id", "text", "lang")
+    tc = langid.trigram_counts(docs, "doc_id").persist()
+    profile, consts = langid.train_profiles(docs.filter(F.col("doc_id") % 2 == 0), "doc_id",
+                                            "text", "lang", doc_counts=tc)
+    return langid.detect_language(docs, profile, consts, "doc_id", "text", "lang", doc_counts=tc)
 
 
 QUERIES["detect_language"] = q_detect_language
@@ -396,14 +405,14 @@ QUERIES["detect_language"] = q_detect_language
 # ---------------------------------------------------------------------------
 def q_topics_over_time(spark, d):
     p = ArticlePlan(spark, d)
-    out = topics.topics_over_time(p.prep(), p.counts())
+    out = topics.topics_over_time(p.prep(), p.counts(), dterms=p.dterms())
     return out.select("model_group", "topic", "bin", F.col("bin_start").cast("string").alias("bin_start"),
                       "frequency", "words")
 
 
 def q_representative_docs(spark, d):
     p = ArticlePlan(spark, d)
-    out = topics.representative_docs(p.prep(), p.counts(), p.weights())
+    out = topics.representative_docs(p.prep(), p.counts(), p.weights(), dterms=p.dterms())
     return rounded(out.select("model_group", "topic", "doc_id", "score", "rank", "source",
                               F.col("date").cast("string").alias("date"), "title", "url"))
 
