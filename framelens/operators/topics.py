@@ -132,21 +132,24 @@ def representative_docs(docs: DataFrame, counts: DataFrame, weights: DataFrame,
     """Top ``n`` documents per topic by cosine of their c-TF-IDF to the topic's.
 
     Every document of a topic is ranked (not a sample of it); the document's
-    vector is its term shares over the topic vocabulary times the idf.
+    vector is its term counts over the vocabulary times the idf.
     """
     dt = dterms if dterms is not None else doc_terms(docs, params, key)
-    w = weights.select("model_group", "topic", "term", "weight")
-    dv = dt.join(idf(counts), ["model_group", "term"])
-    dtot = dv.groupBy("model_group", key).agg(F.sum("n").alias("dtotal"))
-    dv = dv.join(dtot, ["model_group", key]).withColumn(
-        "dw", F.col("n") / F.col("dtotal") * F.col("idf"))
-    dnorm = dv.groupBy("model_group", key).agg(F.sqrt(F.sum(F.col("dw") ** 2)).alias("dnorm"))
-    tnorm = w.groupBy("model_group", "topic").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("tnorm"))
-    dots = (dv.join(w, ["model_group", "topic", "term"])
-              .groupBy("model_group", "topic", key).agg(F.sum(F.col("dw") * F.col("weight")).alias("dot")))
-    scored = (dots.join(dnorm, ["model_group", key]).join(tnorm, ["model_group", "topic"])
-                  .select("model_group", "topic", key,
-                          F.round(F.col("dot") / (F.col("dnorm") * F.col("tnorm")), 9).alias("score")))
+    # Every vocabulary term of a document of topic T has a weight in T, so one
+    # join on (model_group, topic, term) brings both idf and topic weight, and
+    # one aggregation per document gives the cosine (the document's term
+    # total cancels out of it).
+    w = weights.join(idf(counts), ["model_group", "term"]).select(
+        "model_group", "topic", "term", "weight", "idf")
+    tnorm = w.groupBy("model_group", "topic").agg(
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("tnorm"))
+    x = F.col("n") * F.col("idf")
+    per_doc = (dt.join(w, ["model_group", "topic", "term"])
+                 .groupBy("model_group", "topic", key)
+                 .agg(F.sum(x * F.col("weight")).alias("dot"), F.sqrt(F.sum(x * x)).alias("dnorm")))
+    scored = (per_doc.join(tnorm, ["model_group", "topic"])
+                     .select("model_group", "topic", key,
+                             F.round(F.col("dot") / (F.col("dnorm") * F.col("tnorm")), 9).alias("score")))
     top = top_k_per_group(scored, ["model_group", "topic"], [F.col("score").desc(), F.col(key)],
                           params.representative_docs, unique=key, salt_buckets=params.hot_key_salt)
     meta = with_model_group(docs, params).select("model_group", key, "source", "date", "title", "url")
