@@ -206,3 +206,73 @@ def topics_over_time(docs: DataFrame, counts: DataFrame, params: Params = DEFAUL
                        F.array_join(F.transform("_w", lambda x: x["term"]), ", ").alias("words")))
     return freq.join(wl, ["model_group", "topic", "bin"], "left").withColumn(
         "words", F.coalesce(F.col("words"), F.lit("")))
+
+
+def reduce_topics(docs: DataFrame, counts: DataFrame, nr_topics: int,
+                  params: Params = DEFAULT) -> DataFrame:
+    """``(model_group, topic, new_topic)`` after merging down to ``nr_topics``.
+
+    Repeatedly, in every model group with too many topics, the two most
+    similar topics (cosine of their c-TF-IDF vectors; ties by ids) merge, the
+    smaller into the larger; then topics are renumbered 0.. by size. The
+    loop runs on the small topic tables; one row per group is read back per
+    round. The similarity is a sparse product joined on the term, whose
+    groups hold at most one row per topic.
+    """
+    from ..session import cut_lineage
+
+    d = with_model_group(docs, params)
+    mapping = d.select("model_group", "topic").distinct().withColumn("new_topic", F.col("topic"))
+    mapping = cut_lineage(mapping)
+    doc_sizes = d.groupBy("model_group", "topic").agg(F.count(F.lit(1)).alias("size"))
+    while True:
+        sizes = (doc_sizes.join(mapping, ["model_group", "topic"])
+                          .groupBy("model_group", "new_topic").agg(F.sum("size").alias("size")))
+        groups = (sizes.filter(F.col("new_topic") != -1).groupBy("model_group")
+                       .agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > nr_topics))
+        if groups.isEmpty():
+            break
+        merged = (counts.join(mapping, ["model_group", "topic"])
+                        .groupBy("model_group", F.col("new_topic").alias("topic"), "term")
+                        .agg(F.sum("n").alias("n")))
+        w = ctfidf(merged).filter(F.col("topic") != -1).join(groups.select("model_group"),
+                                                              "model_group")
+        norms = w.groupBy("model_group", "topic").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("nrm"))
+        a, b = w.alias("a"), w.alias("b")
+        dots = (a.join(b, (F.col("a.model_group") == F.col("b.model_group"))
+                       & (F.col("a.term") == F.col("b.term")) & (F.col("a.topic") < F.col("b.topic")))
+                 .groupBy(F.col("a.model_group").alias("model_group"), F.col("a.topic").alias("t1"),
+                          F.col("b.topic").alias("t2"))
+                 .agg(F.sum(F.col("a.weight") * F.col("b.weight")).alias("dot")))
+        n1 = norms.select("model_group", F.col("topic").alias("t1"), F.col("nrm").alias("n1"))
+        n2 = norms.select("model_group", F.col("topic").alias("t2"), F.col("nrm").alias("n2"))
+        sims = (dots.join(n1, ["model_group", "t1"]).join(n2, ["model_group", "t2"])
+                    .select("model_group", "t1", "t2",
+                            F.round(F.col("dot") / (F.col("n1") * F.col("n2")), 12).alias("sim")))
+        best = sims.groupBy("model_group").agg(
+            F.max_by(F.struct("t1", "t2"), F.struct("sim", -F.col("t1"), -F.col("t2"))).alias("p"))
+        s1 = sizes.select("model_group", F.col("new_topic").alias("t1"), F.col("size").alias("s1"))
+        s2 = sizes.select("model_group", F.col("new_topic").alias("t2"), F.col("size").alias("s2"))
+        moves = (best.select("model_group", "p.t1", "p.t2").join(s1, ["model_group", "t1"])
+                     .join(s2, ["model_group", "t2"])
+                     .select("model_group",
+                             F.when(F.col("s1") < F.col("s2"), F.col("t1")).otherwise(F.col("t2"))
+                             .alias("from_t"),
+                             F.when(F.col("s1") < F.col("s2"), F.col("t2")).otherwise(F.col("t1"))
+                             .alias("to_t")))
+        if moves.isEmpty():   # no two topics share a term: nothing left to merge
+            break
+        mapping = cut_lineage(
+            mapping.join(moves, (mapping.model_group == moves.model_group)
+                         & (mapping.new_topic == moves.from_t), "left")
+                   .select(mapping.model_group, "topic",
+                           F.coalesce("to_t", "new_topic").alias("new_topic")))
+    sizes = (doc_sizes.join(mapping, ["model_group", "topic"])
+                      .groupBy("model_group", "new_topic").agg(F.sum("size").alias("size")))
+    order = Window.partitionBy("model_group").orderBy(F.col("size").desc(), F.col("new_topic"))
+    renum = (sizes.filter(F.col("new_topic") != -1)
+                  .withColumn("final", (F.row_number().over(order) - 1).cast("int")))
+    return (mapping.join(renum.select("model_group", "new_topic", "final"),
+                         ["model_group", "new_topic"], "left")
+                   .select("model_group", "topic",
+                           F.coalesce("final", F.lit(-1)).alias("new_topic")))
