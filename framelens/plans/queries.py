@@ -492,3 +492,17 @@ def q_incremental_ingest(spark, d):
 
 
 QUERIES["incremental_ingest"] = q_incremental_ingest
+
+
+# ---------------------------------------------------------------------------
+# Whole preprocessing with language identification, and topic reduction
+# ---------------------------------------------------------------------------
+from .pipeline import preprocess_with_detection  # noqa: E402
+
+
+def q_preprocess_detect(spark, d):
+    return preprocess_with_detection(spark, d).select(
+        "doc_id", "lang", F.col("date").cast("string").alias("date"), "year", "url")
+
+
+QUERIES["preprocess_detect"] = q_preprocess_detect
