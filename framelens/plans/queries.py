@@ -506,3 +506,12 @@ def q_preprocess_detect(spark, d):
 
 
 QUERIES["preprocess_detect"] = q_preprocess_detect
+
+
+def q_collection_status(spark, d):
+    merged, still = C.recover_merge(_ledger(spark, d), _live_corpus(spark, d),
+                                    views.snapshot_index(spark, d))
+    return C.collection_status(merged, still)
+
+
+QUERIES["collection_status"] = q_collection_status
