@@ -276,3 +276,15 @@ def reduce_topics(docs: DataFrame, counts: DataFrame, nr_topics: int,
                          ["model_group", "new_topic"], "left")
                    .select("model_group", "topic",
                            F.coalesce("final", F.lit(-1)).alias("new_topic")))
+
+
+def topic_word_weights(summary: DataFrame, weights: DataFrame, top_n_topics: int = 8,
+                       params: Params = DEFAULT) -> DataFrame:
+    """Word -> weight of the keywords of the ``top_n_topics`` largest
+    non-outlier topics (the table behind the word clouds)."""
+    big = top_k_per_group(summary.filter(F.col("topic_id") != -1), ["model_group"],
+                          [F.col("count").desc(), F.col("topic_id")], top_n_topics,
+                          unique="topic_id", salt_buckets=params.hot_key_salt, rank_col="topic_rank")
+    kw = topic_keywords(weights, params.keywords_per_topic, params)
+    return kw.join(big.select("model_group", F.col("topic_id").alias("topic"), "topic_rank"),
+                   ["model_group", "topic"])

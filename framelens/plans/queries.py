@@ -515,3 +515,12 @@ def q_collection_status(spark, d):
 
 
 QUERIES["collection_status"] = q_collection_status
+
+
+def q_wordcloud_weights(spark, d):
+    p = ArticlePlan(spark, d)
+    return rounded(topics.topic_word_weights(p.summary(), p.weights())
+                   .select("model_group", "topic", "topic_rank", "rank", "term", "weight"))
+
+
+QUERIES["wordcloud_weights"] = q_wordcloud_weights

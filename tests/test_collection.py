@@ -111,3 +111,31 @@ def test_streaming_ingest_each_url_once(spark, tmpdir_path):
     assert sorted(r["url"] for r in out.collect()) == ["u1", "u2"]
     # a rerun with nothing new changes nothing
     assert incremental_ingest(spark, src, corpus, ckpt).count() == 2
+
+
+def test_export_scan_multiline_quotes_and_normalize(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "export.csv")
+    with open(path, "w") as fh:
+        fh.write('id,indexed_date,language,media_name,media_url,publish_date,title,url\n'
+                 '1,x,en,www.cbc.ca,,2017-10-04 12:00:00,"A ""quoted""\nline",http://www.cbc.ca/a/b/\n'
+                 ',x,fr,lapresse.ca,,2018-01-02,T2,https://www.lapresse.ca/c/d-1\n'
+                 '3,x,en,other.org,,2019-05-06,T3,   \n')
+    exp = files.read_export(spark, path)
+    assert exp.count() == 3
+    outlets = [(0, "CBC News", "cbc.ca", "en"), (1, "La Presse", "lapresse.ca", "fr")]
+    recs = {r["url"]: r for r in C.normalize_records(exp, outlets).collect()}
+    assert set(recs) == {"http://www.cbc.ca/a/b/", "https://www.lapresse.ca/c/d-1"}
+    a = recs["http://www.cbc.ca/a/b/"]
+    assert a["title"] == 'A "quoted"\nline' and a["date"] == "2017-10-04"
+    assert a["source"] == "CBC News" and a["domain"] == "cbc.ca" and a["id"] == "1"
+    b = recs["https://www.lapresse.ca/c/d-1"]
+    assert b["id"] == "d-1" and b["source"] == "La Presse"
+
+
+def test_append_sink_keeps_existing(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "raw")
+    df = spark.createDataFrame([("1", "u1")], "id string, url string")
+    files.append_records(df, path)
+    files.append_records(spark.createDataFrame([("2", "u2")], "id string, url string"), path)
+    good, bad = files.read_raw(spark, path)
+    assert sorted(r["url"] for r in good.collect()) == ["u1", "u2"] and bad.count() == 0
