@@ -15,9 +15,16 @@ from pyspark.sql import functions as F
 from ..schemas import RAW_WITH_CORRUPT
 
 
-def _corpus_urls(spark: SparkSession, corpus_path: str) -> DataFrame | None:
+URL_BUCKETS = 256
+
+
+def url_bucket(col: str = "url"):
+    return F.pmod(F.xxhash64(F.col(col)), F.lit(URL_BUCKETS)).cast("int")
+
+
+def _corpus(spark: SparkSession, corpus_path: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(corpus_path).select("url")
+        return spark.read.parquet(corpus_path)
     except Exception:  # noqa: BLE001 - no corpus yet
         return None
 
@@ -26,12 +33,15 @@ def merge_batch(corpus_path: str):
     def merge(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         fresh = (batch.filter(F.col("url").isNotNull())
-                      .drop("_corrupt_record", "_order")
-                      .dropDuplicates(["url"]))
-        known = _corpus_urls(spark, corpus_path)
-        if known is not None:
-            fresh = fresh.join(known, "url", "left_anti")
-        fresh.write.mode("append").parquet(corpus_path)
+                      .drop("_corrupt_record")
+                      .dropDuplicates(["url"])
+                      .withColumn("url_bucket", url_bucket()))
+        corpus = _corpus(spark, corpus_path)
+        if corpus is not None:
+            keys = fresh.select("url_bucket", "url")
+            seen = corpus.select("url_bucket", "url").join(keys, ["url_bucket", "url"], "left_semi")
+            fresh = fresh.join(seen, ["url_bucket", "url"], "left_anti")
+        fresh.write.mode("append").partitionBy("url_bucket").parquet(corpus_path)
     return merge
 
 
@@ -55,4 +65,4 @@ def incremental_ingest(spark: SparkSession, source_dir: str, corpus_path: str, c
     """Run one ``availableNow`` pass and return the corpus."""
     q = start_ingest(spark, source_dir, corpus_path, checkpoint, fmt, schema)
     q.awaitTermination()
-    return spark.read.parquet(corpus_path)
+    return spark.read.parquet(corpus_path).drop("url_bucket")
