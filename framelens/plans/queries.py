@@ -51,9 +51,18 @@ class ArticlePlan:
         return self._dterms
 
     def counts(self) -> DataFrame:
-        """Topic x term counts: read three times by c-TF-IDF, so cached once."""
+        """Topic x term counts: read three times by c-TF-IDF, so cached once.
+
+        Derived from the document x term table when a document-level key has
+        already asked for it (one tokenisation); otherwise aggregated straight
+        to topics, which is a smaller aggregation.
+        """
         if self._counts is None:
-            self._counts = topics.term_counts_from_docs(self.dterms(), self.params).persist()
+            if self._dterms is not None:
+                c = topics.term_counts_from_docs(self._dterms, self.params)
+            else:
+                c = topics.term_counts(self.prep(), self.params)
+            self._counts = c.persist()
         return self._counts
 
     def weights(self) -> DataFrame:
@@ -405,14 +414,16 @@ QUERIES["detect_language"] = q_detect_language
 # ---------------------------------------------------------------------------
 def q_topics_over_time(spark, d):
     p = ArticlePlan(spark, d)
-    out = topics.topics_over_time(p.prep(), p.counts(), dterms=p.dterms())
+    dterms = p.dterms()
+    out = topics.topics_over_time(p.prep(), p.counts(), dterms=dterms)
     return out.select("model_group", "topic", "bin", F.col("bin_start").cast("string").alias("bin_start"),
                       "frequency", "words")
 
 
 def q_representative_docs(spark, d):
     p = ArticlePlan(spark, d)
-    out = topics.representative_docs(p.prep(), p.counts(), p.weights(), dterms=p.dterms())
+    dterms = p.dterms()
+    out = topics.representative_docs(p.prep(), p.counts(), p.weights(), dterms=dterms)
     return rounded(out.select("model_group", "topic", "doc_id", "score", "rank", "source",
                               F.col("date").cast("string").alias("date"), "title", "url"))
 
