@@ -303,3 +303,113 @@ def assign_topics(vectors: DataFrame, key: str = "vec_id", col: str = "embedding
     return (topics.join(prob, [key, "topic"], "left")
                   .select(F.lit("all").alias("model_group"), key, "topic",
                           F.coalesce("probability", F.lit(0.0)).alias("probability")))
+
+
+def stable_clusters(vectors: DataFrame, key: str = "vec_id", col: str = "embedding",
+                    params: Params = DEFAULT, levels: int = 8) -> DataFrame:
+    """``(key, topic)`` by stability selection over several epsilon levels.
+
+    The second step of the density clustering: components of the epsilon
+    graph are computed at ``levels`` similarity thresholds from ``eps_cosine``
+    up to the largest edge similarity. Clusters (components of at least
+    ``min_cluster_size``) form a tree by containment; a cluster with a single
+    child cluster continues as the same cluster (points fall off), two or
+    more children are a split. A cluster's stability is the sum over the
+    levels it lives through of its size times the level step. Going up from
+    the tightest level, a cluster is kept when its stability is at least the
+    summed value of its descendants (excess of mass); the kept clusters
+    nearest to the roots label all their points, others are -1.
+
+    Every table in the loops has one row per cluster and level; the loops run
+    over levels, not over rows.
+    """
+    spark = vectors.sparkSession
+    eps = params.eps_cosine
+    nodes = cut_lineage(collapse_copies(vectors, key, col))
+    edges = cut_lineage(eps_edges(nodes, params))
+    top = edges.agg(F.max("cosine")).first()[0]
+    members = node_members(vectors, key, col)
+    if top is None:
+        return members.select(key, F.lit(-1).alias("topic"))
+    lam = [eps + j * (top - eps) / levels for j in range(levels)] + [top]
+    per_level = None
+    for j in range(levels):
+        lj = connected_components(nodes.select("node"), edges.filter(F.col("cosine") >= lam[j]))
+        lj = lj.withColumn("level", F.lit(j))
+        per_level = lj if per_level is None else per_level.unionByName(lj)
+    labels = cut_lineage(per_level)                                   # (node, label, level)
+    steps = spark.createDataFrame([(j, float(lam[j + 1] - lam[j])) for j in range(levels)],
+                                  "level int, dlam double")
+    clusters = cut_lineage(
+        labels.join(nodes.select("node", "weight"), "node")
+              .groupBy("level", "label").agg(F.sum("weight").alias("size"))
+              .filter(F.col("size") >= params.min_cluster_size)
+              .join(steps, "level")
+              .withColumn("stab", F.col("size") * F.col("dlam")).drop("dlam"))
+    up = labels.select(F.col("level").alias("plevel"), F.col("node").alias("label"),
+                       F.col("label").alias("parent"))
+    linked = (clusters.withColumn("plevel", F.col("level") - 1)
+                      .join(up, ["plevel", "label"], "left"))        # parent label at level-1
+    nchild = (linked.filter(F.col("parent").isNotNull())
+                    .groupBy("plevel", "parent").agg(F.count(F.lit(1)).alias("nchild")))
+    linked = cut_lineage(linked.join(
+        nchild.select(F.col("plevel").alias("_pl"), F.col("parent").alias("_p"), "nchild"),
+        (F.col("plevel") == F.col("_pl")) & (F.col("parent") == F.col("_p")), "left")
+        .drop("_pl", "_p"))
+    # chain ids: a lone child continues its parent's chain
+    chain = linked.filter(F.col("level") == 0).select(
+        "level", "label", F.struct(F.col("level"), F.col("label")).alias("chain"))
+    for j in range(1, levels):
+        prev = chain.filter(F.col("level") == j - 1).select(
+            F.col("label").alias("parent"), F.col("chain").alias("pchain"))
+        cur = (linked.filter(F.col("level") == j).join(prev, "parent", "left")
+                     .select("level", "label",
+                             F.when((F.col("nchild") == 1) & F.col("pchain").isNotNull(),
+                                    F.col("pchain"))
+                              .otherwise(F.struct(F.col("level"), F.col("label"))).alias("chain")))
+        chain = cut_lineage(chain.unionByName(cur))
+    nodes_c = linked.join(chain, ["level", "label"])
+    chains = nodes_c.groupBy("chain").agg(F.sum("stab").alias("stab"))
+    births = nodes_c.filter(F.struct("level", "label") == F.col("chain"))
+    pchain_of = chain.select(F.col("level").alias("plevel"), F.col("label").alias("parent"),
+                             F.col("chain").alias("pchain"))
+    tree = cut_lineage(births.join(pchain_of, ["plevel", "parent"], "left")
+                             .select("chain", F.col("size").alias("birth_size"), "pchain")
+                             .join(chains, "chain"))
+    # excess of mass, bottom-up by birth level
+    value = None
+    for j in range(levels - 1, -1, -1):
+        here = tree.filter(F.col("chain.level") == j)
+        if value is not None:
+            kids = value.groupBy(F.col("pchain").alias("chain")).agg(F.sum("value").alias("kids"))
+            here = here.join(kids, "chain", "left")
+        else:
+            here = here.withColumn("kids", F.lit(None).cast("double"))
+        here = here.select("chain", "pchain", "birth_size", "stab",
+                           (F.col("stab") >= F.coalesce("kids", F.lit(0.0))).alias("keep"),
+                           F.greatest("stab", F.coalesce("kids", F.lit(0.0))).alias("value"))
+        value = here if value is None else cut_lineage(value.unionByName(here))
+    # top-down: a kept chain under a kept ancestor is absorbed by the ancestor
+    chosen = None
+    frontier_blocked = None
+    for j in range(levels):
+        here = value.filter(F.col("chain.level") == j)
+        if frontier_blocked is not None:
+            here = here.join(frontier_blocked, "pchain", "left")
+        else:
+            here = here.withColumn("pblocked", F.lit(False))
+        here = here.withColumn("pblocked", F.coalesce("pblocked", F.lit(False)))
+        sel = here.withColumn("final", F.col("keep") & ~F.col("pblocked"))
+        blocked = sel.select(F.col("chain").alias("pchain"),
+                             (F.col("pblocked") | F.col("final")).alias("pblocked"))
+        frontier_blocked = blocked if frontier_blocked is None else cut_lineage(
+            frontier_blocked.unionByName(blocked))
+        picked = sel.filter("final").select("chain", "birth_size")
+        chosen = picked if chosen is None else chosen.unionByName(picked)
+    cid = F.col("chain.label") * levels + F.col("chain.level")     # numeric chain id
+    numbered = rank_by_size(chosen.select(cid.alias("label"), F.col("birth_size").alias("size")))
+    point = (labels.withColumn("cid", F.col("label") * levels + F.col("level"))
+                   .join(numbered.select(F.col("label").alias("cid"), "topic"), "cid")
+                   .select("node", "topic"))
+    return (members.join(point, "node", "left")
+                   .select(key, F.coalesce("topic", F.lit(-1)).alias("topic")))

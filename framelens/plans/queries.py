@@ -535,3 +535,10 @@ def q_wordcloud_weights(spark, d):
 
 
 QUERIES["wordcloud_weights"] = q_wordcloud_weights
+
+
+def q_stable_clusters(spark, d):
+    return K.stable_clusters(_vectors(spark, d))
+
+
+QUERIES["stable_clusters"] = q_stable_clusters

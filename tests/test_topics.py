@@ -111,3 +111,33 @@ def test_model_tables_round_trip(spark, tmpdir_path):
     assert back["topic_info"].count() == 22
     assert back["assignments"].count() == 761
     assert back["term_weights"].count() == p.weights().count()
+
+
+def test_stable_clusters_refine_flat_cut(spark):
+    rng = np.random.default_rng(3)
+    rows, vid = [], 0
+    base, off = rng.normal(size=16), rng.normal(size=16)
+    for h in range(2):                       # one loose cluster of two tight halves
+        for _ in range(10):
+            rows.append((vid, (base + 0.25 * h * off + 0.01 * rng.normal(size=16)).tolist()))
+            vid += 1
+    for c in range(2):                       # two separate clusters
+        centre = rng.normal(size=16)
+        for _ in range(7):
+            rows.append((vid, (centre + 0.05 * rng.normal(size=16)).tolist()))
+            vid += 1
+    for _ in range(5):                       # noise
+        rows.append((vid, rng.normal(size=16).tolist()))
+        vid += 1
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    p = Params(eps_cosine=0.9)
+    flat = {r[0]: r[1] for r in K.density_clusters(df, params=p).collect()}
+    stable = {r[0]: r[1] for r in K.stable_clusters(df, params=p, levels=6).collect()}
+    # every stable cluster lies inside one flat cluster; noise stays noise
+    inside = {}
+    for v, t in stable.items():
+        if t != -1:
+            inside.setdefault(t, set()).add(flat[v])
+    assert all(len(s) == 1 and -1 not in s for s in inside.values())
+    assert all(stable[v] == -1 for v in range(34, 39))
+    assert len({stable[v] for v in range(20, 27)}) == 1 != stable[27]
