@@ -69,30 +69,53 @@ def term_counts_from_docs(dterms: DataFrame, params: Params = DEFAULT) -> DataFr
 
 
 def min_df_filter(counts: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Keep terms that occur in at least ``min_df`` topics (class documents)."""
-    # topics per term: a window over the aggregated rows (at most one row per
-    # topic and term, so a term's window is bounded by the number of topics)
-    n_topics = F.count(F.lit(1)).over(Window.partitionBy("model_group", "term"))
-    return (counts.withColumn("_n_topics", n_topics)
+    """Keep terms that occur in at least ``min_df`` topics (class documents).
+
+    The same (model_group, term) window also yields ``f``, the term's total
+    count over all topics, so the idf needs no further shuffle of the
+    vocabulary-sized table.
+    """
+    # a term's window holds at most one row per topic, so it stays small
+    w = Window.partitionBy("model_group", "term")
+    return (counts.withColumn("_n_topics", F.count(F.lit(1)).over(w))
+                  .withColumn("f", F.sum("n").over(w))
                   .filter(F.col("_n_topics") >= params.min_df).drop("_n_topics"))
 
 
-def idf(counts: DataFrame) -> DataFrame:
-    """``(model_group, term, idf)``: ln(1 + A / f_t), A = int(mean tokens per topic)."""
+def _with_f(counts: DataFrame) -> DataFrame:
+    if "f" in counts.columns:
+        return counts
+    return counts.withColumn("f", F.sum("n").over(Window.partitionBy("model_group", "term")))
+
+
+def _class_constants(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(per-topic token totals, per-group A = int(mean tokens per topic)); both small."""
     totals = counts.groupBy("model_group", "topic").agg(F.sum("n").alias("total"))
     avg = totals.groupBy("model_group").agg(F.floor(F.avg("total")).alias("A"))
-    freq = counts.groupBy("model_group", "term").agg(F.sum("n").alias("f"))
-    return (freq.join(avg, "model_group")
-                .select("model_group", "term", F.log(F.col("A") / F.col("f") + 1).alias("idf")))
+    return totals, avg
+
+
+def idf(counts: DataFrame) -> DataFrame:
+    """``(model_group, term, idf)``: ln(1 + A / f_t), A = int(mean tokens per topic)."""
+    c = _with_f(counts)
+    _, avg = _class_constants(c)
+    return (c.select("model_group", "term", "f").dropDuplicates(["model_group", "term"])
+             .join(avg, "model_group")
+             .select("model_group", "term", F.log(F.col("A") / F.col("f") + 1).alias("idf")))
 
 
 def ctfidf(counts: DataFrame) -> DataFrame:
-    """``(model_group, topic, term, n, weight)``; weight = n / topic total * idf."""
-    totals = counts.groupBy("model_group", "topic").agg(F.sum("n").alias("total"))
-    return (counts.join(totals, ["model_group", "topic"])
-                  .join(idf(counts), ["model_group", "term"])
-                  .select("model_group", "topic", "term", "n",
-                          (F.col("n") / F.col("total") * F.col("idf")).alias("weight")))
+    """``(model_group, topic, term, n, weight)``; weight = n / topic total * idf.
+
+    Only the per-topic totals and the per-group constant are joined (small
+    tables); the term frequency ``f`` rides along from the min_df window.
+    """
+    c = _with_f(counts)
+    totals, avg = _class_constants(c)
+    return (c.join(totals, ["model_group", "topic"]).join(avg, "model_group")
+             .select("model_group", "topic", "term", "n",
+                     (F.col("n") / F.col("total") * F.log(F.col("A") / F.col("f") + 1))
+                     .alias("weight")))
 
 
 def topic_keywords(weights: DataFrame, k: int = 10, params: Params = DEFAULT) -> DataFrame:
