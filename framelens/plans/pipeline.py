@@ -48,9 +48,9 @@ def run_analysis(spark: SparkSession, d: str, out: str, params: Params = DEFAULT
     by_lang = frames.compare_lang(fr)
     cont = frames.frame_contingency(fr)
     result = stats.chi_square(frames.expected_counts(cont), params)
-    files.write_small_csv(over_time, f"{out}/temporal_analysis")
-    files.write_small_csv(by_lang, f"{out}/comparative")
-    files.write_small_csv(cont, f"{out}/chi2_contingency")
+    files.write_small_csv(over_time, f"{out}/temporal_analysis", order_by=["year", "frame"])
+    files.write_small_csv(by_lang, f"{out}/comparative", order_by=["frame", "lang"])
+    files.write_small_csv(cont, f"{out}/chi2_contingency", order_by=["lang", "frame"])
     files.write_small_csv(result, f"{out}/chi2_result")
     files.write_annotation_template(frames.annotation_template(model["topic_info"]),
                                     f"{out}/annotation_template")
