@@ -112,3 +112,75 @@ def detect_language(docs: DataFrame, profile: DataFrame, consts: DataFrame, key:
     accepted = detected.isin(*params.accepted_languages)
     return best.select(key, detected.alias("lang_detected"),
                        F.when(accepted, detected).otherwise(F.col("_hint")).alias("lang"))
+
+
+def detect_language_broadcast(docs: DataFrame, profile: DataFrame, consts: DataFrame,
+                              key: str = "doc_id", text: str = "text", hint: str = "lang",
+                              params: Params = DEFAULT, max_profile_rows: int = 1_000_000
+                              ) -> DataFrame:
+    """Same result as :func:`detect_language`, scored map-side with no shuffle.
+
+    The profile is bounded by the trigram vocabulary of the training texts,
+    not by the corpus; its row count is checked, and only a profile under
+    ``max_profile_rows`` is shipped to the tasks, which then score each text
+    in one pass over its characters (Arrow batches, numpy sums). A larger
+    profile falls back to the join-and-aggregate form.
+    """
+    n_rows = profile.count()
+    if n_rows > max_profile_rows:
+        return detect_language(docs, profile, consts, key, text, hint, params)
+    import numpy as np
+    import pandas as pd
+    import regex
+
+    c_rows = consts.orderBy("lang").collect()
+    langs = [r["lang"] for r in c_rows]
+    base = np.array([r["prior"] for r in c_rows], dtype=np.float64)
+    denom = np.array([r["denom"] for r in c_rows], dtype=np.float64)
+    index = {lang: i for i, lang in enumerate(langs)}
+    # trigram -> one 63-bit key (three 21-bit code points); sorted keys + a
+    # (trigrams x languages) matrix make the per-text lookup a searchsorted
+    keyed: dict[int, np.ndarray] = {}
+    for r in profile.select("tri", "lang", "logn").toLocalIterator():
+        cp = [ord(ch) for ch in r["tri"]]
+        if len(cp) != 3:
+            continue
+        k = (cp[0] << 42) | (cp[1] << 21) | cp[2]
+        vec = keyed.get(k)
+        if vec is None:
+            vec = keyed[k] = np.zeros(len(langs), dtype=np.float64)
+        vec[index[r["lang"]]] = r["logn"]
+    pkeys = np.array(sorted(keyed), dtype=np.uint64)
+    pmat = np.stack([keyed[int(k)] for k in pkeys]) if len(pkeys) else np.zeros((0, len(langs)))
+    shipped = docs.sparkSession.sparkContext.broadcast((langs, base, denom, pkeys, pmat))
+    accepted = set(params.accepted_languages)
+    out_schema = f"{key} long, lang_detected string, lang string"
+
+    def score(batches):
+        langs_, base_, denom_, pkeys_, pmat_ = shipped.value
+        non_letters = regex.compile(r"[^\p{L}]+")
+        for pdf in batches:
+            det, out = [], []
+            for t, h in zip(pdf[text], pdf[hint]):
+                norm = " " + non_letters.sub(" ", t or "").lower() + " "
+                cp = np.frombuffer(norm.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+                if len(cp) < 3:
+                    det.append(None)
+                    out.append(h)
+                    continue
+                keys = (cp[:-2] << np.uint64(42)) | (cp[1:-1] << np.uint64(21)) | cp[2:]
+                uniq, cnt = np.unique(keys, return_counts=True)
+                s = base_ - float(len(keys)) * denom_
+                if len(pkeys_):
+                    pos = np.searchsorted(pkeys_, uniq)
+                    pos_c = np.minimum(pos, len(pkeys_) - 1)
+                    hit = pkeys_[pos_c] == uniq
+                    s = s + cnt[hit].astype(np.float64) @ pmat_[pos_c[hit]]
+                s = np.round(s, 6)
+                best = int(np.flatnonzero(s == s.max())[0])   # ties: smallest code
+                lang = langs_[best]
+                det.append(lang)
+                out.append(lang if lang in accepted else h)
+            yield pd.DataFrame({key: pdf[key], "lang_detected": det, "lang": out})
+
+    return docs.select(key, text, hint).mapInPandas(score, out_schema)

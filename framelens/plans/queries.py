@@ -399,6 +399,15 @@ def language_model(spark, d):
 
 
 def q_detect_language(spark, d):
+    docs = views.table(spark, d, "documents", "doc_id")
+    profile, consts = langid.train_profiles(docs.filter(F.col("doc_id") % 2 == 0), "doc_id",
+                                            "text", "lang")
+    profile, consts = profile.persist(), consts.persist()
+    return langid.detect_language_broadcast(docs, profile, consts, "doc_id", "text", "lang")
+
+
+def q_detect_language_join(spark, d):
+    """The join-and-aggregate form (used beyond the profile size bound)."""
     docs = views.table(spark, d, "documents", "doc_id")
     tc = langid.trigram_counts(docs, "doc_id").persist()
     profile, consts = langid.train_profiles(docs.filter(F.col("doc_id") % 2 == 0), "doc_id",
@@ -407,6 +416,7 @@ def q_detect_language(spark, d):
 
 
 QUERIES["detect_language"] = q_detect_language
+QUERIES["detect_language_join"] = q_detect_language_join
 
 
 # ---------------------------------------------------------------------------
