@@ -22,7 +22,8 @@ def preprocess_with_detection(spark: SparkSession, d: str, params: Params = DEFA
     survivors = corpus.dedup_articles(corpus.drop_stubs(corpus.clean_articles(raw, params), params))
     docs = views.table(spark, d, "documents", "doc_id")
     profile, consts = langid.train_profiles(docs.filter(F.col("doc_id") % 2 == 0))
-    detected = langid.detect_language(survivors, profile, consts, "doc_id", "text", "lang", params)
+    detected = langid.detect_language_broadcast(survivors, profile, consts, "doc_id", "text",
+                                                "lang", params)
     # detect_language already applies the rule: accepted code, else the hint
     tagged = survivors.drop("lang").join(detected.select("doc_id", "lang"), "doc_id")
     return corpus.date_year(tagged)

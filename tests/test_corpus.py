@@ -80,3 +80,13 @@ def test_top_k_matches_brute_force_with_hot_group(spark):
         for k, r in enumerate(best, 1):
             want[(g, k)] = r[1]
     assert got == want
+
+
+def test_broadcast_and_join_scoring_agree(spark):
+    docs = views.table(spark, SF_CHECK, "documents", "doc_id")
+    profile, consts = langid.train_profiles(docs.filter(F.col("doc_id") % 2 == 0))
+    a = {tuple(r) for r in langid.detect_language(docs, profile, consts).collect()}
+    b = {tuple(r) for r in langid.detect_language_broadcast(docs, profile, consts).collect()}
+    c = {tuple(r) for r in langid.detect_language_broadcast(
+        docs, profile, consts, max_profile_rows=10).collect()}     # over the bound: join form
+    assert a == b == c and len(a) == 1000
