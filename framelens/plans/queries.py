@@ -7,15 +7,23 @@ dates rendered as text only at this edge, for the comparison with SQL.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from ..functions import scalars as S
+from ..functions.htmltext import extract_body
 from ..functions.scalars import clean_text
-from ..operators import corpus, frames, stats, topics
+from ..operators import clustering as K
+from ..operators import collection as C
+from ..operators import corpus, frames, langid, stats, topics
 from ..params import DEFAULT, Params
+from ..session import ensure_checkpoint_dir
+from ..streaming.ingest import incremental_ingest
 from . import views
-
+from .pipeline import preprocess_with_detection
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[
@@ -210,9 +218,6 @@ QUERIES = {
 # ---------------------------------------------------------------------------
 # Collection, recovery and scalar keys over the export / page views
 # ---------------------------------------------------------------------------
-from ..functions import scalars as S  # noqa: E402
-from ..functions.htmltext import extract_body  # noqa: E402
-from ..operators import collection as C  # noqa: E402
 
 DISCOVERY_KEYWORDS = ("4chan", "far right")
 LANG_NAMES_OF_SEGMENT = (("en", "English"), ("fr", "French"), ("es", "Spanish"), ("de", "German"))
@@ -389,7 +394,6 @@ QUERIES.update({
 # ---------------------------------------------------------------------------
 # Language identification
 # ---------------------------------------------------------------------------
-from ..operators import langid  # noqa: E402
 
 
 def language_model(spark, d):
@@ -445,7 +449,6 @@ QUERIES["representative_docs"] = q_representative_docs
 # ---------------------------------------------------------------------------
 # Vectors, graph and clusters over the embeddings table
 # ---------------------------------------------------------------------------
-from ..operators import clustering as K  # noqa: E402
 
 
 def _vectors(spark, d):
@@ -498,10 +501,7 @@ QUERIES.update({
 # ---------------------------------------------------------------------------
 # Streaming ingest over the pages table (one availableNow pass)
 # ---------------------------------------------------------------------------
-import uuid  # noqa: E402
 
-from ..session import ensure_checkpoint_dir  # noqa: E402
-from ..streaming.ingest import incremental_ingest  # noqa: E402
 
 
 def q_incremental_ingest(spark, d):
@@ -518,7 +518,6 @@ QUERIES["incremental_ingest"] = q_incremental_ingest
 # ---------------------------------------------------------------------------
 # Whole preprocessing with language identification, and topic reduction
 # ---------------------------------------------------------------------------
-from .pipeline import preprocess_with_detection  # noqa: E402
 
 
 def q_preprocess_detect(spark, d):
