@@ -311,3 +311,94 @@ def topic_word_weights(summary: DataFrame, weights: DataFrame, top_n_topics: int
     kw = topic_keywords(weights, params.keywords_per_topic, params)
     return kw.join(big.select("model_group", F.col("topic_id").alias("topic"), "topic_rank"),
                    ["model_group", "topic"])
+
+
+def topics_over_time_tuned(docs: DataFrame, counts: DataFrame, weights: DataFrame,
+                           params: Params = DEFAULT, dterms: DataFrame | None = None,
+                           key: str = "doc_id") -> DataFrame:
+    """Topics over time with the library's default smoothing.
+
+    Per (topic, time bin) the bin's c-TF-IDF row (global idf) is L1-normalised;
+    if the topic also occurs in the previous non-empty bin, the row is averaged
+    with the topic's tuned row of that bin (evolution); the result is averaged
+    with the topic's L1-normalised global row (global tuning). The top
+    ``words_over_time`` terms of the tuned row are reported.
+
+    Each (topic, term) carries one array over the topic's present bins (at
+    most ``max_time_bins`` entries) folded with ``aggregate``; nothing grows
+    with the number of documents.
+    """
+    d = with_model_group(docs, params).withColumn("_day", F.unix_date("date"))
+    rng = d.groupBy("model_group").agg(
+        F.min("_day").alias("_lo"), F.max("_day").alias("_hi"),
+        F.least(F.lit(params.max_time_bins),
+                F.greatest(F.countDistinct("year"), F.lit(1))).alias("_nb"))
+    span = F.col("_hi") - F.col("_lo")
+    binned = d.join(rng, "model_group").withColumn(
+        "bin", F.when(span == 0, F.lit(0)).otherwise(
+            F.least(F.floor((F.col("_day") - F.col("_lo")) * F.col("_nb") / span),
+                    F.col("_nb") - 1)).cast("int")
+    ).withColumn("bin_start", F.date_from_unix_date(
+        (F.col("_lo") + F.floor(F.col("bin") * span / F.col("_nb"))).cast("int")))
+    # position of each non-empty bin among all non-empty bins (any topic)
+    tpos = (binned.select("model_group", "bin").distinct()
+                  .withColumn("t", F.dense_rank().over(Window.partitionBy("model_group").orderBy("bin"))))
+    sizes = d.filter(F.col("topic") != -1).groupBy("model_group", "topic").agg(
+        F.count(F.lit(1)).alias("size"))
+    top_topics = top_k_per_group(sizes, ["model_group"], [F.col("size").desc(), F.col("topic")],
+                                 params.top_topics_over_time, unique="topic",
+                                 salt_buckets=params.hot_key_salt).select("model_group", "topic")
+    binned = binned.join(top_topics, ["model_group", "topic"], "left_semi")
+    freq = binned.groupBy("model_group", "topic", "bin", "bin_start").agg(
+        F.count(F.lit(1)).alias("frequency"))
+    vocab_idf = idf(counts)
+    if dterms is None:
+        toks = tokenize(binned, params=params)
+        per_bin = (toks.select("model_group", "topic", "bin", F.explode("terms").alias("term"))
+                       .groupBy("model_group", "topic", "bin", "term")
+                       .agg(F.count(F.lit(1)).alias("n")))
+    else:
+        per_bin = (dterms.join(binned.select("model_group", key, "bin"), ["model_group", key])
+                         .groupBy("model_group", "topic", "bin", "term").agg(F.sum("n").alias("n")))
+    bt = per_bin.join(vocab_idf, ["model_group", "term"]).withColumn("raw", F.col("n") * F.col("idf"))
+    # the bin total cancels in the L1 normalisation of n / total * idf
+    w1 = (bt.withColumn("w1", F.col("raw") / F.sum("raw").over(
+              Window.partitionBy("model_group", "topic", "bin")))
+            .join(tpos, ["model_group", "bin"]).select("model_group", "topic", "t", "term", "w1"))
+    g = (weights.join(top_topics, ["model_group", "topic"], "left_semi")
+                .withColumn("g", F.col("weight") / F.sum("weight").over(
+                    Window.partitionBy("model_group", "topic")))
+                .select("model_group", "topic", "term", "g"))
+    present = (binned.select("model_group", "topic", "bin").distinct().join(tpos, ["model_group", "bin"])
+                     .groupBy("model_group", "topic").agg(F.array_sort(F.collect_list("t")).alias("ts")))
+    series = (g.join(present, ["model_group", "topic"])
+               .select("model_group", "topic", "term", "g", F.explode("ts").alias("t"))
+               .join(w1, ["model_group", "topic", "t", "term"], "left")
+               .groupBy("model_group", "topic", "term", "g")
+               .agg(F.array_sort(F.collect_list(F.struct("t", F.coalesce("w1", F.lit(0.0)).alias("w"))))
+                    .alias("xs")))
+    init = F.struct(F.lit(-10).alias("pt"), F.lit(0.0).alias("y"),
+                    F.array().cast("array<struct<t:int,y:double>>").alias("out"))
+
+    def step(acc, x):
+        e = F.when(acc["pt"] == x["t"] - 1, (x["w"] + acc["y"]) / 2).otherwise(x["w"])
+        y = (e + F.col("g")) / 2
+        return F.struct(x["t"].alias("pt"), y.alias("y"),
+                        F.concat(acc["out"], F.array(F.struct(x["t"].cast("int").alias("t"),
+                                                              y.alias("y")))).alias("out"))
+
+    tuned = (series.select("model_group", "topic", "term",
+                           F.explode(F.aggregate("xs", init, step)["out"]).alias("o"))
+                   .select("model_group", "topic", "term", F.col("o.t").alias("t"),
+                           F.round(F.col("o.y"), 12).alias("y"))
+                   .filter(F.col("y") > 0))
+    words = top_k_per_group(tuned, ["model_group", "topic", "t"],
+                            [F.col("y").desc(), F.col("term")], params.words_over_time,
+                            unique="term", salt_buckets=params.hot_key_salt)
+    wl = (words.groupBy("model_group", "topic", "t")
+               .agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("_w"))
+               .select("model_group", "topic", "t",
+                       F.array_join(F.transform("_w", lambda x: x["term"]), ", ").alias("words"))
+               .join(tpos, ["model_group", "t"]).drop("t"))
+    return freq.join(wl, ["model_group", "topic", "bin"], "left").withColumn(
+        "words", F.coalesce(F.col("words"), F.lit("")))

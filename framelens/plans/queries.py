@@ -551,3 +551,14 @@ def q_stable_clusters(spark, d):
 
 
 QUERIES["stable_clusters"] = q_stable_clusters
+
+
+def q_topics_over_time_tuned(spark, d):
+    p = ArticlePlan(spark, d)
+    dterms = p.dterms()
+    out = topics.topics_over_time_tuned(p.prep(), p.counts(), p.weights(), dterms=dterms)
+    return out.select("model_group", "topic", "bin", F.col("bin_start").cast("string").alias("bin_start"),
+                      "frequency", "words")
+
+
+QUERIES["topics_over_time_tuned"] = q_topics_over_time_tuned

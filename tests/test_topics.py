@@ -141,3 +141,79 @@ def test_stable_clusters_refine_flat_cut(spark):
     assert all(len(s) == 1 and -1 not in s for s in inside.values())
     assert all(stable[v] == -1 for v in range(34, 39))
     assert len({stable[v] for v in range(20, 27)}) == 1 != stable[27]
+
+
+def test_topics_over_time_tuned_matches_brute_force(spark):
+    import datetime as dt
+    import math
+    import random
+    from collections import Counter, defaultdict
+
+    rnd = random.Random(5)
+    vocab = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "zeta"]
+    rows = []
+    for i in range(60):
+        topic = [0, 1, 2, -1][i % 4]
+        year = 2017 + rnd.randint(0, 3)
+        day = dt.date(year, rnd.randint(1, 12), rnd.randint(1, 28))
+        words = [vocab[(topic + 1 + rnd.randint(0, 4)) % len(vocab)] for _ in range(rnd.randint(3, 7))]
+        rows.append((i, topic, "en", " ".join(words), day, year))
+    docs = spark.createDataFrame(rows, "doc_id long, topic int, lang string, text string, "
+                                       "date date, year int")
+    counts = topics.term_counts(docs)
+    weights = topics.ctfidf(counts)
+    got = {(r["topic"], r["bin"]): (r["frequency"], r["words"])
+           for r in topics.topics_over_time_tuned(docs, counts, weights).collect()}
+
+    # brute force: the same rules in plain Python
+    def terms(text):
+        w = text.split()
+        return w + [f"{a} {b}" for a, b in zip(w, w[1:])]
+    per_topic = defaultdict(Counter)
+    for _, t, _, text, _, _ in rows:
+        per_topic[t].update(terms(text))
+    df_t = Counter(term for c in per_topic.values() for term in c)
+    vocab_ok = {t for t, k in df_t.items() if k >= 2}
+    cnt = {t: {w: n for w, n in c.items() if w in vocab_ok} for t, c in per_topic.items()}
+    A = math.floor(sum(sum(c.values()) for c in cnt.values()) / len(cnt))
+    f = Counter()
+    for c in cnt.values():
+        f.update(c)
+    idf = {w: math.log(A / f[w] + 1) for w in f}
+    glob = {}
+    for t, c in cnt.items():
+        tot = sum(c.values())
+        wt = {w: n / tot * idf[w] for w, n in c.items()}
+        s = sum(wt.values())
+        glob[t] = {w: v / s for w, v in wt.items()}
+    days = [(r[4] - dt.date(1970, 1, 1)).days for r in rows]
+    lo, hi = min(days), max(days)
+    nb = min(20, max(len({r[5] for r in rows}), 1))
+    def bin_of(day):
+        return 0 if hi == lo else min(math.floor((day - lo) * nb / (hi - lo)), nb - 1)
+    bins = {r[0]: bin_of((r[4] - dt.date(1970, 1, 1)).days) for r in rows}
+    order = sorted(set(bins.values()))
+    tpos = {b: k for k, b in enumerate(order)}
+    want = {}
+    for t in (0, 1, 2):
+        prev_pos, prev_y = None, None
+        for b in order:
+            members = [r for r in rows if r[1] == t and bins[r[0]] == b]
+            if not members:
+                continue
+            c = Counter()
+            for r in members:
+                c.update(w for w in terms(r[3]) if w in vocab_ok)
+            raw = {w: n * idf[w] for w, n in c.items()}
+            s = sum(raw.values())
+            w1 = {w: v / s for w, v in raw.items()} if s else {}
+            y = {}
+            for w in glob[t]:
+                e = w1.get(w, 0.0)
+                if prev_pos is not None and prev_pos == tpos[b] - 1:
+                    e = (e + prev_y[w]) / 2
+                y[w] = (e + glob[t][w]) / 2
+            prev_pos, prev_y = tpos[b], y
+            best = sorted((w for w in y if round(y[w], 12) > 0), key=lambda w: (-round(y[w], 12), w))[:5]
+            want[(t, b)] = (len(members), ", ".join(best))
+    assert got == want
