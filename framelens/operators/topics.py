@@ -371,24 +371,24 @@ def topics_over_time_tuned(docs: DataFrame, counts: DataFrame, weights: DataFram
                 .select("model_group", "topic", "term", "g"))
     present = (binned.select("model_group", "topic", "bin").distinct().join(tpos, ["model_group", "bin"])
                      .groupBy("model_group", "topic").agg(F.array_sort(F.collect_list("t")).alias("ts")))
+    # per (topic, term): its bin values as a map (at most max_time_bins entries)
+    w1_maps = (w1.groupBy("model_group", "topic", "term")
+                 .agg(F.map_from_entries(F.collect_list(F.struct("t", "w1"))).alias("wm")))
     series = (g.join(present, ["model_group", "topic"])
-               .select("model_group", "topic", "term", "g", F.explode("ts").alias("t"))
-               .join(w1, ["model_group", "topic", "t", "term"], "left")
-               .groupBy("model_group", "topic", "term", "g")
-               .agg(F.array_sort(F.collect_list(F.struct("t", F.coalesce("w1", F.lit(0.0)).alias("w"))))
-                    .alias("xs")))
+               .join(w1_maps, ["model_group", "topic", "term"], "left"))
     init = F.struct(F.lit(-10).alias("pt"), F.lit(0.0).alias("y"),
                     F.array().cast("array<struct<t:int,y:double>>").alias("out"))
 
-    def step(acc, x):
-        e = F.when(acc["pt"] == x["t"] - 1, (x["w"] + acc["y"]) / 2).otherwise(x["w"])
+    def step(acc, t):
+        w = F.coalesce(F.element_at(F.col("wm"), t), F.lit(0.0))
+        e = F.when(acc["pt"] == t - 1, (w + acc["y"]) / 2).otherwise(w)
         y = (e + F.col("g")) / 2
-        return F.struct(x["t"].alias("pt"), y.alias("y"),
-                        F.concat(acc["out"], F.array(F.struct(x["t"].cast("int").alias("t"),
+        return F.struct(t.alias("pt"), y.alias("y"),
+                        F.concat(acc["out"], F.array(F.struct(t.cast("int").alias("t"),
                                                               y.alias("y")))).alias("out"))
 
     tuned = (series.select("model_group", "topic", "term",
-                           F.explode(F.aggregate("xs", init, step)["out"]).alias("o"))
+                           F.explode(F.aggregate("ts", init, step)["out"]).alias("o"))
                    .select("model_group", "topic", "term", F.col("o.t").alias("t"),
                            F.round(F.col("o.y"), 12).alias("y"))
                    .filter(F.col("y") > 0))
