@@ -217,3 +217,28 @@ def test_topics_over_time_tuned_matches_brute_force(spark):
             best = sorted((w for w in y if round(y[w], 12) > 0), key=lambda w: (-round(y[w], 12), w))[:5]
             want[(t, b)] = (len(members), ", ".join(best))
     assert got == want
+
+
+def test_eps_edges_blocked_matches_brute_force(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(4, 12))
+    vecs = np.concatenate([c + 0.4 * rng.normal(size=(40, 12)) for c in centres])
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(vecs)]
+    nodes = spark.createDataFrame(rows, "node long, vec array<float>").withColumn("weight", F.lit(1))
+    p = Params(eps_cosine=0.8)
+    got = {(r["src"], r["dst"]) for r in K.eps_edges(nodes, p, n_pivots=6, block=8).collect()}
+    x = np.array([r[1] for r in rows], dtype=np.float64)
+    n = np.linalg.norm(x, axis=1)
+    cos = np.round((x @ x.T) / np.outer(n, n), 6)
+    want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if cos[i, j] >= 0.8}
+    assert got == want and len(want) > 100
+
+
+def test_rank_by_size_exact_with_ties(spark):
+    rnd = np.random.default_rng(2)
+    rows = [(int(label), int(size)) for label, size in
+            zip(rnd.permutation(500), rnd.integers(5, 9, size=500))]
+    df = spark.createDataFrame(rows, "label long, size long")
+    got = {r["label"]: r["topic"] for r in K.rank_by_size(df, bucket_width=16).collect()}
+    want = {lab: i for i, (lab, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+    assert got == want
