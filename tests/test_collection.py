@@ -79,7 +79,7 @@ def test_ledger_and_recovery_reconcile(spark):
 
 
 def test_annotation_scan_last_duplicate_wins(spark, tmpdir_path):
-    path = os.path.join(tmpdir_path, "frames_annotation.csv")
+    path = os.path.join(tmpdir_path, "annotation.csv")
     with open(path, "w") as fh:
         fh.write("topic_id,frame_label\n0, a \nx,b\n1,c\n0,d\n2,\n")
     got = {r[0]: r[1] for r in files.read_annotation(spark, path).collect()}
