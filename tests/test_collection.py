@@ -139,3 +139,13 @@ def test_append_sink_keeps_existing(spark, tmpdir_path):
     files.append_records(spark.createDataFrame([("2", "u2")], "id string, url string"), path)
     good, bad = files.read_raw(spark, path)
     assert sorted(r["url"] for r in good.collect()) == ["u1", "u2"] and bad.count() == 0
+
+
+def test_collection_status_reconciles(spark):
+    status = Q.q_collection_status(spark, SF_CHECK)
+    by = dict(status.groupBy("status").agg(F.sum("n")).collect())
+    records = Q.q_normalize_records(spark, SF_CHECK).count()
+    # every record is exactly one of: live, short (kept, never retried),
+    # recovered, still missing
+    assert sum(by.values()) == records == 250
+    assert by["short"] == 3 and by["missing"] == Q.q_still_missing(spark, SF_CHECK).count()
