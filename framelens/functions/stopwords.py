@@ -1,30 +1,54 @@
-"""Spark's own English and French stopword lists, read from the ML jar.
+"""English and French stopwords of Spark's StopWordsRemover, as plain lists.
 
-Reading the text files directly (instead of through the JVM) lets the same
-list feed both the Spark tokeniser and the SQL oracle.
+The lists live in the package so that neither the Spark tokeniser nor the SQL
+needs the ML jar or a running session; a test compares them with
+``StopWordsRemover.loadDefaultStopWords``.
 """
 
 from __future__ import annotations
 
 import functools
-import glob
-import os
-import zipfile
 
 from ..params import PROTECTED_TERMS
 
+# The public default lists, in their own order.
+ENGLISH = """
+    i me my myself we our ours ourselves you your yours yourself yourselves he him his himself
+    she her hers herself it its itself they them their theirs themselves what which who whom
+    this that these those am is are was were be been being have has had having do does did
+    doing a an the and but if or because as until while of at by for with about against
+    between into through during before after above below to from up down in out on off over
+    under again further then once here there when where why how all any both each few more
+    most other some such no nor not only own same so than too very s t can will just don
+    should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm
+    you're he's she's it's we're they're i've we've you've they've isn't aren't wasn't weren't
+    haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't
+    couldn't cannot could here's how's let's ought that's there's what's when's where's who's
+    why's would
+""".split()
+
+FRENCH = """
+    au aux avec ce ces dans de des du elle en et eux il je la le les leur lui ma mais me même
+    mes moi mon ne nos notre nous on ou par pas pour qu que qui sa se ses son sur ta te tes
+    toi ton tu un une vos votre vous c d j l à m n s t y été étée étées étés étant étante
+    étants étantes suis es est sommes êtes sont serai seras sera serons serez seront serais
+    serait serions seriez seraient étais était étions étiez étaient fus fut fûmes fûtes furent
+    sois soit soyons soyez soient fusse fusses fût fussions fussiez fussent ayant ayante
+    ayantes ayants eu eue eues eus ai as avons avez ont aurai auras aura aurons aurez auront
+    aurais aurait aurions auriez auraient avais avait avions aviez avaient eut eûmes eûtes
+    eurent aie aies ait ayons ayez aient eusse eusses eût eussions eussiez eussent
+""".split()
+
+_LISTS = {"english": ENGLISH, "french": FRENCH}
 
-@functools.lru_cache(maxsize=None)
-def spark_stopwords(language: str) -> tuple[str, ...]:
-    import pyspark
 
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        words = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
-    return tuple(w.strip() for w in words.splitlines() if w.strip())
+def spark_stopwords(language: str) -> tuple[str, ...]:
+    """The default list of one language (``english`` or ``french``)."""
+    return tuple(_LISTS[language])
 
 
-def topic_stopwords(protected=PROTECTED_TERMS) -> list[str]:
-    """(English union French) minus the lower-cased protected terms, sorted."""
-    words = set(spark_stopwords("english")) | set(spark_stopwords("french"))
-    return sorted(words - {t.lower() for t in protected})
+@functools.lru_cache(maxsize=None)
+def topic_stopwords(protected: tuple[str, ...] = tuple(PROTECTED_TERMS)) -> list[str]:
+    """Words ignored by the topic tokeniser: both lists, except protected terms."""
+    keep = {term.lower() for term in protected}
+    return sorted({word for words in _LISTS.values() for word in words if word not in keep})

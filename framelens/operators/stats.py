@@ -2,8 +2,8 @@
 
 Everything is a native expression over the (small, aggregated) contingency
 table; the p-value is the regularised upper incomplete gamma function
-Q(dof/2, chi2/2), evaluated by its power series in log space with a
-``aggregate(sequence(...))`` higher-order function (no Python UDF).
+Q(dof/2, chi2/2), a finite sum for whole dof plus an erfc for odd dof, written
+with ``aggregate(sequence(...))`` higher-order functions (no Python UDF).
 """
 
 from __future__ import annotations
@@ -14,23 +14,35 @@ from pyspark.sql import functions as F
 from ..params import EFFECT_BANDS, NOTE_NOT_APPLICABLE, NOTE_SMALL_EXPECTED, DEFAULT, Params
 
 
-def _lgamma_a_plus_1(a: str) -> str:
-    """ln Gamma(a + 1) for integer or half-integer a >= 0.5 (SQL text)."""
-    return (f"(aggregate(sequence(0, cast(ceil({a}) as int) - 1), cast(0 as double), "
-            f"(acc, j) -> acc + ln({a} - j)) "
-            f"+ CASE WHEN {a} = floor({a}) THEN 0D ELSE 0.5D * ln(pi()) END)")
+def _tail_sum(x: str, terms: str, first: str, shift: str) -> str:
+    """Sum of ``terms`` positive terms with logs ``first + ln(x / (j + shift))`` (SQL text)."""
+    step = f"acc.l + ln({x}) - ln(j + {shift})"
+    return (f"CASE WHEN {terms} < 1 THEN 0D ELSE aggregate(sequence(1, greatest({terms} - 1, 1)), "
+            f"named_struct('s', exp({first}), 'l', {first}), (acc, j) -> "
+            f"CASE WHEN {terms} < 2 THEN acc ELSE named_struct('s', acc.s + exp({step}), 'l', {step}) END).s END")
+
+
+def _erfc_sqrt(x: str) -> str:
+    """erfc(sqrt(x)): a series below 1, a backward continued fraction from 1 on."""
+    z = f"sqrt({x})"
+    series = (f"1D - 2D / sqrt(pi()) * exp(-({x})) * aggregate(sequence(1, 60), "
+              f"named_struct('s', {z}, 't', {z}), (acc, j) -> named_struct("
+              f"'s', acc.s + acc.t * 2D * ({x}) / (2D * j + 1D), 't', acc.t * 2D * ({x}) / (2D * j + 1D))).s")
+    fraction = f"aggregate(sequence(300, 1), {z}, (acc, j) -> {z} + (j / 2D) / acc)"
+    return f"CASE WHEN {x} < 1 THEN {series} ELSE exp(-({x})) / sqrt(pi()) / {fraction} END"
 
 
 def chi2_sf_expr(chi2: str, dof: str) -> Column:
-    """Upper tail of the chi-square distribution, Q(dof/2, chi2/2)."""
-    a = f"({dof} / 2.0D)"
+    """Upper tail of the chi-square distribution, Q(dof/2, chi2/2).
+
+    Summed from the tail itself (all terms positive), so tiny p-values keep
+    their relative accuracy; the work depends on ``dof`` only.
+    """
     x = f"({chi2} / 2.0D)"
-    l0 = f"({a} * ln({x}) - {x} - {_lgamma_a_plus_1(a)})"
-    n_terms = f"cast(ceil({x} + 12 * sqrt({x}) + 40) as int)"
-    series = (f"aggregate(sequence(1, {n_terms}), named_struct('s', exp({l0}), 'l', {l0}), "
-              f"(acc, i) -> named_struct('s', acc.s + exp(acc.l + ln({x}) - ln({a} + i)), "
-              f"'l', acc.l + ln({x}) - ln({a} + i))).s")
-    return F.expr(f"CASE WHEN {x} <= 0 THEN 1.0D ELSE greatest(0D, 1D - {series}) END")
+    even = _tail_sum(x, f"cast({dof} / 2 as int)", f"(-{x})", "0D")
+    odd = _tail_sum(x, f"cast(({dof} - 1) / 2 as int)", f"(0.5D * ln({x}) - ln(sqrt(pi()) / 2D) - {x})", "0.5D")
+    return F.expr(f"CASE WHEN {x} <= 0 THEN 1.0D WHEN {dof} % 2 = 0 THEN least(1D, {even}) "
+                  f"ELSE least(1D, {_erfc_sqrt(x)} + {odd}) END")
 
 
 def cramers_v_expr(chi2: Column, n: Column, r: Column, k: Column) -> Column:

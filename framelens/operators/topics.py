@@ -8,7 +8,6 @@ split strategy, so the split strategy is a key, not a loop.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import NGram, RegexTokenizer, StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,19 +29,18 @@ def with_model_group(docs: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 def tokenize(docs: DataFrame, text_col: str = "text", params: Params = DEFAULT) -> DataFrame:
     """Add ``terms``: unigrams without stopwords, then bigrams of those."""
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=TOKEN_PATTERN,
-                         gaps=False, toLowercase=True, minTokenLength=1)
-    stop = StopWordsRemover(inputCol="_tokens", outputCol="_words",
-                            stopWords=topic_stopwords(params.protected_terms),
-                            caseSensitive=True)
-    out = stop.transform(tok.transform(docs))
-    if params.ngram_max >= 2:
-        out = NGram(n=2, inputCol="_words", outputCol="_bigrams").transform(out)
-        terms = F.concat(F.col("_words"), F.col("_bigrams"))
-    else:
-        out = out.withColumn("_bigrams", F.array().cast("array<string>"))
-        terms = F.col("_words")
-    return out.withColumn("terms", terms).drop("_tokens", "_words", "_bigrams")
+    stop = topic_stopwords(tuple(params.protected_terms))
+    words = F.array_compact(F.transform(
+        F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(f"({TOKEN_PATTERN})"), F.lit(1)),
+        lambda w: F.when(~w.isin(stop), w)))
+    out = docs.withColumn("_words", F.coalesce(words, F.array().cast("array<string>")))
+    if params.ngram_max < 2:
+        return out.withColumnRenamed("_words", "terms")
+    pairs = F.when(F.size("_words") >= 2, F.zip_with(
+        F.slice("_words", F.lit(1), F.size("_words") - 1),
+        F.slice("_words", F.lit(2), F.size("_words") - 1),
+        lambda x, y: F.concat_ws(" ", x, y))).otherwise(F.array().cast("array<string>"))
+    return out.withColumn("terms", F.concat(F.col("_words"), pairs)).drop("_words")
 
 
 def doc_terms(docs: DataFrame, params: Params = DEFAULT, key: str = "doc_id") -> DataFrame:

@@ -177,7 +177,9 @@ def q_expected_counts(spark, d):
 
 def q_chi_square(spark, d):
     exp = frames.expected_counts(ArticlePlan(spark, d).contingency())
-    return rounded(stats.chi_square(exp))
+    res = stats.chi_square(exp)
+    tail = F.when(F.col("p_value") > 0, F.round(-F.log("p_value"), 6)).alias("neg_ln_p")
+    return rounded(res.select("*", tail))
 
 
 def q_annotation_gaps(spark, d):
