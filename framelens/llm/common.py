@@ -84,15 +84,17 @@ def pieces(offsets: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return out
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, offsets: np.ndarray, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes (uint64) of all texts in order, and the words' bounds per text.
 
     The hash of a word is its polynomial over the bytes, from one running sum,
-    then mixed. ``bounds`` has one entry more than there are texts.
+    then mixed. ``bounds`` has one entry more than there are texts. With
+    ``prefix``, only that many bytes of each word count and instead of the
+    bounds comes whether each word is longer.
     """
     n = len(raw)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0 if prefix else len(offsets), bool if prefix else np.int64)
     is_word = IS_WORD[raw]
     edge = np.empty(n, dtype=bool)  # a word never runs on into the next text
     edge[0] = True
@@ -104,11 +106,14 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     last[-1] = True
     last[:-1] = edge[1:] | ~is_word[1:]
     ends = np.flatnonzero(is_word & last) + 1
+    if prefix:
+        longer = ends - starts > prefix
+        ends = np.minimum(ends, starts + prefix)
     hashes = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):  # runs of words within about BLOCK bytes: short powers, little memory
         j = max(int(np.searchsorted(starts, starts[i] + BLOCK)), i + 1)
-        low, high = int(starts[i]), int(ends[j - 1])
+        low, high = int(starts[i]), int(ends[j - 1])  # ends do not fall
         total = np.zeros(high - low + 1, dtype=np.uint64)
         np.cumsum((LOWER[raw[low:high]].astype(np.uint64) + np.uint64(1)) * powers(BASE, high - low),
                   out=total[1:])
@@ -116,7 +121,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         value = (total[e] - total[s]) * powers(BASE_INVERSE, high - low)[s]
         hashes[i:j] = mix(value ^ ((e - s).astype(np.uint64) << np.uint64(48)))
         i = j
-    return hashes, np.searchsorted(starts, offsets)
+    return hashes, longer if prefix else np.searchsorted(starts, offsets)
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:

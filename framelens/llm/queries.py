@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, packing, secrets
+from . import decontam, langid, minhash, packing, secrets, toxicity
 from .common import table
 
 
@@ -41,8 +41,34 @@ def op5_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents").select("doc_id", "text"))
 
 
+def op7_langid(spark, d):
+    """Language of every document, learned from the rows outside the held-out fold."""
+    docs = table(spark, d, "documents")
+    model = langid.fit(docs.select("doc_id", "text", "lang").filter(~langid.held_out()))
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_minhash(spark, d):
+    """Near-duplicate class of every document."""
+    found = minhash.classes(table(spark, d, "documents").select("doc_id", "text"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
+def op10_toxicity(spark, d):
+    """Toxicity score of every document, learned from labelled rows outside the held-out fold."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    labels = table(spark, d, "labels").select("doc_id", "toxic").filter(~toxicity.held_out())
+    model = toxicity.fit(docs.join(labels, "doc_id"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op4_secrets": op4_secrets,
     "op5_packing": op5_packing,
+    "op7_langid": op7_langid,
+    "op9_minhash": op9_minhash,
+    "op10_toxicity": op10_toxicity,
 }
