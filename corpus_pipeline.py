@@ -6,11 +6,21 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelens.llm import decontam, packing, secrets
+from framelens.llm import decontam, langid, minhash, packing, secrets
 from framelens.llm.common import table
 from framelens.session import cut_lineage
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified."""
+    return langid.keep_identified(docs, docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group."""
+    return minhash.deduplicate(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of any benchmark item."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -27,6 +37,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language_id", identify_language),
+    ("minhash_near_dedup", drop_near_duplicates),
     ("benchmark_decontamination", decontaminate),
     ("secret_scan", redact_secrets),
     ("best_fit_packing", pack),

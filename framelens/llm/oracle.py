@@ -54,4 +54,34 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN told USING (rid)"""
 
-ORACLE = {"op1_decontaminate": OP1, "op4_secrets": OP4}
+OP6 = """
+WITH p AS (SELECT page_id, CAST(encode(coalesce(html, '')) AS BLOB) AS payload FROM pages),
+firsts AS (SELECT payload, min(page_id) AS first_id FROM p GROUP BY payload),
+hexed AS (SELECT page_id, octet_length(payload) AS n, first_id, list_transform(range(0, 32), lambda i:
+            list_sum(list_transform(range(0, 5), lambda k:
+              ((instr('0123456789abcdef', substr(h, CAST((i * 5 + k) // 4 AS INTEGER) + 1, 1)) - 1)
+                >> (3 - (i * 5 + k) % 4)) % 2 * (1 << (4 - k))))) AS digits
+          FROM (SELECT page_id, payload, first_id, sha1(payload) AS h FROM p JOIN firsts USING (payload)))
+SELECT page_id, n AS payload_bytes,
+       array_to_string(list_transform(digits, lambda x:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(x AS INTEGER) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM hexed"""
+
+OP8 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e,
+         sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings),
+good AS (SELECT * FROM v WHERE label IS NOT NULL AND norm > 0 AND isfinite(norm)
+         AND len(list_filter(e, lambda x: x IS NULL)) = 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+          ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+reach(a, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.r),
+component AS (SELECT a, min(r) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(degree.n, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN component ON component.a = v.vec_id LEFT JOIN degree ON degree.a = v.vec_id"""
+
+ORACLE = {"op6_warc": OP6, "op8_embeddings": OP8, "op1_decontaminate": OP1, "op4_secrets": OP4}

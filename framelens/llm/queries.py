@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, langid, minhash, packing, secrets, toxicity
+from . import decontam, forest, langid, minhash, packing, secrets, toxicity, urls, warc
 from .common import table
 
 
@@ -20,6 +20,12 @@ def op1_decontaminate(spark, d):
         (n_hit > 0).alias("contaminated"))
 
 
+def op3_urls(spark, d):
+    """Verdict on every page's url."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 def op4_secrets(spark, d):
     """Secret spans of every document, through an empty ledger."""
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -41,6 +47,13 @@ def op5_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents").select("doc_id", "text"))
 
 
+def op6_warc(spark, d):
+    """Records of all pages, read back from the archives written."""
+    manifest = warc.write_archives(table(spark, d, "pages").select("page_id", "url", "html"))
+    return warc.read_archives(manifest, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_langid(spark, d):
     """Language of every document, learned from the rows outside the held-out fold."""
     docs = table(spark, d, "documents")
@@ -49,6 +62,12 @@ def op7_langid(spark, d):
         "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_embeddings(spark, d):
+    """Links and component of every embedding."""
+    found = forest.near_duplicates(table(spark, d, "embeddings").select("vec_id", "embedding", "label"))
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
 def op9_minhash(spark, d):
     """Near-duplicate class of every document."""
     found = minhash.classes(table(spark, d, "documents").select("doc_id", "text"))
@@ -66,9 +85,12 @@ def op10_toxicity(spark, d):
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_urls": op3_urls,
     "op4_secrets": op4_secrets,
     "op5_packing": op5_packing,
+    "op6_warc": op6_warc,
     "op7_langid": op7_langid,
+    "op8_embeddings": op8_embeddings,
     "op9_minhash": op9_minhash,
     "op10_toxicity": op10_toxicity,
 }
