@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import secrets
+from . import licenses, secrets
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORDS = ("regexp_extract_all(translate(coalesce(text, ''), '" + UPPER + "', '" + UPPER.lower()
@@ -54,6 +54,48 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN told USING (rid)"""
 
+def _op2() -> str:
+    lower = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
+    values = ", ".join(f"({i}, '{name}', '{t}', {n})" for i, (name, _) in enumerate(licenses.TEMPLATES)
+                       for t, n in sorted(licenses.TERMS[i].items()))
+    tok = licenses.TOKEN
+    return f"""
+WITH tmpl(i, license, term, n) AS (VALUES {values}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {lower} AS t,
+             coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/group' || (doc_id // 1000)
+             || '/' || (doc_id // 100) AS dir,
+             CASE WHEN doc_id % 100 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS name FROM documents),
+toks AS (SELECT DISTINCT rid, unnest(regexp_extract_all(t, '{tok}')) AS term FROM d),
+df AS (SELECT term, count(*) AS n FROM toks WHERE term IN (SELECT term FROM tmpl) GROUP BY term),
+idf AS (SELECT v.term, ln((1 + (SELECT count(*) FROM d)) / (1 + coalesce(df.n, 0))) + 1 AS idf
+        FROM (SELECT DISTINCT term FROM tmpl) v LEFT JOIN df USING (term)),
+tw AS (SELECT i, license, term, n * idf AS w, sqrt(sum((n * idf) ^ 2) OVER (PARTITION BY i)) AS norm
+       FROM tmpl JOIN idf USING (term)),
+sents AS (SELECT rid, row_number() OVER () AS sid, s FROM (
+            SELECT rid, unnest(string_split(regexp_replace(t, '{licenses.SENTENCE_END}', '\\1' || chr(10), 'g'),
+                                            chr(10))) AS s FROM d)
+          WHERE regexp_matches(s, '{licenses.MENTION}')),
+st AS (SELECT rid, sid, term, count(*) * any_value(idf) AS w
+       FROM (SELECT rid, sid, unnest(regexp_extract_all(s, '{tok}')) AS term FROM sents) JOIN idf USING (term)
+       GROUP BY rid, sid, term),
+sn AS (SELECT sid, sqrt(sum(w * w)) AS norm FROM st GROUP BY sid),
+cosine AS (SELECT st.rid, tw.i, tw.license, round(sum(st.w * tw.w / tw.norm) / any_value(sn.norm), 6) AS score
+           FROM st JOIN tw USING (term) JOIN sn USING (sid) GROUP BY st.rid, st.sid, tw.i, tw.license),
+own AS (SELECT rid, license AS own_license, score AS own_score FROM cosine
+        QUALIFY row_number() OVER (PARTITION BY rid ORDER BY score DESC, i) = 1 AND score >= {licenses.LEAST}),
+files AS (SELECT d.rid, doc_id, dir, name, own_license, own_score FROM d LEFT JOIN own USING (rid)),
+given AS (SELECT dir, own_license AS license FROM files WHERE name = 'LICENSE' AND own_license IS NOT NULL
+          QUALIFY row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, own_license DESC) = 1),
+near AS (SELECT f.rid, g.dir, g.license FROM files f JOIN given g
+         ON f.dir = g.dir OR starts_with(f.dir, g.dir || '/')
+         QUALIFY row_number() OVER (PARTITION BY f.rid ORDER BY length(g.dir) DESC) = 1)
+SELECT doc_id, files.dir || '/' || name AS path, own_license, own_score,
+       coalesce(own_license, near.license) AS license,
+       CASE WHEN own_license IS NOT NULL THEN 'own' WHEN near.license IS NOT NULL THEN 'inherited' END AS origin,
+       CASE WHEN own_license IS NULL THEN near.dir END AS from_dir
+FROM files LEFT JOIN near USING (rid)"""
+
+
 OP6 = """
 WITH p AS (SELECT page_id, CAST(encode(coalesce(html, '')) AS BLOB) AS payload FROM pages),
 firsts AS (SELECT payload, min(page_id) AS first_id FROM p GROUP BY payload),
@@ -84,4 +126,4 @@ degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT v.vec_id, coalesce(degree.n, 0) AS n_links, component_id, v.vec_id = component_id AS kept
 FROM v JOIN component ON component.a = v.vec_id LEFT JOIN degree ON degree.a = v.vec_id"""
 
-ORACLE = {"op6_warc": OP6, "op8_embeddings": OP8, "op1_decontaminate": OP1, "op4_secrets": OP4}
+ORACLE = {"op2_licenses": _op2(), "op6_warc": OP6, "op8_embeddings": OP8, "op1_decontaminate": OP1, "op4_secrets": OP4}

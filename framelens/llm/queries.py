@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, forest, langid, minhash, packing, secrets, toxicity, urls, warc
+from . import decontam, forest, langid, licenses, minhash, packing, secrets, toxicity, urls, warc
 from .common import table
 
 
@@ -20,6 +20,18 @@ def op1_decontaminate(spark, d):
         (n_hit > 0).alias("contaminated"))
 
 
+def op2_licenses(spark, d):
+    """License of every document, laid out as files: source/lang/group/name; each group's first is LICENSE."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    name = F.when(F.col("doc_id") % 100 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")),
+                       F.concat(F.lit("group"), F.floor(F.col("doc_id") / 1000).cast("string")),
+                       F.floor(F.col("doc_id") / 100).cast("string"), name)
+    files = docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), path).alias("path"), "text")
+    return licenses.licenses(files).select(
+        "doc_id", "path", "own_license", "own_score", "license", "origin", "from_dir")
+
+
 def op3_urls(spark, d):
     """Verdict on every page's url."""
     pages = table(spark, d, "pages").select("page_id", "url")
@@ -85,6 +97,7 @@ def op10_toxicity(spark, d):
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_licenses": op2_licenses,
     "op3_urls": op3_urls,
     "op4_secrets": op4_secrets,
     "op5_packing": op5_packing,
