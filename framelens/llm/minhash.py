@@ -14,8 +14,10 @@ Work grows with candidates, not with the square of a group:
 1. texts with the same words are one class, known by its smallest doc_id;
 2. in each bucket every class is verified against the bucket's smallest id, so
    a group of near copies costs one comparison per member;
-3. connected classes are contracted; only pairs of a bucket that are still in
-   different components and whose samples agree often enough are compared.
+3. connected classes are contracted; in buckets with classes still apart, the
+   members outside the centre's component are compared with all others, in
+   blocks of bounded size whose intersections are matrix products. A block
+   returns links to roots, never pairs.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ BANDS, ROWS = 12, 4
 FEATURE_BITS = 18
 TABLE = 1 << 14
 CHUNK = 1 << 13
-# samples that two documents of SIMILARITY agree in, less six standard deviations
-LEAST_AGREEING = int(BANDS * ROWS * SIMILARITY - 6 * (BANDS * ROWS * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
+BLOCK = 256
+SLICE = 4096
 
 
 def _documents(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -122,14 +124,11 @@ class Sampler:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray, size: int = SHINGLE) -> DataFrame:
-    """``(doc_id, content, bands, sketch)``: hash of the words, band keys, one byte per sample.
-
-    All three are null for a text without words.
-    """
+    """``(doc_id, content, bands)``: hash of the words and band keys, null for a text without words."""
     shared = docs.sparkSession.sparkContext.broadcast(idf.astype(np.float32))
-    kind = pa.struct([("content", pa.string()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int8()))])
+    kind = pa.struct([("content", pa.string()), ("bands", pa.list_(pa.int64()))])
 
-    @F.arrow_udf("struct<content:string,bands:array<bigint>,sketch:array<tinyint>>")
+    @F.arrow_udf("struct<content:string,bands:array<bigint>>")
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sampler, idf = Sampler(), shared.value
         for texts in batches:
@@ -143,7 +142,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, size: int = SHINGLE) -> DataFra
                 for column in drawn.reshape(BANDS, ROWS).T:
                     key = mix(key + column)
                 rows.append({"content": hashlib.blake2b(hashes.tobytes(), digest_size=16).hexdigest(),
-                             "bands": key.view(np.int64), "sketch": (drawn >> np.uint64(8)).astype(np.int8)})
+                             "bands": key.view(np.int64)})
             yield pa.array(rows, type=kind)
 
     return docs.select("doc_id", sign("text").alias("s")).select("doc_id", "s.*")
@@ -166,19 +165,65 @@ def similarity(idf_shared, size: int = SHINGLE):
     return compare
 
 
-def _agreeing(a: str, b: str):
-    same = F.zip_with(a, b, lambda x, y: (x == y).cast("int"))
-    return F.aggregate(same, F.lit(0), lambda acc, x: acc + x)
-
+def _linked(idf_shared, least: float, size: int):
+    """Group function: all pairs of the two chunks of a group; per text its root among those linked.
 
-def classes(docs: DataFrame, size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    A shingle that occurs n times counts as n columns, so the weighted
+    intersection of two texts is a product of binary rows. Columns are taken in
+    slices, those of one text alone not at all.
+    """
+    def link(group: pa.Table) -> pa.Table:
+        idf = idf_shared.value
+        t = group.combine_chunks()
+        node, side = t.column("node").to_numpy(), t.column("side").to_numpy()
+        row, column, total = [], [], np.zeros(len(node))
+        for i, hashes in enumerate(_documents(t.column("text").combine_chunks())):
+            found, count = np.unique(shingles(hashes, size), return_counts=True)
+            each = np.repeat(found, count)
+            copy = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+            total[i] = idf[feature(each)].sum()
+            row.append(np.full(len(each), i))
+            # the copy number goes into the column's hash, the weight stays the shingle's
+            column.append(np.stack([mix(each + copy.astype(np.uint64)), each], axis=1))
+        row, column = np.concatenate(row), np.concatenate(column)
+        _, first, number, times = np.unique(column[:, 0], return_index=True, return_inverse=True, return_counts=True)
+        weight = np.sqrt(idf[feature(column[first, 1])])
+        shared_column = times > 1
+        place = np.cumsum(shared_column) - 1
+        keep = shared_column[number]
+        row, number = row[keep], number[keep]
+        order = np.argsort(place[number], kind="stable")
+        row, at, value = row[order], place[number][order], weight[number][order]
+        both = np.zeros((len(node), len(node)))
+        for low in range(0, int(shared_column.sum()), SLICE):
+            i, j = np.searchsorted(at, [low, low + SLICE])
+            part = np.zeros((len(node), SLICE))
+            part[row[i:j], at[i:j] - low] = value[i:j]
+            both += part @ part.T
+        same = side[:, None] == side[None, :] if (side > 0).any() and (side == 0).any() else False
+        similar = both / np.maximum(total[:, None] + total[None, :] - both, 1e-12)
+        linked = (similar >= least) & ~np.logical_and(same, node[:, None] != node[None, :])
+        np.fill_diagonal(linked, True)
+        root = node.copy()
+        while True:  # smallest id reachable inside the group
+            step = np.where(linked, root[None, :], np.iinfo(np.int64).max).min(axis=1)
+            if (step == root).all():
+                break
+            root = step
+        moved = root != node
+        return pa.table({"src": root[moved], "dst": node[moved]})
+
+    return link
+
+
+def classes(docs: DataFrame, size: int = SHINGLE, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """``(doc_id, class_id)`` per row: class_id is the smallest doc_id of the row's group.
 
     Rows with equal words, or linked by a chain of pairs of similarity
     ``least`` or more, are one group. A text shorter than ``size`` words is
     one shingle; a null, empty or wordless text is a class of its own. Rows
-    that share a doc_id are versions of one document and of one class. A null
-    doc_id has a null class. An empty table gives an empty result.
+    that share a doc_id take the smallest class of their texts. A null doc_id
+    has a null class. An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     named = rows.filter("doc_id is not null")
@@ -187,8 +232,8 @@ def classes(docs: DataFrame, size: int = SHINGLE, least: float = SIMILARITY) ->
     node_of = signed.filter("content is not null").groupBy("content").agg(F.min("doc_id").alias("node"))
     # a class is read at its node's row; a doc_id with several texts joins their classes
     heads = (signed.join(node_of, "content").filter("doc_id = node").dropDuplicates(["content"])
-             .select("node", "bands", "sketch"))
-    buckets = cut_lineage(heads.select("node", "sketch", F.posexplode("bands").alias("band", "key")))
+             .select("node", "bands"))
+    buckets = cut_lineage(heads.select("node", F.posexplode("bands").alias("band", "key")))
     centres = (buckets.groupBy("band", "key").agg(F.min("node").alias("centre"), F.max("node").alias("last"))
                .filter("centre < last").drop("last"))
     shared_bucket = cut_lineage(buckets.join(centres, ["band", "key"]))
@@ -209,33 +254,31 @@ def classes(docs: DataFrame, size: int = SHINGLE, least: float = SIMILARITY) ->
     links = cut_lineage(verified(star))
     label = connected_components(nodes, links)
 
-    # pairs of a bucket that are still apart and agree in enough samples
-    open_ = shared_bucket.join(label, "node")
-    apart = (open_.groupBy("band", "key").agg(F.min("label").alias("_a"), F.max("label").alias("_z"))
-             .filter("_a < _z").select("band", "key"))
-    rest = cut_lineage(open_.join(apart, ["band", "key"]).select("band", "key", "node", "label", "sketch"))
-    left = rest.select("band", "key", F.col("node").alias("src"), F.col("label").alias("_la"),
-                       F.col("sketch").alias("_sa"))
-    right = rest.select("band", "key", F.col("node").alias("dst"), F.col("label").alias("_lb"),
-                        F.col("sketch").alias("_sb"))
-    pairs = (left.join(right, ["band", "key"])
-             .filter((F.col("_la") < F.col("_lb")) & (_agreeing("_sa", "_sb") >= LEAST_AGREEING))
-             .select("src", "dst").distinct())
-    more = cut_lineage(verified(pairs))
+    # buckets with classes still apart: members outside the centre's component against all others
+    open_ = shared_bucket.join(label, "node").select("band", "key", "node", "label")
+    bucket = ["band", "key"]
+    apart = (open_.groupBy(*bucket).agg(F.min("label").alias("_low"), F.max("label").alias("_high"),
+                                        F.min(F.struct("node", "label")).alias("_c"))
+             .filter("_low < _high").select(*bucket, F.col("_c.label").alias("_main")))
+    rest = cut_lineage(open_.join(apart, bucket).select(
+        *bucket, "node", (F.col("label") == F.col("_main")).alias("main")))
+    sizes = rest.groupBy(*bucket).agg(
+        F.ceil(F.sum((~F.col("main")).cast("int")) / block).cast("int").alias("_few"),
+        F.ceil(F.sum(F.col("main").cast("int")) / block).cast("int").alias("_many"))
+    chunk = F.when(F.col("main"), F.col("_few") + F.pmod(F.xxhash64("node"), F.col("_many")).cast("int")).otherwise(
+        F.pmod(F.xxhash64("node"), F.col("_few")).cast("int"))
+    others = F.sequence(F.lit(0), F.when(F.col("main"), F.col("_few") - 1).otherwise(F.col("_few") + F.col("_many") - 1))
+    blocks = (rest.join(sizes, bucket).withColumn("_mine", chunk).withColumn("_other", F.explode(others))
+              .select(*bucket, "node", F.least("_mine", "_other").alias("i"), F.greatest("_mine", "_other").alias("j"),
+                      (F.col("_mine") > F.col("_other")).cast("int").alias("side")))
+    more = cut_lineage(blocks.join(texts.withColumnRenamed("doc_id", "node"), "node")
+                       .groupBy(*bucket, "i", "j").applyInArrow(_linked(shared, least, size), "src bigint, dst bigint"))
     label = connected_components(nodes, links.unionByName(more))
     member = signed.select("doc_id", "content").join(node_of, "content", "left").join(label, "node", "left")
     group = F.coalesce("label", "node", "doc_id")
-    # versions of one document (a doc_id with several texts) fall into its smallest class
-    out = member.select("doc_id", group.alias("_g"))
-    per_id = out.groupBy("doc_id").agg(F.min("_g").alias("class_id"), F.max("_g").alias("_z"))
-    split = per_id.filter("class_id < _z").select(F.col("_z").alias("src"), F.col("class_id").alias("dst"))
-    fixed = per_id.drop("_z")
-    if not split.isEmpty():
-        every = per_id.select(F.col("class_id").alias("node")).union(per_id.select("_z")).distinct()
-        joined = connected_components(every, split)
-        fixed = fixed.join(joined.withColumnRenamed("node", "class_id"), "class_id").select(
-            "doc_id", F.col("label").alias("class_id"))
-    return rows.select("doc_id").join(fixed, "doc_id", "left")
+    # versions of one document (a doc_id with several texts) take their smallest class
+    of_id = member.select("doc_id", group.alias("_g")).groupBy("doc_id").agg(F.min("_g").alias("class_id"))
+    return rows.select("doc_id").join(of_id, "doc_id", "left")
 
 
 def deduplicate(docs: DataFrame, size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
