@@ -90,7 +90,7 @@ def op10_toxicity(spark, d):
     """Toxicity score of every document, learned from labelled rows outside the held-out fold."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     labels = table(spark, d, "labels").select("doc_id", "toxic").filter(~toxicity.held_out())
-    model = toxicity.fit(docs.join(labels, "doc_id"))
+    model = toxicity.fit(docs, labels)
     return toxicity.score(docs, model).select(
         "doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 

@@ -124,13 +124,15 @@ def counterfactual(terms: np.ndarray, n: int, seed: int, of_term: list[np.ndarra
     return np.concatenate(at), np.concatenate(value)
 
 
-def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, fairness: float = 1.0, ridge: float = 0.1,
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, fairness: float = 1.0, ridge: float = 0.1,
         smooth: float = 10.0, rounds: int = 60) -> dict:
-    """Weights from rows (doc_id, text, toxic); null labels, ids and texts teach nothing.
+    """Weights from texts (doc_id, text) and labels (doc_id, toxic).
 
-    With labels of one kind only, every score is that share (0.01 to 0.99).
+    The sample is drawn from the narrow label table, so it is its about
+    ``train_rows`` rows that are sent to the texts. Null labels, ids and texts
+    teach nothing. With labels of one kind only, every score is that share (0.01 to 0.99).
     """
-    rows = labelled.filter(F.col("toxic").isin(0, 1) & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    rows = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     size = 1 << BITS
     if len(counts) < 2:
@@ -140,7 +142,8 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, fairness: float = 1.0
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     sample = rows.filter(part < F.when(F.col("toxic") == 1, int(1_000_000 * share[1]) + 1)
                          .otherwise(int(1_000_000 * share[0]) + 1))
-    found = sample.select("doc_id", "toxic", row_features()("text").alias("f")).select(
+    texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(sample), "doc_id")
+    found = texts.select("doc_id", "toxic", row_features()("text").alias("f")).select(
         "doc_id", "toxic", "f.*").toArrow().sort_by([("doc_id", "ascending")])
     y = found.column("toxic").to_numpy().astype(np.float64)
     n = np.maximum(found.column("n").to_numpy(), 1)

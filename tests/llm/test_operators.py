@@ -330,7 +330,7 @@ def test_toxicity_held_out_and_counterfactual(spark):
         common.table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id").toPandas()
     assert ((found.predicted == 1) == (found.toxic == 1)).mean() > 0.97
     labels = common.table(spark, sf, "labels").filter(~toxicity.held_out())
-    model = toxicity.fit(common.table(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.fit(common.table(spark, sf, "documents"), labels)
     pair = spark.createDataFrame([(0, "the women of the town"), (1, "the men of the town"), (2, ""), (3, None),
                                   (4, "12 !")], "doc_id long, text string").withColumn("score", F.lit("x"))
     s = [r["score"] for r in toxicity.score(pair, model).orderBy("doc_id").collect()]
@@ -339,7 +339,7 @@ def test_toxicity_held_out_and_counterfactual(spark):
 
 def test_toxicity_edge_labels(spark):
     df = docs(spark, ["a", "b", None]).withColumn("toxic", F.lit(None).cast("int"))
-    assert toxicity.fit(df)["bias"] < 0
-    only = toxicity.fit(df.withColumn("toxic", F.lit(1)))
+    assert toxicity.fit(df, df)["bias"] < 0
+    only = toxicity.fit(df, df.withColumn("toxic", F.lit(1)))
     assert [r["predicted"] for r in toxicity.score(df, only).collect()] == [1, 1, 1]
     assert toxicity.score(df.limit(0), only).count() == 0
