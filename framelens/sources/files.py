@@ -8,24 +8,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..schemas import ANNOTATION, EXPORT, MISSING, RAW
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """Metadata export (CSV with header; quoted fields may span lines)."""
-    return (spark.read.schema(EXPORT).option("header", True).option("multiLine", True)
-                 .option("quote", '"').option("escape", '"').csv(path))
+    """Metadata export (CSV with header; quoted fields may span lines), columns taken by name.
+
+    A column that the header lacks is null.
+    """
+    raw = (spark.read.option("header", True).option("multiLine", True)
+                .option("quote", '"').option("escape", '"').csv(path))
+    schema = EXPORT if not isinstance(EXPORT, str) else StructType.fromDDL(EXPORT)
+    return raw.select(*[(F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                        for f in schema.fields])
 
 
 def read_raw(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Raw corpus (JSON Lines): (records, quarantined malformed lines).
 
-    Blank lines are skipped; a malformed line lands in the quarantine frame
+    Blank lines are skipped; a line that is no JSON object lands in the quarantine frame
     (column ``line``) rather than failing the job or vanishing silently.
     """
     lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
-    ok = F.try_parse_json("value").isNotNull()
+    ok = F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{")
     good = lines.filter(ok).select(F.from_json("value", RAW).alias("r")).select("r.*")
     bad = lines.filter(~ok).select(F.col("value").alias("line"))
     return good, bad

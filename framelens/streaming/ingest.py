@@ -9,6 +9,7 @@ appends nothing twice.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,9 @@ def url_bucket(col: str = "url"):
 def _corpus(spark: SparkSession, corpus_path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(corpus_path)
-    except Exception:  # noqa: BLE001 - no corpus yet
+    except AnalysisException as ex:  # only a missing corpus is an empty one
+        if ex.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
 
 

@@ -149,3 +149,26 @@ def test_collection_status_reconciles(spark):
     # recovered, still missing
     assert sum(by.values()) == records == 250
     assert by["short"] == 3 and by["missing"] == Q.q_still_missing(spark, SF_CHECK).count()
+
+
+def test_bad_ledger_date_does_not_end_the_job(spark):
+    from framelens.operators.collection import nearest_snapshot
+
+    ledger = spark.createDataFrame([("u", "bad"), ("v", "2020-01-02")], "url string, date string")
+    snaps = spark.createDataFrame([("u", "20200101000000", True), ("v", "20200101000000", True),
+                                   ("v", "junk", True)], "url string, stamp string, available boolean")
+    got = {r["url"]: r["stamp"] for r in nearest_snapshot(ledger, snaps).collect()}
+    assert got == {"u": "20200101000000", "v": "20200101000000"}
+
+
+def test_export_columns_are_taken_by_name(spark, tmpdir_path):
+    from framelens.sources.files import read_export, read_raw
+
+    with open(tmpdir_path + "/e.csv", "w") as fh:
+        fh.write("url,id\nhttp://x,7\n")
+    row = read_export(spark, tmpdir_path + "/e.csv").first()
+    assert row["id"] == "7" and row["url"] == "http://x"
+    with open(tmpdir_path + "/r.json", "w") as fh:
+        fh.write('{"url": "u"}\n[1,2]\n3\n')
+    good, bad = read_raw(spark, tmpdir_path + "/r.json")
+    assert good.count() == 1 and bad.count() == 2
