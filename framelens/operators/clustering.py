@@ -150,9 +150,12 @@ def eps_edges(nodes: DataFrame, params: Params = DEFAULT, n_pivots: int = 32,
     ``round(cosine, 6) >= eps_cosine``; exact (no candidate cap).
 
     Inside a cell, replicas and homes are cut into hash chunks of about
-    ``block`` rows; each (replica chunk, home chunk) pair is one row of a
-    join and one numpy matrix product, so work is spread over tasks and no
-    task holds more than two chunks, however large the cell.
+    ``block`` rows; each (cell, replica chunk, home chunk) is one join key and
+    one numpy matrix product, so work is spread over tasks and no task holds
+    more than two chunks, however large the cell. Cells prune only where the
+    radius is small against the distances to the pivots: at a radius of 1 or
+    more between unit vectors every node is in every cell, and this is a
+    blocked comparison of all pairs.
     """
     eps = params.eps_cosine
     # slack so that the rounding in the test can never drop a true edge
@@ -166,14 +169,16 @@ def eps_edges(nodes: DataFrame, params: Params = DEFAULT, n_pivots: int = 32,
                     .withColumn("rchunk", F.pmod(F.xxhash64("node", F.lit(1)),
                                                  F.ceil(F.col("n_rep") / block))))
     homes = (chunked.filter("home").groupBy("cell", "hchunk")
-                    .agg(F.collect_list(F.struct("node", "vec")).alias("_h"))
-                    .select("cell", F.transform("_h", lambda x: x["node"]).alias("hid"),
-                            F.transform("_h", lambda x: x["vec"]).alias("hvec")))
+                    .agg(F.collect_list(F.struct("node", "vec")).alias("_h"),
+                         F.first(F.ceil(F.col("n_rep") / block)).alias("_k"))
+                    .select("cell", "hchunk", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("rchunk"),
+                            F.col("_h.node").alias("hid"), F.col("_h.vec").alias("hvec")))
     reps = (chunked.groupBy("cell", "rchunk")
-                   .agg(F.collect_list(F.struct("node", "vec")).alias("_r"))
-                   .select("cell", F.transform("_r", lambda x: x["node"]).alias("rid"),
-                           F.transform("_r", lambda x: x["vec"]).alias("rvec")))
-    blocks = reps.join(homes, "cell").select("rid", "rvec", "hid", "hvec")
+                   .agg(F.collect_list(F.struct("node", "vec")).alias("_r"),
+                        F.first(F.ceil(F.col("n_home") / block)).alias("_k")).filter("_k > 0")
+                   .select("cell", "rchunk", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("hchunk"),
+                           F.col("_r.node").alias("rid"), F.col("_r.vec").alias("rvec")))
+    blocks = reps.join(homes, ["cell", "rchunk", "hchunk"]).select("rid", "rvec", "hid", "hvec")
     return blocks.mapInPandas(_block_edges(eps), "src long, dst long, cosine double")
 
 
@@ -256,51 +261,79 @@ def topic_centroids(vectors: DataFrame, assignment: DataFrame, key: str = "vec_i
                    .select("topic", F.transform("_c", lambda s: s["x"]).alias("centroid")))
 
 
+def _against_centroids(vectors: DataFrame, cents: DataFrame, body, schema: str, key: str, col: str,
+                       block: int = 256, topics_per_block: int = 1024, salts: int = 64) -> DataFrame:
+    """``body`` over every (vector chunk, centroid block) pair, one numpy product each.
+
+    Vectors come in hash chunks of about ``block`` rows, centroids in blocks
+    of ``topics_per_block``; each block is copied to ``salts`` keys, so a
+    block is never one reducer's key. Nothing is read by the driver but the
+    row count and the largest topic number. ``vectors`` may carry ``topic``.
+    """
+    size = vectors.agg(F.count(F.lit(1))).first()[0]
+    last = cents.agg(F.max("topic")).first()[0]
+    n_blocks = 0 if last is None else last // topics_per_block + 1
+    own = F.col("topic") if "topic" in vectors.columns else F.lit(-1)
+    chunk = F.pmod(F.xxhash64(key), F.lit(max(1, -(-size // block))))
+    chunks = (vectors.select(F.col(key).alias("_key"), own.alias("_own"), F.col(col).alias("_vec"), chunk.alias("_chunk"))
+                     .groupBy("_chunk").agg(F.collect_list(F.struct("_key", "_own", "_vec")).alias("_v"))
+                     .withColumn("_salt", F.col("_chunk") % salts)
+                     .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)) if n_blocks
+                                                   else F.array().cast("array<int>"))))
+    blocks = (cents.groupBy(F.floor(F.col("topic") / topics_per_block).cast("int").alias("_blk"))
+                   .agg(F.collect_list(F.struct("topic", "centroid")).alias("_c"))
+                   .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))))
+    pairs = chunks.join(blocks, ["_blk", "_salt"]).select(
+        F.col("_v._key").alias("ids"), F.col("_v._own").alias("own"), F.col("_v._vec").alias("vecs"),
+        F.col("_c.topic").alias("tids"), F.col("_c.centroid").alias("cents"))
+
+    def unit(rows):
+        x = np.stack(rows).astype(np.float64)
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(n == 0, 1.0, n)
+
+    def run(batches):
+        for pdf in batches:
+            for ids, own_, vecs, tids, cs in zip(pdf["ids"], pdf["own"], pdf["vecs"], pdf["tids"], pdf["cents"]):
+                # cosines lie in [-1, 1], so the softmax needs no shift
+                yield body(np.asarray(ids), np.asarray(own_), np.asarray(tids), np.exp(unit(vecs) @ unit(cs).T))
+
+    return pairs.mapInPandas(run, schema)
+
+
 def topic_probability(vectors: DataFrame, assignment: DataFrame, key: str = "vec_id",
-                      col: str = "embedding", max_topics: int = 10000) -> DataFrame:
+                      col: str = "embedding") -> DataFrame:
     """Long ``(key, topic, probability)``: softmax over topics of the cosine of
     each vector to each topic centroid (all topics, as the study requests).
 
-    The centroid table is topics x dimensions; it is checked against
-    ``max_topics`` before it is shipped to the tasks.
+    The full matrix has vectors x topics rows; :func:`assign_topics` gives the
+    assigned topic's probability alone, without it. No topics: no rows.
     """
-    cents = topic_centroids(vectors, assignment, key, col)
-    n_topics = cents.count()
-    if n_topics > max_topics:
-        raise ValueError(f"{n_topics} topics exceed max_topics={max_topics}")
-    rows = cents.orderBy("topic").collect()
-    if not rows:
-        return vectors.select(key).limit(0).select(
-            key, F.lit(-1).alias("topic"), F.lit(1.0).alias("probability"))
-    tids = np.array([r["topic"] for r in rows], dtype=np.int32)
-    cmat = np.array([r["centroid"] for r in rows], dtype=np.float64)
-    cmat = cmat / np.where(np.linalg.norm(cmat, axis=1, keepdims=True) == 0, 1.0,
-                           np.linalg.norm(cmat, axis=1, keepdims=True))
-
-    def score(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.stack(pdf[col].to_numpy()).astype(np.float64)
-            x = x / np.where(np.linalg.norm(x, axis=1, keepdims=True) == 0, 1.0,
-                             np.linalg.norm(x, axis=1, keepdims=True))
-            s = x @ cmat.T
-            e = np.exp(s - s.max(axis=1, keepdims=True))
-            p = e / e.sum(axis=1, keepdims=True)
-            k = len(tids)
-            yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), k),
-                                "topic": np.tile(tids, len(pdf)),
-                                "probability": p.reshape(-1)})
+    def all_topics(ids, own, tids, e):
+        return pd.DataFrame({key: np.repeat(ids, len(tids)), "topic": np.tile(tids, len(ids)),
+                             "e": e.reshape(-1)})
 
-    return vectors.select(key, col).mapInPandas(score, f"{key} long, topic int, probability double")
+    cents = cut_lineage(topic_centroids(vectors, assignment, key, col))
+    long = _against_centroids(vectors.select(key, col), cents, all_topics,
+                              f"{key} long, topic int, e double", key, col)
+    return long.select(key, "topic", (F.col("e") / F.sum("e").over(Window.partitionBy(key))).alias("probability"))
 
 
 def assign_topics(vectors: DataFrame, key: str = "vec_id", col: str = "embedding",
                   params: Params = DEFAULT) -> DataFrame:
-    """``(model_group, key, topic, probability)``: cluster and its membership strength."""
-    topics = density_clusters(vectors, key, col, params)
-    prob = topic_probability(vectors, topics, key, col)
-    return (topics.join(prob, [key, "topic"], "left")
+    """``(model_group, key, topic, probability)``: cluster and its membership strength
+    (0 for outliers)."""
+    topics = cut_lineage(density_clusters(vectors, key, col, params))
+    cents = cut_lineage(topic_centroids(vectors, topics, key, col))
+
+    def own_topic(ids, own, tids, e):
+        hit = own[:, None] == tids[None, :]
+        return pd.DataFrame({key: ids, "own": np.where(hit, e, 0.0).sum(axis=1), "total": e.sum(axis=1)})
+
+    members = vectors.select(key, col).join(topics.filter(F.col("topic") != -1), key)
+    prob = (_against_centroids(members, cents, own_topic, f"{key} long, own double, total double", key, col)
+            .groupBy(key).agg((F.sum("own") / F.sum("total")).alias("probability")))
+    return (topics.join(prob, key, "left")
                   .select(F.lit("all").alias("model_group"), key, "topic",
                           F.coalesce("probability", F.lit(0.0)).alias("probability")))
 

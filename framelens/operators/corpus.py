@@ -60,9 +60,15 @@ def first_per_key(df: DataFrame, key: Column | str, order: str = "doc_id") -> Da
 
 
 def dedup_articles(df: DataFrame, order: str = "doc_id") -> DataFrame:
-    """Drop later duplicates by url, then by text (digest, not the text)."""
-    by_url = first_per_key(df, "url", order)
-    return first_per_key(by_url, F.sha2(F.col("text"), 256), order)
+    """Drop later duplicates by url, then by text.
+
+    Only ``(order, url, digest of the text)`` is aggregated; the survivors'
+    order values (unique per row) then select the whole rows once.
+    """
+    narrow = df.select(order, "url", F.sha2(F.col("text"), 256).alias("_digest"))
+    by_url = narrow.groupBy("url").agg(F.min(F.struct(order, "_digest")).alias("_f"))
+    kept = by_url.groupBy("_f._digest").agg(F.min(f"_f.{order}").alias(order)).select(order)
+    return df.join(kept, order, "left_semi").select(*df.columns)
 
 
 def tag_language(df: DataFrame, detected: DataFrame | None = None,
@@ -105,29 +111,31 @@ def ensure_not_empty(df: DataFrame) -> DataFrame:
 
 
 def attrition(raw: DataFrame, order: str = "doc_id", params: Params = DEFAULT) -> DataFrame:
-    """Rows kept and dropped per reason, one pass over narrow columns.
+    """Rows kept and dropped per reason: one scan, then aggregates of narrow columns.
 
     Reasons in pipeline order: stub, duplicate_url, duplicate_text, undated,
-    kept.
+    kept; a reason without rows is absent.
     """
-    cleaned = clean_articles(raw, params)
-    narrow = cleaned.select(
+    narrow = clean_articles(raw, params).select(
         order, "url", F.sha2(F.col("text"), 256).alias("digest"),
         (F.length("body") >= params.min_chars).alias("long_enough"),
         parse_date("date").isNotNull().alias("dated"))
-    long_rows = narrow.filter("long_enough")
-    url_first = long_rows.groupBy("url").agg(F.min(order).alias(order)) \
-        .select(order, F.lit(True).alias("url_first"))
-    after_url = long_rows.join(url_first, order, "left_semi")
-    text_first = after_url.groupBy("digest").agg(F.min(order).alias(order)) \
-        .select(order, F.lit(True).alias("text_first"))
-    flagged = (narrow.join(url_first, order, "left").join(text_first, order, "left"))
-    reason = (F.when(~F.col("long_enough"), "stub")
-               .when(F.col("url_first").isNull(), "duplicate_url")
-               .when(F.col("text_first").isNull(), "duplicate_text")
-               .when(~F.col("dated"), "undated")
-               .otherwise("kept"))
-    return flagged.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    long_row = F.when(F.col("long_enough"), F.struct(order, "digest", "dated"))
+    per_url = narrow.groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.count(long_row).alias("n_long"),
+                                        F.min(long_row).alias("first"))
+    per_text = per_url.groupBy("first.digest").agg(
+        F.sum(F.col("n") - F.col("n_long")).alias("stub"),
+        F.sum(F.greatest(F.col("n_long") - 1, F.lit(0))).alias("duplicate_url"),
+        F.count("first").alias("n_first"),
+        F.min(F.when(F.col("first").isNotNull(), F.struct(f"first.{order}", "first.dated"))).alias("kept"))
+    one = lambda cond: F.coalesce(F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))), F.lit(0))
+    totals = per_text.agg(
+        F.coalesce(F.sum("stub"), F.lit(0)).alias("stub"),
+        F.coalesce(F.sum("duplicate_url"), F.lit(0)).alias("duplicate_url"),
+        F.coalesce(F.sum(F.greatest(F.col("n_first") - 1, F.lit(0))), F.lit(0)).alias("duplicate_text"),
+        one(F.col("kept").isNotNull() & ~F.col("kept.dated")).alias("undated"),
+        one(F.col("kept").isNotNull() & F.col("kept.dated")).alias("kept"))
+    return totals.unpivot([], totals.columns, "reason", "n").filter(F.col("n") > 0)
 
 
 def volume_counts(articles: DataFrame) -> DataFrame:

@@ -3,8 +3,7 @@
 All frame tables are built from one ``framed`` DataFrame
 ``(doc_id, model_group, topic, frame, year, lang)``; counts are aggregated
 first (partial aggregation, so a hot frame or year costs nothing extra) and
-zero cells are filled by a pivot on the aggregated table, the DataFrame form
-of a crosstab, then turned back into a long table.
+zero cells are filled on the aggregated table.
 """
 
 from __future__ import annotations
@@ -34,13 +33,17 @@ def framed(docs: DataFrame, names: DataFrame, drop_outliers: bool = True) -> Dat
 
 
 def complete_counts(df: DataFrame, row: str, col: str, value: str = "n") -> DataFrame:
-    """Long ``(row, col, n)`` counts with absent cells as 0 (null keys dropped)."""
+    """Long ``(row, col, n)`` counts with absent cells as 0 (null keys dropped).
+
+    Every row value is exploded over the sorted column labels (a scalar
+    subquery on the counts), so labels are only ever values, never column names.
+    """
     clean = df.filter(F.col(row).isNotNull() & F.col(col).isNotNull())
-    wide = clean.groupBy(row).pivot(col).count().na.fill(0)
-    values = [F.col(f"`{c}`") for c in wide.columns if c != row]
-    if not values:
-        return clean.select(row, col).limit(0).withColumn(value, F.lit(0).cast("bigint"))
-    return wide.unpivot(row, values, col, value)
+    counts = clean.groupBy(row, col).agg(F.count(F.lit(1)).alias(value))
+    labels = counts.select(F.sort_array(F.collect_set(col))).scalar()
+    grid = counts.select(row).distinct().select(row, F.explode(labels).alias(col))
+    return (grid.join(counts, [row, col], "left")
+                .select(row, col, F.coalesce(value, F.lit(0)).alias(value)))
 
 
 def frames_over_time(framed_docs: DataFrame) -> DataFrame:

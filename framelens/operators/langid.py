@@ -2,15 +2,17 @@
 
 Trained on labelled rows (``lang`` given), applied to whole texts. The model
 is a ``(lang, trigram, n)`` profile table. Scoring is a join of each
-document's trigram counts with the profile on the trigram, then a sum per
-(document, language):
+document's trigram counts with the profile (one row per trigram, a map from
+language to weight) on the trigram, then one sum per document and language:
 
     score(d, L) = ln P(L) + sum_t c(d,t) * ln(n(t,L) + 1) - C(d) * ln(N_L + V)
 
 (Laplace smoothing: trigrams unseen for L contribute only the last term, so
 only matched trigrams need a join row.) Ties go to the smaller language code
 after rounding to 6 places; a text with no trigram has no features and gets
-the fallback.
+the fallback. Trigrams are counted inside the row, so one row per document
+and distinct trigram leaves the scan; a trigram that most documents hold is
+left to the adaptive skew join where the profile is too large to broadcast.
 """
 
 from __future__ import annotations
@@ -33,42 +35,40 @@ def normalized_letters(text) -> Column:
 def trigrams(norm: str) -> Column:
     """All overlapping character trigrams of a normalised-text column.
 
-    One linear regex pass (a zero-width look-ahead that captures the next
-    three characters at every position); indexing the string per position
-    would cost time quadratic in the text length.
+    One linear regex pass: each match consumes one character (a whole code
+    point, also beyond the basic plane) and captures three by look-ahead.
     """
-    return F.regexp_extract_all(F.col(norm), F.lit("(?=(.{3}))"), 1)
+    return F.regexp_extract_all(F.col(norm), F.lit("(?=(.{3}))."), F.lit(1))
 
 
-def exploded_trigrams(docs: DataFrame, cols: list, text: str = "text") -> DataFrame:
-    """One row per (cols..., trigram) occurrence."""
-    return (docs.select(*cols, normalized_letters(text).alias("_norm"))
-                .select(*cols, F.explode(trigrams("_norm")).alias("tri")))
+def trigram_counts(docs: DataFrame, keys: list, text: str = "text") -> DataFrame:
+    """``(keys..., tri, c)``: trigram counts of each row, counted inside the row.
 
-
-def trigram_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``(key, tri, c)``: trigram counts per document (partial aggregation)."""
-    return (exploded_trigrams(docs, [key], text)
-            .groupBy(key, "tri").agg(F.count(F.lit(1)).alias("c")))
+    The sorted trigram array is cut where its value changes. A text without
+    trigrams gives one row with null ``tri`` and ``c``. The one-element
+    ``inline`` steps keep the arrays from being recomputed per element.
+    """
+    listed = (docs.select(*keys, normalized_letters(text).alias("_norm"))
+                  .select(*keys, F.inline(F.array(F.struct(F.sort_array(trigrams("_norm")).alias("_s"))))))
+    s, n = F.col("_s"), F.size("_s")
+    firsts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    cut = listed.select(*keys, "_s", F.inline(F.array(F.struct(
+        F.when(n > 0, firsts).otherwise(F.array().cast("array<int>")).alias("_f")))))
+    f = F.col("_f")
+    runs = F.transform(f, lambda p, j: F.struct(
+        F.get(s, p).alias("tri"),
+        (F.coalesce(F.get(f, j + 1), F.size(s)) - p).cast("long").alias("c")))
+    return cut.select(*keys, F.inline_outer(runs))
 
 
 def train_profiles(labelled: DataFrame, key: str = "doc_id", text: str = "text",
-                   label: str = "lang", doc_counts: DataFrame | None = None
-                   ) -> tuple[DataFrame, DataFrame]:
-    """(profile ``(lang, tri, logn)``, per-language constants ``(lang, prior, denom)``).
-
-    ``doc_counts`` (``(key, tri, c)``, e.g. computed once for all documents
-    and also used for scoring) avoids exploding the training texts twice.
-    """
-    lab = labelled.filter(F.col(label).isNotNull())
-    if doc_counts is None:
-        counts = (exploded_trigrams(lab.withColumnRenamed(label, "lang"), ["lang"], text)
-                     .groupBy("lang", "tri").agg(F.count(F.lit(1)).alias("n")))
-    else:
-        counts = (doc_counts.join(lab.select(key, F.col(label).alias("lang")), key)
-                            .groupBy("lang", "tri").agg(F.sum("c").alias("n")))
+                   label: str = "lang") -> tuple[DataFrame, DataFrame]:
+    """(profile ``(lang, tri, logn)``, per-language constants ``(lang, prior, denom)``)."""
+    lab = labelled.filter(F.col(label).isNotNull()).select(F.col(label).alias("lang"), text)
+    counts = (trigram_counts(lab, ["lang"], text).filter(F.col("tri").isNotNull())
+              .groupBy("lang", "tri").agg(F.sum("c").alias("n")))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("N"))
-    docs = lab.groupBy(F.col(label).alias("lang")).agg(F.count(F.lit(1)).alias("d"))
+    docs = lab.groupBy("lang").agg(F.count(F.lit(1)).alias("d"))
     # Vocabulary size V, split by the first language of each trigram so that
     # it sums over the (few) language rows with a window instead of a join.
     vparts = (counts.groupBy("tri").agg(F.min("lang").alias("lang"))
@@ -84,103 +84,27 @@ def train_profiles(labelled: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def detect_language(docs: DataFrame, profile: DataFrame, consts: DataFrame, key: str = "doc_id",
-                    text: str = "text", hint: str = "lang", params: Params = DEFAULT,
-                    doc_counts: DataFrame | None = None) -> DataFrame:
+                    text: str = "text", hint: str = "lang", params: Params = DEFAULT) -> DataFrame:
     """``(key, lang_detected, lang)``: the best language, and the accepted result.
 
     ``lang`` is the detected code if it is accepted (en/fr by default), else
-    the row's hint; a text without trigrams gives the hint.
+    the row's hint; a text without trigrams gives the hint. Only the constants
+    (one row per language) are read by the driver. Without any labelled row
+    nothing is detected.
     """
-    tc = doc_counts if doc_counts is not None else trigram_counts(docs, key, text)
-    partial = (tc.join(profile, "tri")
-                 .groupBy(key, "lang").agg(F.sum(F.col("c") * F.col("logn")).alias("part")))
-    sizes = tc.groupBy(key).agg(F.sum("c").alias("C"))
-    # Every (document, language) pair gets a score; languages are few (one
-    # row each in ``consts``), the fan-out is per row, not a join of tables.
-    langs = [r["lang"] for r in consts.select("lang").orderBy("lang").collect()]
-    lang_consts = consts.select("lang", "prior", "denom")
-    cand = (docs.select(key, F.col(hint).alias("_hint"))
-                .join(sizes, key, "left")
-                .withColumn("lang", F.explode(F.array(*[F.lit(x) for x in langs])))
-                .join(lang_consts, "lang")
-                .join(partial, [key, "lang"], "left")
-                .withColumn("score", F.round(F.coalesce(F.col("part"), F.lit(0.0)) + F.col("prior")
-                                             - F.coalesce(F.col("C"), F.lit(0)) * F.col("denom"), 6)))
-    best = cand.groupBy(key, "_hint", "C").agg(
-        F.min(F.struct((-F.col("score")).alias("neg"), F.col("lang"))).alias("_b"))
-    detected = F.when(F.coalesce(F.col("C"), F.lit(0)) > 0, F.col("_b.lang"))
+    langs = consts.orderBy("lang").collect()
+    weights = profile.groupBy("tri").agg(
+        F.map_from_entries(F.collect_list(F.struct("lang", "logn"))).alias("_w"))
+    tc = trigram_counts(docs.select(key, F.col(hint).alias("_hint"), text), [key, "_hint"], text)
+    sums = (tc.join(weights, "tri", "left").groupBy(key, "_hint")
+              .agg(F.coalesce(F.sum("c"), F.lit(0)).alias("_C"),
+                   *[F.sum(F.col("c") * F.coalesce(F.col("_w")[r["lang"]], F.lit(0.0))).alias(f"_p{i}")
+                     for i, r in enumerate(langs)]))
+    scored = [F.struct((-F.round(F.coalesce(F.col(f"_p{i}"), F.lit(0.0)) + F.lit(r["prior"])
+                                 - F.col("_C") * F.lit(r["denom"]), 6)).alias("neg"),
+                       F.lit(r["lang"]).alias("lang")) for i, r in enumerate(langs)]
+    best = F.array_min(F.array(*scored))["lang"] if scored else F.lit(None).cast("string")
+    detected = F.when(F.col("_C") > 0, best)
     accepted = detected.isin(*params.accepted_languages)
-    return best.select(key, detected.alias("lang_detected"),
+    return sums.select(key, detected.alias("lang_detected"),
                        F.when(accepted, detected).otherwise(F.col("_hint")).alias("lang"))
-
-
-def detect_language_broadcast(docs: DataFrame, profile: DataFrame, consts: DataFrame,
-                              key: str = "doc_id", text: str = "text", hint: str = "lang",
-                              params: Params = DEFAULT, max_profile_rows: int = 1_000_000
-                              ) -> DataFrame:
-    """Same result as :func:`detect_language`, scored map-side with no shuffle.
-
-    The profile is bounded by the trigram vocabulary of the training texts,
-    not by the corpus; its row count is checked, and only a profile under
-    ``max_profile_rows`` is shipped to the tasks, which then score each text
-    in one pass over its characters (Arrow batches, numpy sums). A larger
-    profile falls back to the join-and-aggregate form.
-    """
-    n_rows = profile.count()
-    if n_rows > max_profile_rows:
-        return detect_language(docs, profile, consts, key, text, hint, params)
-    import numpy as np
-    import pandas as pd
-    import regex
-
-    c_rows = consts.orderBy("lang").collect()
-    langs = [r["lang"] for r in c_rows]
-    base = np.array([r["prior"] for r in c_rows], dtype=np.float64)
-    denom = np.array([r["denom"] for r in c_rows], dtype=np.float64)
-    index = {lang: i for i, lang in enumerate(langs)}
-    # trigram -> one 63-bit key (three 21-bit code points); sorted keys + a
-    # (trigrams x languages) matrix make the per-text lookup a searchsorted
-    keyed: dict[int, np.ndarray] = {}
-    for r in profile.select("tri", "lang", "logn").toLocalIterator():
-        cp = [ord(ch) for ch in r["tri"]]
-        if len(cp) != 3:
-            continue
-        k = (cp[0] << 42) | (cp[1] << 21) | cp[2]
-        vec = keyed.get(k)
-        if vec is None:
-            vec = keyed[k] = np.zeros(len(langs), dtype=np.float64)
-        vec[index[r["lang"]]] = r["logn"]
-    pkeys = np.array(sorted(keyed), dtype=np.uint64)
-    pmat = np.stack([keyed[int(k)] for k in pkeys]) if len(pkeys) else np.zeros((0, len(langs)))
-    shipped = docs.sparkSession.sparkContext.broadcast((langs, base, denom, pkeys, pmat))
-    accepted = set(params.accepted_languages)
-    out_schema = f"{key} long, lang_detected string, lang string"
-
-    def score(batches):
-        langs_, base_, denom_, pkeys_, pmat_ = shipped.value
-        non_letters = regex.compile(r"[^\p{L}]+")
-        for pdf in batches:
-            det, out = [], []
-            for t, h in zip(pdf[text], pdf[hint]):
-                norm = " " + non_letters.sub(" ", t or "").lower() + " "
-                cp = np.frombuffer(norm.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-                if len(cp) < 3:
-                    det.append(None)
-                    out.append(h)
-                    continue
-                keys = (cp[:-2] << np.uint64(42)) | (cp[1:-1] << np.uint64(21)) | cp[2:]
-                uniq, cnt = np.unique(keys, return_counts=True)
-                s = base_ - float(len(keys)) * denom_
-                if len(pkeys_):
-                    pos = np.searchsorted(pkeys_, uniq)
-                    pos_c = np.minimum(pos, len(pkeys_) - 1)
-                    hit = pkeys_[pos_c] == uniq
-                    s = s + cnt[hit].astype(np.float64) @ pmat_[pos_c[hit]]
-                s = np.round(s, 6)
-                best = int(np.flatnonzero(s == s.max())[0])   # ties: smallest code
-                lang = langs_[best]
-                det.append(lang)
-                out.append(lang if lang in accepted else h)
-            yield pd.DataFrame({key: pdf[key], "lang_detected": det, "lang": out})
-
-    return docs.select(key, text, hint).mapInPandas(score, out_schema)

@@ -82,6 +82,7 @@ NOTE_SMALL_EXPECTED = (
 class Params:
     min_chars: int = 200
     accepted_languages: tuple = ACCEPTED_LANGUAGES
+    label_train_mod: int = 2             # rows with doc_id % this = 0 are labelled training rows
     protected_terms: tuple = PROTECTED_TERMS
     ngram_max: int = 2
     min_df: int = 2                      # in >= 2 topics (class documents)

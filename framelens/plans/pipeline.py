@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus, frames, langid, stats, topics
 from ..params import DEFAULT, Params
+from ..session import cut_lineage
 from ..sources import files
 from . import views
 
@@ -16,14 +17,15 @@ def preprocess_with_detection(spark: SparkSession, d: str, params: Params = DEFA
     """#74 in order: clean -> stubs -> dedup -> detected language -> date.
 
     The language model is trained on the labelled rows of ``documents``
-    (even ``doc_id``) and scores the surviving articles' whole texts.
+    (``label_train_mod``) and scores the surviving articles' whole texts.
     """
     raw = views.articles(spark, d)
-    survivors = corpus.dedup_articles(corpus.drop_stubs(corpus.clean_articles(raw, params), params))
+    # written once: the scoring and the final join both read the survivors
+    survivors = cut_lineage(
+        corpus.dedup_articles(corpus.drop_stubs(corpus.clean_articles(raw, params), params)))
     docs = views.table(spark, d, "documents", "doc_id")
-    profile, consts = langid.train_profiles(docs.filter(F.col("doc_id") % 2 == 0))
-    detected = langid.detect_language_broadcast(survivors, profile, consts, "doc_id", "text",
-                                                "lang", params)
+    profile, consts = langid.train_profiles(docs.filter(F.col("doc_id") % params.label_train_mod == 0))
+    detected = langid.detect_language(survivors, profile, consts, "doc_id", "text", "lang", params)
     # detect_language already applies the rule: accepted code, else the hint
     tagged = survivors.drop("lang").join(detected.select("doc_id", "lang"), "doc_id")
     return corpus.date_year(tagged)
@@ -49,10 +51,10 @@ def run_analysis(spark: SparkSession, d: str, out: str, params: Params = DEFAULT
     by_lang = frames.compare_lang(fr)
     cont = frames.frame_contingency(fr)
     result = stats.chi_square(frames.expected_counts(cont), params)
-    files.write_small_csv(over_time, f"{out}/temporal_analysis", order_by=["year", "frame"])
-    files.write_small_csv(by_lang, f"{out}/comparative", order_by=["frame", "lang"])
-    files.write_small_csv(cont, f"{out}/chi2_contingency", order_by=["lang", "frame"])
-    files.write_small_csv(result, f"{out}/chi2_result")
+    files.write_report(over_time, f"{out}/temporal_analysis", order_by=["year", "frame"])
+    files.write_report(by_lang, f"{out}/comparative", order_by=["frame", "lang"])
+    files.write_report(cont, f"{out}/chi2_contingency", order_by=["lang", "frame"])
+    files.write_report(result, f"{out}/chi2_result")
     files.write_annotation_template(frames.annotation_template(model["topic_info"]),
                                     f"{out}/annotation_template")
     return {"articles": art.count(), "result": result.first().asDict()}

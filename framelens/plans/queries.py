@@ -20,7 +20,7 @@ from ..operators import clustering as K
 from ..operators import collection as C
 from ..operators import corpus, frames, langid, stats, topics
 from ..params import DEFAULT, Params
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..streaming.ingest import incremental_ingest
 from . import views
 from .pipeline import preprocess_with_detection
@@ -182,6 +182,19 @@ def q_chi_square(spark, d):
     return rounded(res.select("*", tail))
 
 
+def q_cramers_v(spark, d):
+    """Effect size alone, full precision of the test's row."""
+    exp = frames.expected_counts(ArticlePlan(spark, d).contingency())
+    return rounded(stats.chi_square(exp).select("n", "cramers_v"))
+
+
+def q_tokenize(spark, d):
+    """Unigrams and bigrams of every article, in order, joined by ``|``."""
+    toks = topics.tokenize(ArticlePlan(spark, d).prep())
+    return toks.select("doc_id", F.size("terms").cast("long").alias("n_terms"),
+                       F.array_join("terms", "|").alias("terms"))
+
+
 def q_annotation_gaps(spark, d):
     p = ArticlePlan(spark, d)
     info = p.summary().select(F.col("topic_id").alias("topic"))
@@ -212,6 +225,8 @@ QUERIES = {
     "frame_contingency": q_frame_contingency,
     "expected_counts": q_expected_counts,
     "chi_square": q_chi_square,
+    "cramers_v": q_cramers_v,
+    "tokenize": q_tokenize,
     "annotation_gaps": q_annotation_gaps,
     "annotation_template": q_annotation_template,
 }
@@ -235,13 +250,21 @@ def _known(spark, d):
 
 
 def _live_corpus(spark, d):
-    """First collection pass: the known pages with their extracted bodies."""
+    """First collection pass: the known pages with their extracted bodies, written once
+    (every later step reads that table, as the study reads its corpus file)."""
     recs = _records(spark, d).join(_known(spark, d), "url", "left_semi")
-    return C.with_bodies(recs, views.table(spark, d, "pages", "page_id"))
+    return cut_lineage(C.with_bodies(recs, views.table(spark, d, "pages", "page_id")))
+
 
+def _ledger(spark, d, live=None):
+    live = _live_corpus(spark, d) if live is None else live
+    return cut_lineage(C.missing_ledger(_records(spark, d), live))
 
-def _ledger(spark, d):
-    return C.missing_ledger(_records(spark, d), _live_corpus(spark, d))
+
+def _recovered(spark, d):
+    """(merged corpus, still missing) of the recovery over the written corpus and ledger."""
+    live = _live_corpus(spark, d)
+    return C.recover_merge(_ledger(spark, d, live), live, views.snapshot_index(spark, d))
 
 
 def q_canon_domain(spark, d):
@@ -358,15 +381,13 @@ def q_collect_merge(spark, d):
 
 
 def q_recover_merge(spark, d):
-    merged, _ = C.recover_merge(_ledger(spark, d), _live_corpus(spark, d),
-                                views.snapshot_index(spark, d))
+    merged, _ = _recovered(spark, d)
     return merged.select("id", "url", "source", "date", F.length("body").alias("body_chars"),
                          "retrieved_via")
 
 
 def q_still_missing(spark, d):
-    _, still = C.recover_merge(_ledger(spark, d), _live_corpus(spark, d),
-                               views.snapshot_index(spark, d))
+    _, still = _recovered(spark, d)
     return still
 
 
@@ -398,31 +419,20 @@ QUERIES.update({
 # ---------------------------------------------------------------------------
 
 
-def language_model(spark, d):
-    """Profiles trained on the labelled half (even doc_id) of ``documents``."""
+def language_model(spark, d, params: Params = DEFAULT):
+    """Profiles trained on the labelled rows (``label_train_mod``), written once."""
     docs = views.table(spark, d, "documents", "doc_id")
-    return langid.train_profiles(docs.filter(F.col("doc_id") % 2 == 0), "doc_id", "text", "lang")
+    labelled = docs.filter(F.col("doc_id") % params.label_train_mod == 0)
+    return tuple(cut_lineage(t) for t in langid.train_profiles(labelled, "doc_id", "text", "lang"))
 
 
 def q_detect_language(spark, d):
-    docs = views.table(spark, d, "documents", "doc_id")
-    profile, consts = langid.train_profiles(docs.filter(F.col("doc_id") % 2 == 0), "doc_id",
-                                            "text", "lang")
-    profile, consts = profile.persist(), consts.persist()
-    return langid.detect_language_broadcast(docs, profile, consts, "doc_id", "text", "lang")
-
-
-def q_detect_language_join(spark, d):
-    """The join-and-aggregate form (used beyond the profile size bound)."""
-    docs = views.table(spark, d, "documents", "doc_id")
-    tc = langid.trigram_counts(docs, "doc_id").persist()
-    profile, consts = langid.train_profiles(docs.filter(F.col("doc_id") % 2 == 0), "doc_id",
-                                            "text", "lang", doc_counts=tc)
-    return langid.detect_language(docs, profile, consts, "doc_id", "text", "lang", doc_counts=tc)
+    profile, consts = language_model(spark, d)
+    return langid.detect_language(views.table(spark, d, "documents", "doc_id"), profile, consts)
 
 
 QUERIES["detect_language"] = q_detect_language
-QUERIES["detect_language_join"] = q_detect_language_join
+QUERIES["detect_language_join"] = q_detect_language     # the key of the one form that is left
 
 
 # ---------------------------------------------------------------------------
@@ -531,9 +541,7 @@ QUERIES["preprocess_detect"] = q_preprocess_detect
 
 
 def q_collection_status(spark, d):
-    merged, still = C.recover_merge(_ledger(spark, d), _live_corpus(spark, d),
-                                    views.snapshot_index(spark, d))
-    return C.collection_status(merged, still)
+    return C.collection_status(*_recovered(spark, d))
 
 
 QUERIES["collection_status"] = q_collection_status

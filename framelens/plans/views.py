@@ -33,13 +33,8 @@ def table(spark: SparkSession, d: str, name: str, key: str | None = None) -> Dat
     df = spark.read.parquet(f"{d}/{name}.parquet")
     if key is None:
         return df
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores, key)
-    except Exception:  # noqa: BLE001 - no RDD access (e.g. a Connect session): keep the scan
-        pass
-    return df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def articles(spark: SparkSession, d: str) -> DataFrame:

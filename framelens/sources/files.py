@@ -59,20 +59,16 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def write_small_csv(df: DataFrame, path: str, max_rows: int = 100_000,
-                    order_by: list[str] | None = None) -> None:
-    """One CSV file for a small report (counts, shares, test result).
+def write_report(df: DataFrame, path: str, order_by: list[str] | None = None) -> None:
+    """CSV report of any size (counts, shares, test result), header in each part file.
 
-    The row count is checked first: only a table of proven small size is
-    moved into a single task. Rows are sorted at the sink (keys ascending),
-    the only place where order matters.
+    Rows are sorted at the sink (keys ascending), the only place where order
+    matters: the sort is a range partition, so the part files are in key
+    order, and adaptive execution merges a small report into one file.
     """
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"{n} rows is too many for a single-file report; use write_table")
     if order_by:
         df = df.orderBy(*order_by)
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_annotation(spark: SparkSession, path: str) -> DataFrame:

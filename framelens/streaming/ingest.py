@@ -1,7 +1,7 @@
 """Incremental, idempotent ingest of raw article records (Structured Streaming).
 
 Each micro-batch drops lines without a url (malformed lines parse to a null
-url), keeps one row per url, removes urls already in the corpus with a left
+url), keeps the first row per url, removes urls already in the corpus with a left
 anti join, and appends. The corpus itself is the dedup state, so no state
 store grows with the number of urls, and a replayed batch after a failure
 appends nothing twice.
@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.corpus import first_per_key
 from ..schemas import RAW_WITH_CORRUPT
 
 
@@ -37,7 +38,8 @@ def merge_batch(corpus_path: str):
         spark = batch.sparkSession
         fresh = (batch.filter(F.col("url").isNotNull())
                       .drop("_corrupt_record")
-                      .dropDuplicates(["url"])
+                      .withColumn("_seq", F.monotonically_increasing_id())
+                      .transform(lambda df: first_per_key(df, "url", "_seq")).drop("_seq")
                       .withColumn("url_bucket", url_bucket()))
         corpus = _corpus(spark, corpus_path)
         if corpus is not None:

@@ -74,8 +74,8 @@ def test_ledger_and_recovery_reconcile(spark):
     recovered = merged.filter(F.col("retrieved_via") == "wayback").count()
     assert ledger == 87
     assert merged.filter(F.col("retrieved_via").isNull()).count() == 166
-    # short live bodies stay in the corpus (never retried), recovered ones are new urls
-    assert recovered + still + 3 == ledger
+    # urls with a short live body are in the ledger and are tried again
+    assert recovered + still == ledger
 
 
 def test_annotation_scan_last_duplicate_wins(spark, tmpdir_path):
@@ -145,10 +145,26 @@ def test_collection_status_reconciles(spark):
     status = Q.q_collection_status(spark, SF_CHECK)
     by = dict(status.groupBy("status").agg(F.sum("n")).collect())
     records = Q.q_normalize_records(spark, SF_CHECK).count()
-    # every record is exactly one of: live, short (kept, never retried),
-    # recovered, still missing
+    # every record is exactly one of: live, recovered, still missing
     assert sum(by.values()) == records == 250
-    assert by["short"] == 3 and by["missing"] == Q.q_still_missing(spark, SF_CHECK).count()
+    assert by["missing"] == Q.q_still_missing(spark, SF_CHECK).count()
+
+
+def test_short_bodies_are_retried_from_available_snapshots(spark):
+    body = lambda n: "<article><p>" + "w" * n + "</p></article>"
+    corpus = spark.createDataFrame(
+        [("1", "t", "u", "2020-01-01", "s", "d", "en", "short"), ("2", "t", "v", "2020-01-01", "s", "d", "en", None)],
+        ", ".join(f"{c} string" for c in C.RAW_COLUMNS))
+    records = corpus.withColumn("body", F.lit(None).cast("string"))
+    ledger = C.missing_ledger(records, corpus)
+    snaps = spark.createDataFrame(
+        [("u", "20200101000000", False, body(900)), ("u", "20200101000000", True, body(300)),
+         ("u", "20200101000000", True, body(250)), ("v", "20200101000000", False, body(300))],
+        "url string, stamp string, available boolean, html string")
+    merged, still = C.recover_merge(ledger, corpus, snaps)
+    got = [(r["url"], len(r["body"])) for r in merged.filter("retrieved_via is not null").collect()]
+    assert got == [("u", 300)]
+    assert [r["url"] for r in still.collect()] == ["v"]
 
 
 def test_bad_ledger_date_does_not_end_the_job(spark):

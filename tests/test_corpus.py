@@ -82,11 +82,63 @@ def test_top_k_matches_brute_force_with_hot_group(spark):
     assert got == want
 
 
-def test_broadcast_and_join_scoring_agree(spark):
+def test_trigrams_are_counted_by_whole_characters(spark):
+    """A letter beyond the basic plane is one character; a short text has no trigram."""
+    wide = "\U00010400"                       # a letter made of two code units
+    df = spark.createDataFrame([(1, f"a{wide}b"), (2, "aaa aaa"), (3, None), (4, "12 3")],
+                               "doc_id long, text string")
+    got = {}
+    for r in langid.trigram_counts(df, ["doc_id"]).collect():
+        got.setdefault(r["doc_id"], {})[r["tri"]] = r["c"]
+    low = wide.lower()
+    assert got[1] == {f" a{low}": 1, f"a{low}b": 1, f"{low}b ": 1}
+    assert got[2] == {" aa": 2, "aaa": 2, "aa ": 2, "a a": 1}
+    assert got[3] == {None: None} and len(got[4]) == 1
+
+
+def test_detection_matches_a_plain_scorer(spark):
+    """Scores recomputed per text in Python from the profile."""
+    import math
+
     docs = views.table(spark, SF_CHECK, "documents", "doc_id")
     profile, consts = langid.train_profiles(docs.filter(F.col("doc_id") % 2 == 0))
-    a = {tuple(r) for r in langid.detect_language(docs, profile, consts).collect()}
-    b = {tuple(r) for r in langid.detect_language_broadcast(docs, profile, consts).collect()}
-    c = {tuple(r) for r in langid.detect_language_broadcast(
-        docs, profile, consts, max_profile_rows=10).collect()}     # over the bound: join form
-    assert a == b == c and len(a) == 1000
+    weight = {(r["lang"], r["tri"]): r["logn"] for r in profile.collect()}
+    langs = {r["lang"]: (r["prior"], r["denom"]) for r in consts.collect()}
+    got = {r["doc_id"]: r["lang_detected"] for r in langid.detect_language(docs, profile, consts).collect()}
+    assert len(got) == 1000
+    counts = {}
+    for r in langid.trigram_counts(docs, ["doc_id"]).filter("doc_id < 60").collect():
+        counts.setdefault(r["doc_id"], []).append((r["tri"], r["c"]))
+    for key, cs in counts.items():
+        if cs == [(None, None)]:
+            assert got[key] is None
+            continue
+        total = sum(c for _, c in cs)
+        score = {lang: prior - total * denom + math.fsum(c * weight.get((lang, t), 0.0) for t, c in cs)
+                 for lang, (prior, denom) in langs.items()}
+        assert got[key] == max(score, key=score.get)
+
+
+def test_attrition_reasons_on_planted_rows(spark):
+    long = "word " * 60
+    raw = spark.createDataFrame(
+        [(1, "u1", "t", long, "2020-01-01"), (2, "u1", "t", long + "x", "2020-01-01"),   # duplicate url
+         (3, "u2", "t", long, "2020-01-01"),                                              # duplicate text
+         (4, "u3", "t", "short", "2020-01-01"), (5, "u1", "t", None, None),               # stubs
+         (6, "u4", "t", long + "y", "bad"), (7, None, "t", long + "z", "2020-01-01")],
+        "doc_id long, url string, title string, body string, date string")
+    got = {r["reason"]: r["n"] for r in corpus.attrition(raw).collect()}
+    assert got == {"stub": 2, "duplicate_url": 1, "duplicate_text": 1, "undated": 1, "kept": 2}
+    assert corpus.attrition(raw.limit(0)).count() == 0
+    kept = corpus.dedup_articles(corpus.drop_stubs(corpus.clean_articles(raw)))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 6, 7]
+
+
+def test_complete_counts_takes_any_label(spark):
+    from framelens.operators.frames import complete_counts
+
+    df = spark.createDataFrame([("en", "a`b"), ("fr", "lang"), ("en", "lang"), ("en", None)],
+                               "lang string, frame string")
+    got = {(r["lang"], r["frame"]): r["n"] for r in complete_counts(df, "lang", "frame").collect()}
+    assert got == {("en", "a`b"): 1, ("en", "lang"): 1, ("fr", "a`b"): 0, ("fr", "lang"): 1}
+    assert complete_counts(df.limit(0), "lang", "frame").count() == 0
