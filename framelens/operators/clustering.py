@@ -120,6 +120,34 @@ def pivot_cells(nodes: DataFrame, pivots: np.ndarray, radius: float) -> DataFram
     return nodes.mapInPandas(assign, "node long, vec array<float>, weight long, cell int, home boolean")
 
 
+def _block_roots(eps: float):
+    """mapInPandas body: per node of one block its smallest id reachable inside the block.
+
+    Links to roots, never pairs: a dense cell yields rows in proportion to
+    its nodes.
+    """
+    def run(batches):
+        for pdf in batches:
+            for rid, rvec, hid, hvec in zip(pdf["rid"], pdf["rvec"], pdf["hid"], pdf["hvec"]):
+                a, b = np.stack(rvec).astype(np.float64), np.stack(hvec).astype(np.float64)
+                na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+                both = np.outer(na, nb)
+                cos = np.round((a @ b.T) / np.where(both == 0, np.inf, both), 6)
+                ra, hb = np.asarray(rid), np.asarray(hid)
+                linked = (cos >= eps) | (ra[:, None] == hb[None, :])
+                top = np.iinfo(np.int64).max
+                from_a, from_b = ra.copy(), hb.copy()
+                while True:
+                    step_a = np.minimum(from_a, np.where(linked, from_b[None, :], top).min(axis=1))
+                    step_b = np.minimum(from_b, np.where(linked, step_a[:, None], top).min(axis=0))
+                    if (step_a == from_a).all() and (step_b == from_b).all():
+                        break
+                    from_a, from_b = step_a, step_b
+                src, dst = np.concatenate([from_a, from_b]), np.concatenate([ra, hb])
+                yield pd.DataFrame({"src": src[src != dst], "dst": dst[src != dst]})
+    return run
+
+
 def _block_edges(eps: float):
     """mapInPandas body: exact cosines of one (replica chunk x home chunk) block."""
     def run(batches):
@@ -147,7 +175,19 @@ def _block_edges(eps: float):
 def eps_edges(nodes: DataFrame, params: Params = DEFAULT, n_pivots: int = 32,
               block: int = 256) -> DataFrame:
     """Undirected edges ``(src, dst, cosine)`` with src < dst and
-    ``round(cosine, 6) >= eps_cosine``; exact (no candidate cap).
+    ``round(cosine, 6) >= eps_cosine``; exact (no candidate cap)."""
+    return _blocks(nodes, params, n_pivots, block).mapInPandas(
+        _block_edges(params.eps_cosine), "src long, dst long, cosine double")
+
+
+def eps_links(nodes: DataFrame, params: Params = DEFAULT, n_pivots: int = 32, block: int = 256) -> DataFrame:
+    """Links ``(src, dst)`` with the components of the epsilon graph, without its edges."""
+    return _blocks(nodes, params, n_pivots, block).mapInPandas(
+        _block_roots(params.eps_cosine), "src long, dst long")
+
+
+def _blocks(nodes: DataFrame, params: Params, n_pivots: int, block: int) -> DataFrame:
+    """``(rid, rvec, hid, hvec)``: the block comparisons that cover every pair within the radius.
 
     Inside a cell, replicas and homes are cut into hash chunks of about
     ``block`` rows; each (cell, replica chunk, home chunk) is one join key and
@@ -178,8 +218,7 @@ def eps_edges(nodes: DataFrame, params: Params = DEFAULT, n_pivots: int = 32,
                         F.first(F.ceil(F.col("n_home") / block)).alias("_k")).filter("_k > 0")
                    .select("cell", "rchunk", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("hchunk"),
                            F.col("_r.node").alias("rid"), F.col("_r.vec").alias("rvec")))
-    blocks = reps.join(homes, ["cell", "rchunk", "hchunk"]).select("rid", "rvec", "hid", "hvec")
-    return blocks.mapInPandas(_block_edges(eps), "src long, dst long, cosine double")
+    return reps.join(homes, ["cell", "rchunk", "hchunk"]).select("rid", "rvec", "hid", "hvec")
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -218,8 +257,7 @@ def density_clusters(vectors: DataFrame, key: str = "vec_id", col: str = "embedd
     """``(key, topic)``: epsilon-graph components of at least ``min_cluster_size``
     rows, numbered 0.. by size (desc) then smallest id; others are -1."""
     nodes = cut_lineage(collapse_copies(vectors, key, col))
-    edges = eps_edges(nodes, params)
-    labels = connected_components(nodes.select("node"), edges)
+    labels = connected_components(nodes.select("node"), eps_links(nodes, params))
     weighted = labels.join(nodes.select("node", "weight"), "node")
     sizes = weighted.groupBy("label").agg(F.sum("weight").alias("size"))
     big = sizes.filter(F.col("size") >= params.min_cluster_size)
@@ -338,6 +376,20 @@ def assign_topics(vectors: DataFrame, key: str = "vec_id", col: str = "embedding
                           F.coalesce("probability", F.lit(0.0)).alias("probability")))
 
 
+def nearest_centroid(vectors: DataFrame, cents: DataFrame, key: str = "vec_id",
+                     col: str = "embedding") -> DataFrame:
+    """``(key, topic, cosine)`` of the most similar centroid (ties: the smaller topic)."""
+    def best(ids, own, tids, e):
+        order = np.argsort(tids, kind="stable")
+        at = e[:, order].argmax(axis=1)
+        return pd.DataFrame({key: ids, "topic": np.asarray(tids)[order][at],
+                             "cosine": np.log(e[np.arange(len(ids)), order[at]])})
+
+    rows = _against_centroids(vectors.select(key, col), cents, best, f"{key} long, topic int, cosine double", key, col)
+    return (rows.groupBy(key).agg(F.max(F.struct("cosine", (-F.col("topic")).alias("_t"))).alias("_b"))
+                .select(key, (-F.col("_b._t")).alias("topic"), F.col("_b.cosine").alias("cosine")))
+
+
 def stable_clusters(vectors: DataFrame, key: str = "vec_id", col: str = "embedding",
                     params: Params = DEFAULT, levels: int = 8) -> DataFrame:
     """``(key, topic)`` by stability selection over several epsilon levels.

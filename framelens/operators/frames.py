@@ -15,10 +15,15 @@ from ..params import CODEBOOK
 
 
 def frame_names(topic_info: DataFrame, annotation: DataFrame) -> DataFrame:
-    """``(model_group, topic, frame)``: annotated label, else the automatic name."""
-    ann = annotation.select(F.col("topic_id").alias("topic"),
-                            F.trim("frame_label").alias("frame_label"))
-    return (topic_info.join(ann, "topic", "left")
+    """``(model_group, topic, frame)``: annotated label, else the automatic name.
+
+    An annotation with a ``model_group`` column (split strategy) labels the
+    topics of that group alone; without one it labels the topic ids of all.
+    """
+    keys = ["model_group", "topic"] if "model_group" in annotation.columns else ["topic"]
+    ann = annotation.withColumnRenamed("topic_id", "topic").select(
+        *keys, F.trim("frame_label").alias("frame_label"))
+    return (topic_info.join(ann, keys, "left")
                       .select("model_group", "topic",
                               F.coalesce("frame_label", "name").alias("frame")))
 
@@ -91,7 +96,7 @@ def annotation_gaps(annotation: DataFrame, topic_info: DataFrame,
 
 
 def annotation_template(summary: DataFrame) -> DataFrame:
-    """Rows to hand-label: every topic but -1, a blank ``frame_label`` column."""
+    """Rows to hand-label: every topic of every group but -1, a blank ``frame_label`` column."""
     return (summary.filter(F.col("topic_id") != -1)
-                   .select("topic_id", F.lit(None).cast("string").alias("frame_label"),
+                   .select("model_group", "topic_id", F.lit(None).cast("string").alias("frame_label"),
                            "keywords", "count"))

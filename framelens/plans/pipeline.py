@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import corpus, frames, langid, stats, topics
+from ..operators import corpus, frames, langid, modeling, stats, topics
 from ..params import DEFAULT, Params
 from ..session import cut_lineage
 from ..sources import files
@@ -31,13 +31,23 @@ def preprocess_with_detection(spark: SparkSession, d: str, params: Params = DEFA
     return corpus.date_year(tagged)
 
 
-def run_analysis(spark: SparkSession, d: str, out: str, params: Params = DEFAULT) -> dict:
-    """Write the corpus (split by language), topic tables, frame tables and the test."""
+def run_analysis(spark: SparkSession, d: str, out: str, params: Params = DEFAULT,
+                 fit: bool = True) -> dict:
+    """Write the corpus (split by language), topic tables, frame tables and the test.
+
+    Topics are fitted on the texts; with ``fit=False`` the articles' given
+    ``topic`` column is used (assignments of an earlier run).
+    """
     articles = topics.with_model_group(preprocess_with_detection(spark, d, params), params)
     articles = corpus.ensure_not_empty(articles)
     corpus.write_corpus(articles.drop("model_group"), f"{out}/articles")
     art = spark.read.parquet(f"{out}/articles")            # durable ARTICLE table
     art = topics.with_model_group(art, params)
+    if fit:
+        found = modeling.assigned(modeling.fit_topics(art, params))
+        found.write.mode("overwrite").parquet(f"{out}/assignments")
+        art = art.drop("topic").join(
+            spark.read.parquet(f"{out}/assignments").drop("probability"), ["model_group", "doc_id"])
     counts = topics.term_counts(art, params)
     weights = topics.ctfidf(counts)
     summary = topics.topic_summary(art, weights, params)

@@ -18,7 +18,7 @@ from ..functions.htmltext import extract_body
 from ..functions.scalars import clean_text
 from ..operators import clustering as K
 from ..operators import collection as C
-from ..operators import corpus, frames, langid, stats, topics
+from ..operators import corpus, frames, langid, modeling, stats, topics
 from ..params import DEFAULT, Params
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..streaming.ingest import incremental_ingest
@@ -324,7 +324,7 @@ def _responses(spark, d):
     e = views.media_export(spark, d, keep_html=True)
     ords = None
     for o in views.FIXTURE_OUTLETS:
-        dom = F.lit(C._canon_py(o[2]))
+        dom = S.canon_domain(F.lit(o[2]))
         m = S.canon_domain("media_name")
         cond = (F.length(m) > 0) & ((m == dom) | m.contains(dom) | dom.contains(m))
         ords = F.when(cond, o[0]) if ords is None else ords.when(cond, o[0])
@@ -572,3 +572,18 @@ def q_topics_over_time_tuned(spark, d):
 
 
 QUERIES["topics_over_time_tuned"] = q_topics_over_time_tuned
+
+
+def q_text_topics(spark, d):
+    """Topics fitted on the articles' own texts."""
+    return rounded(modeling.assigned(modeling.fit_topics(ArticlePlan(spark, d).prep())))
+
+
+def q_reduce_topics(spark, d, nr_topics: int = 15):
+    """Old -> new topic after merging the most similar topics down to ``nr_topics``."""
+    p = ArticlePlan(spark, d)
+    return topics.reduce_topics(p.prep(), p.counts(), nr_topics)
+
+
+QUERIES["text_topics"] = q_text_topics
+QUERIES["reduce_topics"] = q_reduce_topics

@@ -72,7 +72,7 @@ def write_report(df: DataFrame, path: str, order_by: list[str] | None = None) ->
 
 
 def read_annotation(spark: SparkSession, path: str) -> DataFrame:
-    """Frame annotation CSV -> ``(topic_id int, frame_label string)``.
+    """Frame annotation CSV -> ``([model_group,] topic_id int, frame_label string)``.
 
     Rows with a non-integer id or without a label column are skipped; labels
     are trimmed; when a topic repeats, the last line wins. A missing file is
@@ -88,10 +88,12 @@ def read_annotation(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], ANNOTATION)
     if "topic_id" not in raw.columns or "frame_label" not in raw.columns:
         return spark.createDataFrame([], ANNOTATION)
-    rows = (raw.select(F.expr("try_cast(trim(topic_id) AS INT)").alias("topic_id"),
+    group = ["model_group"] if "model_group" in raw.columns else []
+    rows = (raw.select(*group, F.expr("try_cast(trim(topic_id) AS INT)").alias("topic_id"),
                        F.trim("frame_label").alias("frame_label"), "_line")
                .filter(F.col("topic_id").isNotNull() & F.col("frame_label").isNotNull()))
-    return (rows.groupBy("topic_id").agg(F.max_by("frame_label", "_line").alias("frame_label")))
+    keys = ["model_group", "topic_id"] if "model_group" in raw.columns else ["topic_id"]
+    return rows.groupBy(*keys).agg(F.max_by("frame_label", "_line").alias("frame_label"))
 
 
 def write_annotation_template(template: DataFrame, path: str) -> None:

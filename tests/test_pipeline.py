@@ -8,7 +8,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 
 def test_end_to_end(spark, tmpdir_path):
-    out = run_analysis(spark, SF_SMALL, tmpdir_path + "/run")
+    out = run_analysis(spark, SF_SMALL, tmpdir_path + "/run", fit=False)
     assert out["articles"] > 0
     r = out["result"]
     assert r["dof"] >= 0 and 0.0 <= r["cramers_v"] <= 1.0
@@ -23,3 +23,11 @@ def test_end_to_end(spark, tmpdir_path):
     assert all(abs(x["s"] - 1) < 1e-9 for x in sums)
     tmpl = spark.read.option("header", True).csv(tmpdir_path + "/run/annotation_template")
     assert "frame_label" in tmpl.columns
+
+
+def test_run_fits_its_own_topics(spark, tmpdir_path):
+    out = run_analysis(spark, SF_SMALL, tmpdir_path + "/run")
+    found = spark.read.parquet(tmpdir_path + "/run/assignments")
+    assert found.count() == out["articles"] == found.select("doc_id").distinct().count()
+    info = spark.read.parquet(tmpdir_path + "/run/model/topic_info")
+    assert info.agg(F.sum("count")).first()[0] == out["articles"]
