@@ -16,7 +16,8 @@ epsilon graph. That cut is built here, as Spark jobs:
    comparing each cell's replicas with its homes finds every edge once.
    Cells are cut into bounded chunks and compared block by block with
    numpy matrix products (one block per row of a join), so a hot cell is
-   spread over many tasks;
+   spread over many tasks. Clustering needs only the components, so a block
+   returns links to its local roots, not its edges;
 3. connected components by min-label propagation with pointer jumping,
    checkpointed each round into the shared checkpoint folder;
 4. components smaller than ``min_cluster_size`` (counting copies) become

@@ -229,9 +229,10 @@ def topics_over_time(docs: DataFrame, counts: DataFrame, params: Params = DEFAUL
         "words", F.coalesce(F.col("words"), F.lit("")))
 
 
-def reduce_topics(docs: DataFrame, counts: DataFrame, nr_topics: int,
+def reduce_topics(docs: DataFrame, counts: DataFrame, nr_topics: int | None = None,
                   params: Params = DEFAULT) -> DataFrame:
-    """``(model_group, topic, new_topic)`` after merging down to ``nr_topics``.
+    """``(model_group, topic, new_topic)`` after merging down to ``nr_topics``
+    (default: the parameter; without either nothing merges).
 
     Repeatedly, in every model group with too many topics, the two most
     similar topics (cosine of their c-TF-IDF vectors; ties by ids) merge, the
@@ -245,8 +246,11 @@ def reduce_topics(docs: DataFrame, counts: DataFrame, nr_topics: int,
     d = with_model_group(docs, params)
     mapping = d.select("model_group", "topic").distinct().withColumn("new_topic", F.col("topic"))
     mapping = cut_lineage(mapping)
-    doc_sizes = d.groupBy("model_group", "topic").agg(F.count(F.lit(1)).alias("size"))
-    while True:
+    # written once: every round reads the counts as merged so far, not the texts
+    doc_sizes = cut_lineage(d.groupBy("model_group", "topic").agg(F.count(F.lit(1)).alias("size")))
+    counts = cut_lineage(counts.select("model_group", "topic", "term", "n"))
+    nr_topics = nr_topics or params.nr_topics
+    while nr_topics:
         sizes = (doc_sizes.join(mapping, ["model_group", "topic"])
                           .groupBy("model_group", "new_topic").agg(F.sum("size").alias("size")))
         groups = (sizes.filter(F.col("new_topic") != -1).groupBy("model_group")
@@ -274,7 +278,7 @@ def reduce_topics(docs: DataFrame, counts: DataFrame, nr_topics: int,
             F.max_by(F.struct("t1", "t2"), F.struct("sim", -F.col("t1"), -F.col("t2"))).alias("p"))
         s1 = sizes.select("model_group", F.col("new_topic").alias("t1"), F.col("size").alias("s1"))
         s2 = sizes.select("model_group", F.col("new_topic").alias("t2"), F.col("size").alias("s2"))
-        moves = (best.select("model_group", "p.t1", "p.t2").join(s1, ["model_group", "t1"])
+        moves = cut_lineage(best.select("model_group", "p.t1", "p.t2").join(s1, ["model_group", "t1"])
                      .join(s2, ["model_group", "t2"])
                      .select("model_group",
                              F.when(F.col("s1") < F.col("s2"), F.col("t1")).otherwise(F.col("t2"))
