@@ -46,8 +46,13 @@ BASE = (
     Rule("access", 1, "AKIA[A-Z0-9]{16,}"),
     Rule("hex", 1, "[0-9a-f]{24,}"),
 )
+# A key runs from its marker over the headers of an encrypted key and the base64 body (line breaks may be written
+# as \n) through the END line; without one it ends at the first character that a body cannot hold.
+PEM = (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+       r"(?:[\x20\t\r\nrn\\]*Proc-Type:\x20*[0-9]+,[A-Z-]+)?(?:[\x20\t\r\nrn\\]*DEK-Info:\x20*[A-Za-z0-9-]+,[0-9A-Fa-f]+)?"
+       r"[A-Za-z0-9+/=\x20\t\r\n\\]*(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
 EXTRA = (
-    Rule("pem", 1, "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", 2, PEM),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 RULES = BASE + EXTRA

@@ -154,6 +154,20 @@ def test_secret_spans_and_redaction(spark):
     assert out[2]["text"] is None and out[6]["text"] == "no" and out[0]["secrets"] == "mine" and len(out) == 9
 
 
+def test_redaction_leaves_no_key_body(spark):
+    body = "\n".join(base64.b64encode(bytes(range(i, i + 48))).decode() for i in range(9)) + "\nQUJD+/8="
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    header = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FFAA11\n\n"
+    keys = [f"{begin}\n{body}\n{end}", f"{begin}\n{header}{body}\n{end}", f"{begin}\r\n" + body.replace("\n", "\r\n"),
+            (f"{begin}\n{body}\n{end}").replace("\n", "\\n")]
+    texts = [f"before {k}. After" for k in keys] + [f"a {keys[0]}, {keys[0]}, z", f"{begin}\n" + "QUJD" * 50_000]
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs(spark, texts)).collect()}
+    assert [out[i] for i in range(6)] == ["before [secret]. After"] * 4 + ["a [secret], [secret], z", "[secret]"]
+    ledger = spark.createDataFrame([(hashlib.sha256(texts[0].encode()).hexdigest(), "pem", 1, [(7, 38)])], secrets.LEDGER)
+    found, _ = secrets.scan(docs(spark, texts[:1]), ledger)  # a ledger of the marker-only rule does not hide the body
+    assert [tuple(s) for s in found.collect()[0]["secrets"] if s["rule"] == "pem"] == [(7, 3, 7 + len(keys[0]), "pem")]
+
+
 def test_ledger_scans_only_unseen_pairs(spark):
     first = docs(spark, SECRET_TEXTS[:2])
     _, new = secrets.scan(first)
