@@ -5,9 +5,10 @@ sequence. The program asks for the fewest patterns that cover the histogram of
 lengths. Multiplicative weights solve it: prices start at the volume bound
 (length / capacity, the dual of "no sequence holds more than its capacity"),
 fall exponentially with how much of a length is covered already, and a
-knapsack dynamic program finds the pattern of the highest price. The
-fractional solution is rounded down and what is left is packed best fit,
-longest first, again as patterns with multiplicities.
+knapsack dynamic program finds the patterns of the highest price, which are
+used in whole numbers until every length is covered. Only lengths with fewer
+pieces left than a pattern asks for are packed best fit, longest first, again
+as patterns with multiplicities.
 
 Only the histogram (one count per length, ``capacity`` at most) reaches the
 driver. Each piece learns its place from its rank within its length, so the
@@ -30,6 +31,7 @@ from ..session import cut_lineage
 
 CAPACITY = 2048
 RANK_BUCKET = 4096
+ROUNDS = 100_000
 PIECE = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint,ids:array<int>>>"
 
 
@@ -86,96 +88,130 @@ def token_pieces(capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k", end
     return cut
 
 
-def best_pattern(lengths: np.ndarray, price: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts per length of the pattern of highest total price (unbounded knapsack)."""
+def best_values(lengths: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Highest total price in each room (unbounded knapsack) and the length taken there, -1 for none.
+
+    Lengths without a price are never taken.
+    """
     best = np.zeros(capacity + 1)
     take = np.full(capacity + 1, -1)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    at = np.flatnonzero(price > 0)
+    sizes, price = lengths[at], price[at]
+    upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
     for room in range(1, capacity + 1):
         k = upto[room]
         best[room] = best[room - 1]
         if k:
-            value = best[room - lengths[:k]] + price[:k]
+            value = best[room - sizes[:k]] + price[:k]
             i = int(value.argmax())
             if value[i] > best[room]:
-                best[room], take[room] = value[i], i
-    counts = np.zeros(len(lengths), dtype=np.int64)
-    room = capacity
+                best[room], take[room] = value[i], at[i]
+    return best, take
+
+
+def _traced(lengths: np.ndarray, take: np.ndarray, first: int, capacity: int) -> dict[int, int]:
+    """Counts of the best pattern that holds the length ``first``."""
+    counts, room = {first: 1}, capacity - int(lengths[first])
     while room > 0:
-        i = take[room]
+        i = int(take[room])
         if i < 0:
             room -= 1
         else:
-            counts[i] += 1
+            counts[i] = counts.get(i, 0) + 1
             room -= int(lengths[i])
     return counts
 
 
 def configuration_program(lengths: np.ndarray, demand: np.ndarray, capacity: int,
-                          rounds: int = 200, step: float = 0.25, rate: float = 2.0):
-    """Fractional patterns ``[(counts, amount)]`` by multiplicative weights.
-
-    Each round prices a length at its volume share, lowered by
-    ``exp(-rate * covered)``, takes the best pattern and adds ``step`` of the
-    amount at which its scarcest length would be covered.
+                          rounds: int = ROUNDS, step: float = 0.25, rate: float = 2.0, near: float = 0.05):
+    """Whole patterns ``[({index: count}, times)]`` by multiplicative weights, and the pieces left.
+
+    A length is priced at its volume share, lowered by ``exp(-rate * covered)``.
+    Each round solves one dynamic program and takes, for every length, the best
+    pattern that holds it, as long as its value at the prices reached meanwhile
+    is within ``near`` of the best. A pattern is used for ``step`` of the demand
+    of its scarcest length, in whole numbers and no more often than the pieces
+    left allow. The program ends when no length is left that a pattern of the
+    program can use; ``rounds`` only guards against a run without an end.
     """
-    covered = np.zeros(len(lengths))
-    amounts: dict[bytes, float] = {}
+    left = demand.astype(np.int64).copy()
+    usable = left > 0
+    amounts: dict[tuple, int] = {}
     for _ in range(rounds):
-        if covered.min(initial=1.0) >= 1:
-            break
-        price = lengths / capacity * np.exp(-rate * (covered - covered.min()))
-        price[covered >= 1] = 0
-        counts = np.minimum(best_pattern(lengths, price, capacity), demand)
-        used = counts > 0
-        if not used.any():
+        if not usable.any():
             break
-        amount = step * float((demand[used] / counts[used]).min())
-        covered[used] += amount * counts[used] / demand[used]
-        key = counts.tobytes()
-        amounts[key] = amounts.get(key, 0.0) + amount
-    return [(np.frombuffer(k, dtype=np.int64), x) for k, x in amounts.items()]
-
-
-def round_patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int, fractional):
-    """Whole patterns ``[(counts, times)]`` that use every piece exactly once.
-
-    Fractional amounts are rounded down, largest first; the rest is packed
-    best fit: the longest piece left opens a pattern, which takes the longest
-    pieces that still fit, as often as the counts allow.
+        covered = 1 - left / demand
+        low = covered[usable].min()
+        price = np.where(usable, lengths / capacity * np.exp(-rate * (covered - low)), 0.0)
+        best, take = best_values(lengths, price, capacity)
+        value = np.where(usable, price + best[capacity - lengths], -1.0)
+        least, fresh = (1 - near) * value.max(), False
+        for i in np.argsort(-value, kind="stable").tolist():
+            if value[i] < least:
+                break
+            counts = _traced(lengths, take, i, capacity)
+            if sum(n * price[j] for j, n in counts.items()) < least:
+                continue
+            short = [j for j, n in counts.items() if left[j] < n]
+            if short:  # too few pieces for this pattern: what is left of them is packed at the end
+                usable[short] = False
+                price[short] = 0
+                fresh = True
+                continue
+            times = min(min(int(left[j]) // n for j, n in counts.items()),
+                        max(1, int(step * min(demand[j] / n for j, n in counts.items()))))
+            key = tuple(sorted(counts.items()))
+            amounts[key] = amounts.get(key, 0) + times
+            for j, n in counts.items():
+                left[j] -= times * n
+                usable[j] &= left[j] > 0
+                price[j] = lengths[j] / capacity * np.exp(-rate * (1 - left[j] / demand[j] - low)) if usable[j] else 0
+            fresh = True
+        assert fresh  # the best pattern is used or one of its lengths ends
+    else:
+        if usable.any():
+            raise RuntimeError(f"the configuration program has not covered all lengths after {rounds} rounds")
+    return [(dict(k), n) for k, n in amounts.items()], left
+
+
+def pack_rest(lengths: np.ndarray, left: np.ndarray, capacity: int):
+    """Patterns ``[({index: count}, times)]`` for the pieces left, best fit.
+
+    The longest piece left opens a pattern, which takes the longest pieces
+    that still fit, as often as the counts allow.
     """
-    left = demand.astype(np.int64).copy()
-    out = []
-    for counts, amount in sorted(fractional, key=lambda x: -x[1]):
-        used = counts > 0
-        times = min(int(amount + 1e-9), int((left[used] // counts[used]).min()))
-        if times > 0:
-            left -= times * counts
-            out.append((counts, times))
+    left, out = left.copy(), []
     while left.any():
-        room, counts = capacity, np.zeros_like(left)
-        for i in np.flatnonzero(left)[::-1]:
+        room, counts = capacity, {}
+        for i in np.flatnonzero(left)[::-1].tolist():
             if lengths[i] <= room:
-                counts[i] = min(left[i], room // lengths[i])
-                room -= int(counts[i] * lengths[i])
+                counts[i] = int(min(left[i], room // lengths[i]))
+                room -= counts[i] * int(lengths[i])
                 if room < lengths[0]:
                     break
-        used = counts > 0
-        times = int((left[used] // counts[used]).min())
-        left -= times * counts
+        times = min(int(left[i]) // n for i, n in counts.items())
+        for i, n in counts.items():
+            left[i] -= times * n
         out.append((counts, times))
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 200):
-    """Patterns ``[({length: count}, times)]`` for a histogram of lengths."""
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS):
+    """Patterns ``[({length: count}, times)]`` for a histogram of lengths.
+
+    Where plain best fit needs fewer sequences than the program (few pieces
+    per length, so that whole numbers cost more than the program gains), its
+    patterns are taken.
+    """
     out = [({capacity: 1}, histogram[capacity])] if histogram.get(capacity) else []
     lengths = np.array(sorted(k for k, n in histogram.items() if 0 < k < capacity and n), dtype=np.int64)
     if len(lengths):
         demand = np.array([histogram[int(k)] for k in lengths], dtype=np.int64)
-        fractional = configuration_program(lengths, demand, capacity, rounds)
-        for counts, times in round_patterns(lengths, demand, capacity, fractional):
-            out.append(({int(lengths[i]): int(counts[i]) for i in np.flatnonzero(counts)}, times))
+        placed, left = configuration_program(lengths, demand, capacity, rounds)
+        placed += pack_rest(lengths, left, capacity)
+        plain = pack_rest(lengths, demand, capacity)
+        for counts, times in min(placed, plain, key=lambda p: sum(times for _, times in p)):
+            out.append(({int(lengths[i]): n for i, n in counts.items()}, times))
     return out
 
 
@@ -194,7 +230,7 @@ def _places(patterns):
     return np.array(rows, dtype=np.int64).reshape(-1, 5)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 200) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``capacity``.
 
     Sequences hold at most ``capacity`` tokens, offsets are gapless from 0.
@@ -239,7 +275,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 200) -> Data
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k",
-                   end_id: int = 0, keep_ids: bool = False, rounds: int = 200) -> DataFrame:
+                   end_id: int = 0, keep_ids: bool = False, rounds: int = ROUNDS) -> DataFrame:
     """Documents (doc_id, text) -> packed pieces; see ``token_pieces`` and ``pack``.
 
     Columns other than doc_id and text are left out. Null ids stay null.

@@ -218,6 +218,23 @@ def test_packing_is_near_the_lower_bound(spark):
     assert sum(times for _, times in exact) == 23
 
 
+def test_program_covers_the_histogram():
+    lengths, demand = np.unique(np.random.default_rng(0).integers(520, 1001, 2_000_000), return_counts=True)
+    placed, left = packing.configuration_program(lengths, demand, 2048)
+    assert left.min() >= 0 and left.sum() < 0.001 * demand.sum()  # all but a few pieces are the program's
+    patterns = packing.solve(dict(zip(lengths.tolist(), demand.tolist())))
+    total = dict.fromkeys(lengths.tolist(), 0)
+    for counts, times in patterns:
+        assert sum(k * n for k, n in counts.items()) <= 2048
+        for k, n in counts.items():
+            total[k] += n * times
+    assert list(total.values()) == demand.tolist()
+    used, plain = sum(t for _, t in patterns), sum(t for _, t in packing.pack_rest(lengths, demand, 2048))
+    assert used <= 1.065 * int(lengths @ demand) / 2048 and used < 0.95 * plain  # best fit: 1.118 times the volume bound
+    with pytest.raises(RuntimeError):
+        packing.configuration_program(lengths, demand, 2048, rounds=1)
+
+
 # -- 6 ---------------------------------------------------------------------
 def test_warc_round_trip(spark, tmpdir_path):
     rows = [(3, "http://x/é y", "<p>1</p>"), (1, None, "<p>1</p>"), (2, "http://z", None), (5, "u", ""),
