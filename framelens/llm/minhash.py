@@ -1,9 +1,11 @@
 """Operator 9: near duplicates by improved consistent weighted sampling.
 
 A document is its set of five-word shingles, weighted by TF-IDF. Document
-frequencies are counted over all documents on hashed features (as ``HashingTF``
-with ``IDF`` does): the table has a fixed size, and what it can tell apart is a
-share of the corpus, alike at every size. Improved consistent weighted
+frequencies are counted on hashed features (as ``HashingTF`` with ``IDF``
+does): the table has a fixed size, and what it can tell apart is a share of the
+corpus, alike at every size. They count each group of near copies once: a first
+run with unweighted shingles finds the groups, so that a large group does not
+make its own shingles common. Improved consistent weighted
 sampling draws ``BANDS x ROWS`` samples per document; two documents agree in a
 sample with the probability of their weighted Jaccard similarity. Samples are
 banded, and every candidate is verified by the weighted Jaccard similarity of
@@ -42,6 +44,7 @@ TABLE = 1 << 14
 CHUNK = 1 << 13
 BLOCK = 256
 SLICE = 4096
+PLAIN = np.zeros(0)  # in place of inverse frequencies: shingles without weights
 
 
 def _documents(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -53,29 +56,60 @@ def _documents(texts: pa.Array) -> Iterator[np.ndarray]:
             yield hashes[i:j]
 
 
+def _content(hashes: np.ndarray) -> str:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).hexdigest()
+
+
 def feature(shingle: np.ndarray) -> np.ndarray:
     return (shingle >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
 
 
-def document_frequencies(docs: DataFrame, size: int = SHINGLE) -> tuple[np.ndarray, int]:
-    """Documents that hold each hashed shingle feature, and documents with words, over all rows."""
+def _counted(docs: DataFrame, size: int) -> tuple[np.ndarray, float]:
+    """Documents that hold each hashed shingle feature, and documents with words.
+
+    Columns text, content, share: a row counts ``share`` times, if ``content``
+    is null or that of its text.
+    """
     def count(batches):
-        total, rows = np.zeros(1 << FEATURE_BITS, np.int64), 0
+        total, rows = np.zeros(1 << FEATURE_BITS), 0.0
         for batch in batches:
-            for hashes in _documents(batch.column(0)):
-                if len(hashes):
-                    total[np.unique(feature(shingles(hashes, size)))] += 1
-                    rows += 1
+            expected, share = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for i, hashes in enumerate(_documents(batch.column(0))):
+                if len(hashes) and expected[i] in (None, _content(hashes)):
+                    total[np.unique(feature(shingles(hashes, size)))] += share[i]
+                    rows += share[i]
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1).astype(np.int32)),
                                           pa.array(np.append(total[seen], rows))], names=["feature", "n"])
 
-    counts = (docs.select("text").mapInArrow(count, "feature int, n bigint")
+    counts = (docs.select("text", "content", "share").mapInArrow(count, "feature int, n double")
               .groupBy("feature").agg(F.sum("n").alias("n")).toArrow())  # 2**FEATURE_BITS rows at most
     at, n = counts.column("feature").to_numpy(), counts.column("n").to_numpy()
-    out = np.zeros(1 << FEATURE_BITS, np.int64)
+    out = np.zeros(1 << FEATURE_BITS)
     out[at[at >= 0]] = n[at >= 0]
-    return out, int(n[at < 0].sum())
+    return out, float(n[at < 0].sum())
+
+
+def document_frequencies(docs: DataFrame, size: int = SHINGLE, least: float = SIMILARITY,
+                         block: int = BLOCK) -> tuple[np.ndarray, int]:
+    """Groups that hold each hashed shingle feature in their first text, and groups with words.
+
+    Groups are those of ``_linked_nodes`` with unweighted shingles. All rows
+    are counted where they lie; then the rows that are not their group's first
+    are taken off again, from the texts that the comparison has already read.
+    """
+    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null")
+    whole = named.select("text", F.lit(None).cast("string").alias("content"), F.lit(1.0).alias("share"))
+    all_rows, n = _counted(whole, size)
+    signed, node_of, label, texts = _linked_nodes(named, PLAIN, size, least, block)
+    first = F.coalesce("label", "node") == F.col("node")
+    held = signed.join(node_of, "content").groupBy("content", "node").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum((F.col("doc_id") == F.col("node")).cast("int")).alias("own"))
+    spare = (held.join(label, "node", "left")
+             .withColumn("spare", F.col("rows") - first.cast("int")).filter("spare > 0")
+             .select(F.col("node").alias("doc_id"), "content", (F.col("spare") / F.col("own")).alias("share")))
+    off, spared = _counted(texts.join(spare, "doc_id"), size)
+    return np.rint(all_rows - off).astype(np.int64), round(n - spared)
 
 
 def inverse_frequencies(frequencies: np.ndarray, documents: int) -> np.ndarray:
@@ -83,8 +117,10 @@ def inverse_frequencies(frequencies: np.ndarray, documents: int) -> np.ndarray:
 
 
 def weigh(hashes: np.ndarray, idf: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of a document, sorted, and their TF-IDF weights."""
+    """Distinct shingles of a document, sorted, and their TF-IDF weights (1 with ``PLAIN``)."""
     found, count = np.unique(shingles(hashes, size), return_counts=True)
+    if not len(idf):
+        return found, np.ones(len(found))
     return found, count * idf[feature(found)]
 
 
@@ -103,6 +139,13 @@ class Sampler:
         self.rest = (np.log(c) + r * beta - r).astype(np.float32)
         self.multiplier = draw.integers(0, 1 << 63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+    def lowest(self, shingle: np.ndarray) -> np.ndarray:
+        """One sample per multiplier for shingles of equal weight: the shingle of the lowest hash."""
+        out = np.full(len(self.multiplier), np.iinfo(np.uint64).max)
+        for i in range(0, len(shingle), CHUNK):
+            np.minimum(out, (shingle[i:i + CHUNK] * self.multiplier[:, None]).min(axis=1), out=out)
+        return mix(out)
+
     def draw(self, shingle: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """One sample (hash of shingle and level) per multiplier; equal scores go to the smaller shingle."""
         log_weight = np.log(weight).astype(np.float32)
@@ -137,11 +180,12 @@ def signatures(docs: DataFrame, idf: np.ndarray, size: int = SHINGLE) -> DataFra
                 if not len(hashes):
                     rows.append(None)
                     continue
-                drawn = sampler.draw(*weigh(hashes, idf, size))
+                drawn = (sampler.draw(*weigh(hashes, idf, size)) if len(idf)
+                         else sampler.lowest(weigh(hashes, idf, size)[0]))
                 key = np.zeros(BANDS, np.uint64)
                 for column in drawn.reshape(BANDS, ROWS).T:
                     key = mix(key + column)
-                rows.append({"content": hashlib.blake2b(hashes.tobytes(), digest_size=16).hexdigest(),
+                rows.append({"content": _content(hashes),
                              "bands": key.view(np.int64)})
             yield pa.array(rows, type=kind)
 
@@ -179,15 +223,17 @@ def _linked(idf_shared, least: float, size: int):
         row, column, total = [], [], np.zeros(len(node))
         for i, hashes in enumerate(_documents(t.column("text").combine_chunks())):
             found, count = np.unique(shingles(hashes, size), return_counts=True)
+            if not len(idf):
+                count = np.ones_like(count)
             each = np.repeat(found, count)
             copy = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
-            total[i] = idf[feature(each)].sum()
+            total[i] = idf[feature(each)].sum() if len(idf) else len(each)
             row.append(np.full(len(each), i))
             # the copy number goes into the column's hash, the weight stays the shingle's
             column.append(np.stack([mix(each + copy.astype(np.uint64)), each], axis=1))
         row, column = np.concatenate(row), np.concatenate(column)
         _, first, number, times = np.unique(column[:, 0], return_index=True, return_inverse=True, return_counts=True)
-        weight = np.sqrt(idf[feature(column[first, 1])])
+        weight = np.sqrt(idf[feature(column[first, 1])]) if len(idf) else np.ones(len(first))
         shared_column = times > 1
         place = np.cumsum(shared_column) - 1
         keep = shared_column[number]
@@ -216,18 +262,8 @@ def _linked(idf_shared, least: float, size: int):
     return link
 
 
-def classes(docs: DataFrame, size: int = SHINGLE, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """``(doc_id, class_id)`` per row: class_id is the smallest doc_id of the row's group.
-
-    Rows with equal words, or linked by a chain of pairs of similarity
-    ``least`` or more, are one group. A text shorter than ``size`` words is
-    one shingle; a null, empty or wordless text is a class of its own. Rows
-    that share a doc_id take the smallest class of their texts. A null doc_id
-    has a null class. An empty table gives an empty result.
-    """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    named = rows.filter("doc_id is not null")
-    idf = inverse_frequencies(*document_frequencies(named, size))
+def _linked_nodes(named: DataFrame, idf: np.ndarray, size: int, least: float, block: int):
+    """``(signed, node_of, label, texts)``: signatures, the node of each content, linked nodes' labels, texts read."""
     signed = cut_lineage(signatures(named, idf, size))
     node_of = signed.filter("content is not null").groupBy("content").agg(F.min("doc_id").alias("node"))
     # a class is read at its node's row; a doc_id with several texts joins their classes
@@ -238,8 +274,13 @@ def classes(docs: DataFrame, size: int = SHINGLE, least: float = SIMILARITY, blo
                .filter("centre < last").drop("last"))
     shared_bucket = cut_lineage(buckets.join(centres, ["band", "key"]))
     nodes = cut_lineage(shared_bucket.select("node").distinct())
-    texts = cut_lineage(named.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id"))
-    shared = docs.sparkSession.sparkContext.broadcast(idf.astype(np.float32))
+    read = nodes
+    if not len(idf):  # the nodes of repeated texts as well: ``document_frequencies`` takes their copies off
+        repeated = signed.filter("content is not null").groupBy("content").agg(
+            F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+        read = nodes.unionByName(repeated.select("node")).distinct()
+    texts = cut_lineage(named.join(read.withColumnRenamed("node", "doc_id"), "doc_id"))
+    shared = named.sparkSession.sparkContext.broadcast(idf.astype(np.float32))
     compare = similarity(shared, size)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -274,6 +315,22 @@ def classes(docs: DataFrame, size: int = SHINGLE, least: float = SIMILARITY, blo
     more = cut_lineage(blocks.join(texts.withColumnRenamed("doc_id", "node"), "node")
                        .groupBy(*bucket, "i", "j").applyInArrow(_linked(shared, least, size), "src bigint, dst bigint"))
     label = connected_components(nodes, links.unionByName(more))
+    return signed, node_of, label, texts
+
+
+def classes(docs: DataFrame, size: int = SHINGLE, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """``(doc_id, class_id)`` per row: class_id is the smallest doc_id of the row's group.
+
+    Rows with equal words, or linked by a chain of pairs of similarity
+    ``least`` or more, are one group. A text shorter than ``size`` words is
+    one shingle; a null, empty or wordless text is a class of its own. Rows
+    that share a doc_id take the smallest class of their texts. A null doc_id
+    has a null class. An empty table gives an empty result.
+    """
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    named = rows.filter("doc_id is not null")
+    idf = inverse_frequencies(*document_frequencies(named, size, least, block))
+    signed, node_of, label, _ = _linked_nodes(named, idf, size, least, block)
     member = signed.select("doc_id", "content").join(node_of, "content", "left").join(label, "node", "left")
     group = F.coalesce("label", "node", "doc_id")
     # versions of one document (a doc_id with several texts) take their smallest class

@@ -345,6 +345,24 @@ def test_near_duplicates_equal_brute_force(spark):
     assert minhash.classes(df.limit(0)).count() == 0
 
 
+def test_large_group_keeps_its_near_copies(spark):
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(300)]
+    texts = []
+    for i in range(600):  # a third of the rows: near copies of one text, plain Jaccard to it 0.88 or more, and its copies
+        copy = list(base)
+        at = int(rng.integers(0, 4))
+        for j in (at + 20, at + 120, at + 220) if i % 3 else ():
+            copy[j] = f"e{i}x{j}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(f"w{k}" for k in rng.integers(0, 20_000, 60)) for _ in range(1200)]
+    df = docs(spark, texts).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    frequency, n = minhash.document_frequencies(df)
+    assert n == 1201 and frequency.max() < 100  # 600 before
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(df).collect()}
+    assert got == {i: 0 if i < 600 else i for i in range(1800)}
+
+
 def test_samples_agree_as_weighted_jaccard():
     rng = np.random.default_rng(2)
     shingle = np.sort(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
