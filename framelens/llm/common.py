@@ -8,6 +8,8 @@ numpy and never become Python strings.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -134,3 +136,57 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     for i in range(k):
         out = mix(out * np.uint64(BASE) + hashes[i:i + n])
     return out
+
+
+LONG_WORD = 64
+
+
+def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words of the texts in order, and the words' bounds per text (one entry more)."""
+    n = len(raw)
+    if n == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    is_word = IS_WORD[raw]
+    edge = np.empty(n, dtype=bool)  # a word never runs on into the next text
+    edge[0] = True
+    np.logical_not(is_word[:-1], out=edge[1:])
+    inner = offsets[1:-1]
+    edge[inner[inner < n]] = True
+    starts = np.flatnonzero(is_word & edge)
+    last = np.empty(n, dtype=bool)
+    last[-1] = True
+    last[:-1] = edge[1:] | ~is_word[1:]
+    return starts, np.flatnonzero(is_word & last) + 1, np.searchsorted(starts, offsets)
+
+
+def byte_runs(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number; zeros follow the end. No copies per position."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[:len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each lower-cased word: eight bytes at a time through the mixer, long words by BLAKE2b.
+
+    Every step is a bijection of what it adds, so no family of texts collides
+    by structure, as with a polynomial.
+    """
+    lowered = LOWER[raw]
+    runs = byte_runs(lowered)
+    length = ends - starts
+    out = mix(length.astype(np.uint64) + np.uint64(BASE))
+    live = np.flatnonzero(length <= LONG_WORD)
+    at = 0
+    while len(live):
+        left = length[live] - at
+        chunk = runs[starts[live] + at]
+        kept = np.uint64(64) - np.minimum(left, 8).astype(np.uint64) * np.uint64(8)
+        chunk = (chunk << kept) >> kept
+        out[live] = mix(out[live] * np.uint64(BASE) + chunk)
+        live = live[left > 8]
+        at += 8
+    for i in np.flatnonzero(length > LONG_WORD):
+        digest = hashlib.blake2b(lowered[starts[i]:ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = np.frombuffer(digest, "<u8")[0]
+    return out

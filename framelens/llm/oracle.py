@@ -126,4 +126,69 @@ degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT v.vec_id, coalesce(degree.n, 0) AS n_links, component_id, v.vec_id = component_id AS kept
 FROM v JOIN component ON component.a = v.vec_id LEFT JOIN degree ON degree.a = v.vec_id"""
 
-ORACLE = {"op2_licenses": _op2(), "op6_warc": OP6, "op8_embeddings": OP8, "op1_decontaminate": OP1, "op4_secrets": OP4}
+CRC32 = ("xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), "
+         "lambda c: ascii(c)::BIGINT)), lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]), "
+         "lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))")
+
+OP11 = f"""
+WITH own AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}}
+                                  ORDER BY turn NULLS FIRST) AS t
+             FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+opening AS (SELECT conv_id, t, {CRC32.format('conv_id::VARCHAR')} % 9 AS h FROM own),
+rebuilt AS (SELECT o.conv_id, list_concat(coalesce(b.t[1:h], []), o.t[h + 1:]) AS t
+            FROM opening o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+prefixes AS (SELECT conv_id, d, len(t) AS n, sha256(to_json(t[1:d])::VARCHAR) AS key,
+                    CASE WHEN d > 0 THEN sha256(to_json(t[1:d - 1])::VARCHAR) END AS up,
+                    CASE WHEN d > 0 THEN strlen(t[d].text) ELSE 0 END AS bytes
+             FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT key, any_value(up) AS up, any_value(d) AS d, min(conv_id) AS conv_id, count(*) AS n_convs,
+                 any_value(bytes) AS bytes,
+                 string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = n) AS ends
+          FROM prefixes GROUP BY key),
+children AS (SELECT up AS key, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up),
+totals AS (SELECT p.key, sum((v.n_convs - 1) * v.bytes) AS saved, count(*) FILTER (c.n IS NULL) AS leaves
+           FROM nodes v JOIN prefixes p ON p.conv_id = v.conv_id AND p.d <= v.d
+           LEFT JOIN children c ON c.key = v.key GROUP BY p.key)
+SELECT v.conv_id, v.d AS depth, parent.conv_id AS parent_conv_id, v.n_convs, coalesce(c.n, 0) AS n_children,
+       leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM nodes v JOIN totals ON totals.key = v.key LEFT JOIN children c ON c.key = v.key
+LEFT JOIN nodes parent ON parent.key = v.up"""
+
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS w FROM documents),
+size AS (SELECT count(*) AS docs, coalesce(sum(len(w)), 0)::BIGINT AS total FROM d WHERE len(w) > 0),
+item AS (SELECT item_id, term, count(*) AS times
+         FROM (SELECT item_id, unnest({WORDS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark))
+         GROUP BY item_id, term),
+tf AS (SELECT rid, doc_id, n, term, count(*) AS tf
+       FROM (SELECT rid, doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM item)
+       GROUP BY rid, doc_id, n, term),
+weight AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+           FROM tf, size GROUP BY term, docs),
+scored AS (SELECT item_id, rid, doc_id,
+                  sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))))::BIGINT AS score
+           FROM item JOIN tf USING (term) JOIN weight USING (term), size GROUP BY item_id, rid, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+      FROM scored WHERE score > 0) WHERE rank <= 10"""
+
+OP13 = """
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(doc_id, -9223372036854775808) AS doc, doc_id,
+                  encode(coalesce(text, '')) AS body FROM documents),
+strings AS (SELECT rid, doc, i, md5(body[i + 1:i + 100]) AS s
+            FROM (SELECT rid, doc, body, unnest(range(0, octet_length(body) - 99)) AS i FROM d)),
+firsts AS (SELECT s, min((doc, i)) AS first FROM strings GROUP BY s),
+later AS (SELECT rid, i FROM strings JOIN firsts USING (s) WHERE (doc, i) > first),
+runs AS (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS run
+         FROM (SELECT rid, i, (i > coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), -101) + 100)::INT AS fresh FROM later)),
+spans AS (SELECT rid, run, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY rid, run),
+gaps AS (SELECT rid, a, b, lag(b, 1, 0) OVER (PARTITION BY rid ORDER BY a) AS before FROM spans),
+cut AS (SELECT rid, count(*) AS n, sum(b - a)::BIGINT AS gone, max(b) AS tail,
+               string_agg(hex(body[before + 1:a]), '' ORDER BY a) AS kept
+        FROM gaps JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, octet_length(body) AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans,
+       CASE WHEN n IS NULL THEN sha256(body) ELSE sha256(unhex(kept || hex(body[tail + 1:octet_length(body)]))) END AS kept_sha256
+FROM d LEFT JOIN cut USING (rid)"""
+
+ORACLE = {"op2_licenses": _op2(), "op6_warc": OP6, "op8_embeddings": OP8, "op1_decontaminate": OP1, "op4_secrets": OP4,
+          "op11_trie": OP11, "op12_lexical": OP12, "op13_substrings": OP13}

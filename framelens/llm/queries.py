@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, forest, langid, licenses, minhash, packing, secrets, toxicity, urls, warc
+from . import decontam, forest, langid, lexical, licenses, minhash, packing, secrets, substrings, toxicity, trie
+from . import urls, warc
 from .common import table
 
 
@@ -95,6 +96,26 @@ def op10_toxicity(spark, d):
         "doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_trie(spark, d):
+    """Nodes of the prefix trie of all conversations, each rebuilt with its group's opening."""
+    turns = trie.share_openings(trie.sequences(table(spark, d, "conversations")))
+    return trie.prefix_trie(turns).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op12_lexical(spark, d):
+    """The ten best documents of every benchmark item."""
+    return lexical.search(table(spark, d, "documents").select("doc_id", "text"),
+                          table(spark, d, "benchmark").select("item_id", "text"))
+
+
+def op13_substrings(spark, d):
+    """Bytes of each document covered by a 100-byte string that starts earlier."""
+    cut = substrings.deduplicate(table(spark, d, "documents").select("doc_id", "text"), bytes_too=False)
+    return cut.select("doc_id", "deduped.n_bytes", "deduped.n_removed",
+                      F.size("deduped.spans").cast("bigint").alias("n_spans"), "deduped.kept_sha256")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_licenses": op2_licenses,
@@ -106,4 +127,7 @@ QUERIES = {
     "op8_embeddings": op8_embeddings,
     "op9_minhash": op9_minhash,
     "op10_toxicity": op10_toxicity,
+    "op11_trie": op11_trie,
+    "op12_lexical": op12_lexical,
+    "op13_substrings": op13_substrings,
 }
