@@ -166,26 +166,28 @@ def byte_runs(raw: np.ndarray) -> np.ndarray:
     return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each lower-cased word: eight bytes at a time through the mixer, long words by BLAKE2b.
+def string_names(runs: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit names of byte strings of ``byte_runs``: eight bytes at a time through the mixer.
 
-    Every step is a bijection of what it adds, so no family of texts collides
-    by structure, as with a polynomial.
+    Every step is a bijection of what it adds, so no family of strings
+    collides by structure, as with a polynomial.
     """
+    out = mix(size.astype(np.uint64) + np.uint64(BASE))
+    live, at = np.flatnonzero(size > 0), 0
+    while len(live):
+        left = size[live] - at
+        chunk = runs[start[live] + at]
+        unused = np.uint64(64) - np.minimum(left, 8).astype(np.uint64) * np.uint64(8)
+        out[live] = mix(out[live] * np.uint64(BASE) + ((chunk << unused) >> unused))
+        live, at = live[left > 8], at + 8
+    return out
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each lower-cased word; long words by BLAKE2b."""
     lowered = LOWER[raw]
-    runs = byte_runs(lowered)
     length = ends - starts
-    out = mix(length.astype(np.uint64) + np.uint64(BASE))
-    live = np.flatnonzero(length <= LONG_WORD)
-    at = 0
-    while len(live):
-        left = length[live] - at
-        chunk = runs[starts[live] + at]
-        kept = np.uint64(64) - np.minimum(left, 8).astype(np.uint64) * np.uint64(8)
-        chunk = (chunk << kept) >> kept
-        out[live] = mix(out[live] * np.uint64(BASE) + chunk)
-        live = live[left > 8]
-        at += 8
+    out = string_names(byte_runs(lowered), starts, np.where(length <= LONG_WORD, length, 0))
     for i in np.flatnonzero(length > LONG_WORD):
         digest = hashlib.blake2b(lowered[starts[i]:ends[i]].tobytes(), digest_size=8).digest()
         out[i] = np.frombuffer(digest, "<u8")[0]

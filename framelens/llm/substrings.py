@@ -3,23 +3,24 @@
 A byte goes if a string of ``threshold`` bytes that covers it also starts
 earlier (smaller doc_id, or same document and earlier start). Spark sorts
 (rank, position) rows at growing lengths; a row whose rank occurs once is out,
-the others are ranked again by pairs at a larger offset, until they are unique
-or past the threshold. A rank is a hash name: the name of 2h bytes is that of
-the pair (name of h bytes, name of the h bytes that follow), computed where the
-text lies, so only names and positions are sorted, never texts.
+the others are ranked again by pairs, the rank so far and that of the bytes at
+a larger offset, until they are unique or past the threshold. A rank is a hash
+name, computed where the text lies, so only names and positions are sorted,
+never texts.
 
 Four rounds. (1) Prefixes of ``gram`` bytes, at anchors only: each window of
 ``threshold`` bytes is known by its lowest-named gram, which equal windows
 share at the same place, so one row stands for all the windows (about 35) that
 choose it, and nothing is lost. (2) Anchors with a repeated gram, ranked by the
-pair of gram and whole surroundings, all bytes of all its windows: of equal
-ones the first is kept and the others are repeats as a whole. (3) Firsts whose
-gram has other surroundings too, in blocks of neighbouring windows, by the
-bytes that all windows of the block cover. (4) Windows of blocks that occur
-again, one by one, past the threshold.
-
-The first sort is by range on (rank, position), which splits a hot rank between
-tasks; later groupings aggregate before they shuffle.
+pair of names of their whole surroundings, all bytes of all their windows: of
+equal ones the first is kept and the others are repeats as a whole. (3) Firsts
+whose gram has other surroundings too, in blocks of neighbouring windows, by
+the bytes that all windows of the block cover. (4) Windows of blocks that occur
+again, one by one, ranked by the pair of their halves, past the threshold.
+
+Hot ranks: a task looks for repeats among its own rows first. Of equal ones a
+single witness goes to the rank's partition, the others are spread at random.
+Later groupings aggregate before they shuffle.
 """
 
 from __future__ import annotations
@@ -32,17 +33,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, byte_runs, mix, pieces, text_buffer
+from .common import BASE, byte_runs, mix, pieces, string_names, text_buffer
 from .scratch import Scratch
 
 THRESHOLD = 100
 PIECE = 1 << 20
+ENTRIES = 1 << 16
 POSITION = np.uint64((1 << 24) - 1)
-SEEDS = (0, 0x5851F42D4C957F2D)
-AT = "doc bigint, version bigint, start bigint"
+AT = "doc bigint, version bigint, place bigint"
+# a place is a start in the text with two distances of at most 16 bits: start << 32 | to low << 16 | to high
 
 
-def names(raw: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
+def names(raw: np.ndarray, length: int) -> np.ndarray:
     """Names of all strings of ``length`` bytes, by doubling; equal strings have equal names."""
     def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix(a * np.uint64(BASE) + b)
@@ -53,7 +55,7 @@ def names(raw: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     if h < 8:
         shift = np.uint64(64 - 8 * h)
         out = (out << shift) >> shift
-    out = mix(out + np.uint64((seed + 1) & (2 ** 64 - 1)))
+    out = mix(out + np.uint64(1))
     while 2 * h <= length:
         out = pair(out[:len(out) - h], out[h:]) if len(out) > h else out[:0]
         h *= 2
@@ -116,61 +118,66 @@ def text_pieces(offsets: np.ndarray, threshold: int) -> Iterator[tuple[int, int,
             low += PIECE
 
 
-def each_anchor(batch: pa.RecordBatch, threshold: int, column: int = 2) -> Iterator[tuple]:
-    """``(raw piece, row, start, low, high, name, byte at which the piece begins in its first text)``."""
-    raw, offsets = text_buffer(batch.column(column))
+def each_anchor(batch: pa.RecordBatch, threshold: int) -> Iterator[tuple]:
+    """``(row, start, low, high, name, what turns a place in the piece into one in the text)``, piece by piece."""
+    raw, offsets = text_buffer(batch.column(2))
     for a, b, low, high in text_pieces(offsets, threshold):
         piece = raw[low:high]
         bounds = np.clip(offsets[a:b + 1], low, high) - low
         row, start, first, last, name = anchors(piece, bounds, threshold)
-        yield piece, row + a, start, first, last, name, low - offsets[row + a]
+        yield row + a, start, first, last, name, low - offsets[row + a]
 
 
-def repeated(rows: DataFrame, rank: list[str]) -> DataFrame:
-    """Rows whose rank occurs more than once, after one sort by (rank, position).
+def _ranked(name: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns part, known and the given ones: whether the name repeats here, and where the row is to be sorted."""
+    order = np.argsort(name, kind="stable")
+    same = name[order][1:] == name[order][:-1]
+    known, spread = np.zeros(len(name), bool), np.zeros(len(name), bool)
+    known[order[1:]] = same
+    spread[order[1:]] = same  # all but the first of equal names
+    known[order[:-1]] |= same
+    part = np.where(spread, mix(name + np.arange(len(name), dtype=np.uint64)), name)
+    return [part, known, *columns]
 
-    A sorted partition is read as a stream. Its first and last rows stay
-    undecided and are kept: a few rows more than needed, none less.
-    """
-    order = [*rank, "doc", "version", "start"]
-    width = len(rank)
 
+def repeated(rows: DataFrame) -> DataFrame:
+    """Rows whose rank occurs more than once: one sort by rank, each sorted partition read as a stream."""
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_in = None, True  # the last row so far, and whether it is known to stay
+        held, stayed = None, False  # the last row so far, and whether it is known to stay
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            columns = [table.column(i).to_numpy() for i in range(width)]
-            same = np.logical_and.reduce([c[1:] == c[:-1] for c in columns])
-            stays = np.append(same, False)
+            part, stays = table.column(0).to_numpy(), np.array(table.column(1))
+            same = part[1:] == part[:-1]
             stays[1:] |= same
-            stays[0] |= held_in
-            held, held_in = table.slice(len(stays) - 1).to_batches()[0], bool(stays[-1]) and len(stays) > 1
-            for out in table.slice(0, len(stays) - 1).filter(pa.array(stays[:-1])).to_batches():
-                yield out
-        if held is not None:
-            yield held
+            stays[:-1] |= same
+            stays[0] |= stayed
+            held, stayed = table.slice(len(stays) - 1).to_batches()[0], bool(stays[-1])
+            yield from table.slice(0, len(stays) - 1).filter(pa.array(stays[:-1])).select(kept).to_batches()
+        if held is not None and stayed:
+            yield held.select(kept)
 
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(sieve, rows.schema)
+    kept = rows.columns[2:]
+    schema = ", ".join(f"{c} bigint" for c in kept)
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(sieve, schema)
 
 
 def _lists(rows: DataFrame, items: Column) -> DataFrame:
     return rows.groupBy("doc", "version").agg(F.collect_list(items).alias("at"))
 
 
-def _rows(schema: str, columns: Callable[[pa.RecordBatch], Iterator[list[np.ndarray]]]):
-    """mapInArrow function from one that yields lists of equally long columns."""
-    fields = [f.split() for f in schema.split(", ")]
+def _rows(texts: DataFrame, schema: str, columns: Callable[[pa.RecordBatch], Iterator[list[np.ndarray]]]) -> DataFrame:
+    """mapInArrow with a function from a batch to lists of equally long columns."""
+    fields = [f.split()[0] for f in schema.split(", ")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for found in columns(batch):
-                if len(found[0]):
-                    arrays = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in found]
-                    yield pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in fields])
+                arrays = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in found]
+                yield pa.RecordBatch.from_arrays(arrays, names=fields)
 
-    return rows
+    return texts.mapInArrow(rows, schema)
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -179,133 +186,136 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(doc.alias("doc"), F.xxhash64("text").alias("version"), "text")
 
 
-def _places(batch: pa.RecordBatch, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
-
-
 def anchor_rows(texts: DataFrame, threshold: int) -> DataFrame:
-    """Round 1: ``(name, doc, version, start)`` of every anchor."""
+    """Round 1: every anchor, ranked by its gram."""
     def found(batch):
-        for _, row, start, _, _, name, shift in each_anchor(batch, threshold):
-            yield [name, *_places(batch, row), start + shift]
+        held: list[tuple] = []
+        for row, start, low, high, name, shift in each_anchor(batch, threshold):
+            place = (start + shift) << 32 | (start - low) << 16 | (start - high)
+            held.append((name, batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row], place))
+            if sum(len(x[0]) for x in held) > PIECE:
+                yield joined(held)
+                held = []
+        if held:
+            yield joined(held)
 
-    schema = f"name bigint, {AT}"
-    return texts.mapInArrow(_rows(schema, found), schema)
+    def joined(held):
+        name, *columns = (np.concatenate(x) for x in zip(*held))
+        return _ranked(name, columns)
 
+    return _rows(texts, f"part bigint, known boolean, {AT}", found)
 
-def _listed(batch: pa.RecordBatch, threshold: int) -> Iterator[tuple]:
-    """``(raw piece, row, shift, entries of column at)``: the entries whose windows lie in the piece.
 
-    ``shift`` is what turns a place in the text into one in the piece.
-    """
+def _listed(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """``(byte runs, row, first byte of the row's text, entries of column at)``, some entries at a time."""
     raw, offsets = text_buffer(batch.column(2))
     lists = batch.column(3)
-    ends, entries = lists.offsets.to_numpy(), lists.values
-    for a, b, low, high in text_pieces(offsets, threshold):
-        row = np.repeat(np.arange(a, b), np.diff(ends[a:b + 1]))
-        part = [f.to_numpy()[ends[a]:ends[b]] for f in entries.flatten()]
-        shift = offsets[row] - low
-        # parts of a long text share no window, and an entry's windows are all of one part
-        inside = (part[0] + shift >= 0) & (part[0] + shift + threshold <= high - low)
-        yield raw[low:high], row[inside], shift[inside], [x[inside] for x in part]
+    entries = lists.flatten().to_numpy()
+    row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+    runs = byte_runs(raw)
+    for i in range(0, len(row), ENTRIES):
+        part = row[i:i + ENTRIES]
+        yield runs, part, offsets[part], entries[i:i + ENTRIES]
+
+
+def _of(batch: pa.RecordBatch, row: np.ndarray) -> list[np.ndarray]:
+    return [batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]]
+
+
+def _bounds(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    start = place >> 32
+    return start, start - (place >> 16 & 0xFFFF), start - (place & 0xFFFF)
+
+
+def _halves(runs: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    half = size // 2
+    return string_names(runs, start, half), string_names(runs, start + half, size - half)
 
 
 def surroundings(texts: DataFrame, threshold: int) -> DataFrame:
-    """Round 2: ``(name, around, again, doc, version, start, low, high)`` of the anchors in column ``at``."""
-    h = 1 << (threshold.bit_length() - 1)
+    """Round 2: ``(name, left, right, doc, version, place)``: gram and pair of names of the anchors in column ``at``."""
+    gram = gram_length(threshold)
 
     def found(batch):
-        lists = batch.column(3)
-        ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        for piece, row, start, low, high, name, shift in each_anchor(batch, threshold):
-            a, b = (int(row[0]), int(row[-1]) + 1) if len(row) else (0, 0)
-            wide = np.int64(max(int((start + shift).max(initial=0)), int(values[ends[a]:ends[b]].max(initial=0))) + 1)
-            wanted = np.repeat(np.arange(a, b), np.diff(ends[a:b + 1])) * wide + values[ends[a]:ends[b]]
-            keep = np.flatnonzero(np.isin(row * wide + start + shift, wanted))
-            row, start, low, high, name, shift = (x[keep] for x in (row, start, low, high, name, shift))
-            size = high - low + threshold  # under 4 h: four strings of h bytes cover it
-            both = []
-            for seed in SEEDS:
-                part = names(piece, h, seed)
-                around = (start - low).astype(np.uint64) << np.uint64(32) | size.astype(np.uint64)
-                for i in range(4):
-                    around = mix(around * np.uint64(BASE) + part[low + (size - h) * i // 3])
-                both.append(around)
-            yield [name, *both, *_places(batch, row), start + shift, low + shift, high + shift]
-
-    schema = f"name bigint, around bigint, again bigint, {AT}, low bigint, high bigint"
-    return texts.mapInArrow(_rows(schema, found), schema)
+        for runs, row, base, place in _listed(batch):
+            start, low, high = _bounds(place)
+            name = string_names(runs, base + start, np.full(len(start), gram))
+            left, right = _halves(runs, base + low, high - low + threshold)
+            yield [name, mix(left + (start - low).astype(np.uint64)), right, *_of(batch, row), place]
+
+    return _rows(texts, f"name bigint, left bigint, right bigint, {AT}", found)
 
 
 def block_rows(texts: DataFrame, threshold: int) -> DataFrame:
-    """Round 3: ``(name, doc, version, start, low, high)``: blocks of the windows of the anchors in column ``at``.
+    """Round 3: blocks of the windows of the anchors in column ``at``, ranked by the bytes their windows share.
 
     A block is a range of distances from window start to anchor, so equal
-    windows fall into the same block; ``name`` is that of the bytes from
-    ``start`` on that all its windows share.
+    windows fall into the same block. Its place is the start of its first
+    window of this anchor and, as distance, its last.
     """
     block = (threshold - gram_length(threshold)) // 4 + 1
     core = threshold - block + 1
 
     def found(batch):
-        for piece, row, shift, (low, high, start) in _listed(batch, threshold):
-            name = names(piece, core)
-            near, far = (start - high) // block, (start - low) // block
-            each = np.repeat(np.arange(len(row)), far - near + 1)
-            number = np.arange(len(each)) - np.repeat(np.cumsum(far - near + 1) - (far - near + 1), far - near + 1)
+        for runs, row, base, place in _listed(batch):
+            start, low, high = _bounds(place)
+            near, count = (start - high) // block, (start - low) // block - (start - high) // block + 1
+            each = np.repeat(np.arange(len(row)), count)
+            number = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
             last = (start - near * block)[each] - number * block  # last window start a block can have
-            row, shift = row[each], shift[each]
-            yield [name[last + shift], *_places(batch, row), last, np.maximum(low[each], last - block + 1),
-                   np.minimum(high[each], last)]
+            name = string_names(runs, base[each] + last, np.full(len(each), core))
+            first, end = np.maximum(low[each], last - block + 1), np.minimum(high[each], last)
+            yield _ranked(name, [*_of(batch, row[each]), first << 32 | (end - first)])
 
-    schema = f"name bigint, {AT}, low bigint, high bigint"
-    return texts.mapInArrow(_rows(schema, found), schema)
+    return _rows(texts, f"part bigint, known boolean, {AT}", found)
 
 
 def window_rows(texts: DataFrame, threshold: int) -> DataFrame:
-    """Round 4: ``(name, again, doc, version, start)`` of all windows in the intervals of column ``at``."""
+    """Round 4: all windows of the blocks in column ``at``, ranked by the pair of their halves."""
     def found(batch):
-        for piece, row, shift, (low, high) in _listed(batch, threshold):
-            size = high - low + 1
-            each = np.repeat(np.arange(len(row)), size)
-            start = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
-            yield [*(names(piece, threshold, seed)[start + shift[each]] for seed in SEEDS),
-                   *_places(batch, row[each]), start]
+        for runs, row, base, place in _listed(batch):
+            low, count = place >> 32, (place & 0xFFFF) + 1
+            each = np.repeat(np.arange(len(row)), count)
+            start = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+            left, right = _halves(runs, base[each] + start, np.full(len(each), threshold))
+            yield _ranked(mix(left * np.uint64(BASE) + right), [left, right, *_of(batch, row[each]), start])
 
-    schema = f"name bigint, again bigint, {AT}"
-    return texts.mapInArrow(_rows(schema, found), schema)
+    return _rows(texts, f"part bigint, known boolean, left bigint, right bigint, {AT}", found)
 
 
 def repeats(docs: DataFrame, threshold: int = THRESHOLD, scratch: Scratch | None = None) -> DataFrame:
     """``(doc, version, low, high)``: byte ranges to remove, overlapping ones included."""
     scratch = scratch or Scratch(docs.sparkSession)
     texts = _identified(docs.filter(F.octet_length("text") >= threshold))
-    place = F.struct("doc", "start")
+    place = F.struct("doc", "place")
 
-    live = scratch.keep("grams", repeated(anchor_rows(texts, threshold), ["name"]).drop("name"))
-    known = scratch.keep("texts", texts.join(_lists(live, F.col("start")), ["doc", "version"]))
+    live = scratch.keep("grams", repeated(anchor_rows(texts, threshold)))
+    known = scratch.keep("texts", texts.join(_lists(live, F.col("place")), ["doc", "version"]))
     scratch.drop("grams")
 
-    around = scratch.keep("around", surroundings(known.select("doc", "version", "text", "at"), threshold))
-    first = around.groupBy("name", "around", "again").agg(F.min(place).alias("first"))
+    around = scratch.keep("around", surroundings(known, threshold))
+    first = around.groupBy("name", "left", "right").agg(F.min(place).alias("first"))
     open_ = first.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
     first = first.join(open_.withColumn("open", F.lit(True)), "name", "left")
-    judged = scratch.keep("judged", around.join(first, ["name", "around", "again"])
+    judged = scratch.keep("judged", around.join(first, ["name", "left", "right"])
                           .withColumn("later", place > F.col("first")).filter("later or open")
-                          .select("doc", "version", "low", "high", "start", "later"))
+                          .select("doc", "version", "place", "later"))
     scratch.drop("around")
 
     known = known.select("doc", "version", "text")
-    todo = _lists(judged.filter("not later"), F.struct("low", "high", "start"))
-    blocks = scratch.keep("blocks", repeated(block_rows(known.join(todo, ["doc", "version"]), threshold), ["name"])
-                          .select("doc", "version", "low", "high"))
-    windows = window_rows(known.join(_lists(blocks, F.struct("low", "high")), ["doc", "version"]), threshold)
-    windows = scratch.keep("windows", repeated(windows, ["name", "again"]))
+    todo = _lists(judged.filter("not later"), F.col("place"))
+    blocks = scratch.keep("blocks", repeated(block_rows(known.join(todo, ["doc", "version"]), threshold)))
+    windows = window_rows(known.join(_lists(blocks, F.col("place")), ["doc", "version"]), threshold)
+    windows = scratch.keep("windows", repeated(windows))
     scratch.drop("texts", "blocks")
-    first = windows.groupBy("name", "again").agg(F.min(place).alias("first"))
-    later = windows.join(first, ["name", "again"]).filter(place > F.col("first"))
-    return judged.filter("later").select("doc", "version", "low", (F.col("high") + threshold).alias("high")).unionByName(
-        later.select("doc", "version", F.col("start").alias("low"), (F.col("start") + threshold).alias("high")))
+    first = windows.groupBy("left", "right").agg(F.min(place).alias("first"))
+    later = windows.join(first, ["left", "right"]).filter(place > F.col("first"))
+    start = F.shiftright("place", 32)
+    whole = judged.filter("later").select(
+        "doc", "version", (start - F.shiftright("place", 16).bitwiseAND(F.lit(0xFFFF))).alias("low"),
+        (start - F.col("place").bitwiseAND(F.lit(0xFFFF)) + threshold).alias("high"))
+    return whole.unionByName(later.select("doc", "version", F.col("place").alias("low"),
+                                          (F.col("place") + threshold).alias("high")))
 
 
 def _cut(texts: pa.Array, lists: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
