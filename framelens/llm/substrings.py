@@ -15,8 +15,9 @@ choose it, and nothing is lost. (2) Anchors with a repeated gram, ranked by the
 pair of names of their whole surroundings, all bytes of all their windows: of
 equal ones the first is kept and the others are repeats as a whole. (3) Firsts
 whose gram has other surroundings too, in blocks of neighbouring windows, by
-the bytes that all windows of the block cover. (4) Windows of blocks that occur
-again, one by one, ranked by the pair of their halves, past the threshold.
+the bytes that all windows of the block cover, then by the pair of names of all
+its bytes, as in (2). (4) Windows of first blocks that are left, one by one,
+ranked by the pair of their halves, past the threshold.
 
 Hot ranks: a task looks for repeats among its own rows first. Of equal ones a
 single witness goes to the rank's partition, the others are spread at random.
@@ -250,8 +251,8 @@ def block_rows(texts: DataFrame, threshold: int) -> DataFrame:
     """Round 3: blocks of the windows of the anchors in column ``at``, ranked by the bytes their windows share.
 
     A block is a range of distances from window start to anchor, so equal
-    windows fall into the same block. Its place is the start of its first
-    window of this anchor and, as distance, its last.
+    windows fall into the same block. Columns name, left, right, doc, version,
+    place; the place is the block's last window, with the distance to its first.
     """
     block = (threshold - gram_length(threshold)) // 4 + 1
     core = threshold - block + 1
@@ -265,57 +266,66 @@ def block_rows(texts: DataFrame, threshold: int) -> DataFrame:
             last = (start - near * block)[each] - number * block  # last window start a block can have
             name = string_names(runs, base[each] + last, np.full(len(each), core))
             first, end = np.maximum(low[each], last - block + 1), np.minimum(high[each], last)
-            yield _ranked(name, [*_of(batch, row[each]), first << 32 | (end - first)])
+            left, right = _halves(runs, base[each] + first, end - first + threshold)
+            left = mix(left + (last - first).astype(np.uint64))
+            yield _ranked(name, [name, left, right, *_of(batch, row[each]), end << 32 | (end - first) << 16])
 
-    return _rows(texts, f"part bigint, known boolean, {AT}", found)
+    return _rows(texts, f"part bigint, known boolean, name bigint, left bigint, right bigint, {AT}", found)
 
 
 def window_rows(texts: DataFrame, threshold: int) -> DataFrame:
     """Round 4: all windows of the blocks in column ``at``, ranked by the pair of their halves."""
     def found(batch):
         for runs, row, base, place in _listed(batch):
-            low, count = place >> 32, (place & 0xFFFF) + 1
+            _, low, high = _bounds(place)
+            count = high - low + 1
             each = np.repeat(np.arange(len(row)), count)
             start = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
             left, right = _halves(runs, base[each] + start, np.full(len(each), threshold))
-            yield _ranked(mix(left * np.uint64(BASE) + right), [left, right, *_of(batch, row[each]), start])
+            yield _ranked(mix(left * np.uint64(BASE) + right), [left, right, *_of(batch, row[each]), start << 32])
 
     return _rows(texts, f"part bigint, known boolean, left bigint, right bigint, {AT}", found)
 
 
+def judge(rows: DataFrame) -> DataFrame:
+    """``(doc, version, place, later)`` of the rows that repeat an earlier pair, or are first of a pair whose name has others."""
+    place = F.struct("doc", "place")
+    first = rows.groupBy("name", "left", "right").agg(F.min(place).alias("first"))
+    open_ = first.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
+    first = first.join(open_.withColumn("open", F.lit(True)), "name", "left")
+    return (rows.join(first, ["name", "left", "right"]).withColumn("later", place > F.col("first"))
+            .filter("later or open").select("doc", "version", "place", "later"))
+
+
 def repeats(docs: DataFrame, threshold: int = THRESHOLD, scratch: Scratch | None = None) -> DataFrame:
     """``(doc, version, low, high)``: byte ranges to remove, overlapping ones included."""
     scratch = scratch or Scratch(docs.sparkSession)
     texts = _identified(docs.filter(F.octet_length("text") >= threshold))
-    place = F.struct("doc", "place")
 
     live = scratch.keep("grams", repeated(anchor_rows(texts, threshold)))
     known = scratch.keep("texts", texts.join(_lists(live, F.col("place")), ["doc", "version"]))
     scratch.drop("grams")
-
     around = scratch.keep("around", surroundings(known, threshold))
-    first = around.groupBy("name", "left", "right").agg(F.min(place).alias("first"))
-    open_ = first.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
-    first = first.join(open_.withColumn("open", F.lit(True)), "name", "left")
-    judged = scratch.keep("judged", around.join(first, ["name", "left", "right"])
-                          .withColumn("later", place > F.col("first")).filter("later or open")
-                          .select("doc", "version", "place", "later"))
+    anchored = scratch.keep("anchored", judge(around))
     scratch.drop("around")
 
-    known = known.select("doc", "version", "text")
-    todo = _lists(judged.filter("not later"), F.col("place"))
-    blocks = scratch.keep("blocks", repeated(block_rows(known.join(todo, ["doc", "version"]), threshold)))
-    windows = window_rows(known.join(_lists(blocks, F.col("place")), ["doc", "version"]), threshold)
-    windows = scratch.keep("windows", repeated(windows))
-    scratch.drop("texts", "blocks")
+    def left_over(judged: DataFrame) -> DataFrame:
+        """Texts with the places still to be told apart."""
+        return known.select("doc", "version", "text").join(
+            _lists(judged.filter("not later"), F.col("place")), ["doc", "version"])
+
+    blocks = scratch.keep("blocks", repeated(block_rows(left_over(anchored), threshold)))
+    blocked = scratch.keep("blocked", judge(blocks))
+    scratch.drop("blocks")
+    windows = scratch.keep("windows", repeated(window_rows(left_over(blocked), threshold)))
+    scratch.drop("texts")
+    place = F.struct("doc", "place")
     first = windows.groupBy("left", "right").agg(F.min(place).alias("first"))
-    later = windows.join(first, ["left", "right"]).filter(place > F.col("first"))
+    later = windows.join(first, ["left", "right"]).filter(place > F.col("first")).select("doc", "version", "place")
     start = F.shiftright("place", 32)
-    whole = judged.filter("later").select(
+    return (anchored.unionByName(blocked).filter("later").drop("later").unionByName(later).select(
         "doc", "version", (start - F.shiftright("place", 16).bitwiseAND(F.lit(0xFFFF))).alias("low"),
-        (start - F.col("place").bitwiseAND(F.lit(0xFFFF)) + threshold).alias("high"))
-    return whole.unionByName(later.select("doc", "version", F.col("place").alias("low"),
-                                          (F.col("place") + threshold).alias("high")))
+        (start - F.col("place").bitwiseAND(F.lit(0xFFFF)) + threshold).alias("high")))
 
 
 def _cut(texts: pa.Array, lists: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
