@@ -86,8 +86,8 @@ def pieces(offsets: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return out
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes (uint64) of all texts in order, and the words' bounds per text.
+def polynomial_words(raw: np.ndarray, offsets: np.ndarray, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes (uint64) of all texts in order, and the words' bounds per text, for hashed features.
 
     The hash of a word is its polynomial over the bytes, from one running sum,
     then mixed. ``bounds`` has one entry more than there are texts. With
@@ -192,3 +192,9 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         digest = hashlib.blake2b(lowered[starts[i]:ends[i]].tobytes(), digest_size=8).digest()
         out[i] = np.frombuffer(digest, "<u8")[0]
     return out
+
+
+def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the words' bounds per text (one entry more than texts)."""
+    starts, ends, bounds = word_spans(raw, offsets)
+    return (span_hashes(raw, starts, ends) if len(starts) else np.zeros(0, np.uint64)), bounds

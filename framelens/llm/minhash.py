@@ -3,9 +3,10 @@
 A document is its set of five-word shingles, weighted by TF-IDF. Document
 frequencies are counted on hashed features (as ``HashingTF`` with ``IDF``
 does): the table has a fixed size, and what it can tell apart is a share of the
-corpus, alike at every size. They count each group of near copies once: a first
-run with unweighted shingles finds the groups, so that a large group does not
-make its own shingles common. Improved consistent weighted
+corpus, alike at every size. They count each group of near copies once, so that
+a large group does not make its own shingles common: in a bucket of plain
+MinHash bands, texts whose sketches agree with the bucket's smallest id count as
+its copies. That estimate serves the counts only. Improved consistent weighted
 sampling draws ``BANDS x ROWS`` samples per document; two documents agree in a
 sample with the probability of their weighted Jaccard similarity. Samples are
 banded, and every candidate is verified by the weighted Jaccard similarity of
@@ -31,20 +32,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from ..operators.clustering import connected_components
-from ..session import cut_lineage
 from .common import mix, pieces, shingles, text_buffer, words
+from .components import components
+from .scratch import Scratch
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 FEATURE_BITS = 18
 TABLE = 1 << 14
-CHUNK = 1 << 13
+CHUNK = 1 << 11
 BLOCK = 256
 SLICE = 4096
-PLAIN = np.zeros(0)  # in place of inverse frequencies: shingles without weights
+ALIKE = 0.7  # share of equal sketch entries from which a text counts as a copy in document frequencies
 
 
 def _documents(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -90,25 +92,63 @@ def _counted(docs: DataFrame, size: int) -> tuple[np.ndarray, float]:
     return out, float(n[at < 0].sum())
 
 
-def document_frequencies(docs: DataFrame, size: int = SHINGLE, least: float = SIMILARITY,
-                         block: int = BLOCK) -> tuple[np.ndarray, int]:
+def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``(doc_id, content, bands, sketch)``: plain MinHash bands and a byte of each sample; null without words."""
+    kind = pa.struct([("content", pa.string()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+
+    @F.arrow_udf("struct<content:string,bands:array<bigint>,sketch:binary>")
+    def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        sampler = Sampler()
+        for texts in batches:
+            rows = []
+            for hashes in _documents(texts):
+                if not len(hashes):
+                    rows.append(None)
+                    continue
+                drawn = sampler.lowest(shingles(hashes, size))
+                rows.append({"content": _content(hashes), "bands": _bands(drawn),
+                             "sketch": drawn.astype(np.uint8).tobytes()})
+            yield pa.array(rows, type=kind)
+
+    return docs.select("doc_id", sign("text").alias("s")).select("doc_id", "s.*")
+
+
+@F.arrow_udf(DoubleType())
+def agreement(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Share of equal entries of two sketches."""
+    a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(len(x), -1) for x in (left, right))
+    return pa.array((a == b).mean(axis=1) if len(a) else np.zeros(0))
+
+
+def document_frequencies(docs: DataFrame, size: int = SHINGLE, scratch: Scratch | None = None) -> tuple[np.ndarray, int]:
     """Groups that hold each hashed shingle feature in their first text, and groups with words.
 
-    Groups are those of ``_linked_nodes`` with unweighted shingles. All rows
-    are counted where they lie; then the rows that are not their group's first
-    are taken off again, from the texts that the comparison has already read.
+    All rows are counted where they lie; then the rows that repeat a text or
+    whose sketch agrees with a smaller id of a bucket are taken off again. The
+    groups are found on sketches; only texts that are taken off are moved.
     """
+    own_scratch = scratch is None
+    scratch = scratch or Scratch(docs.sparkSession)
     named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null")
     whole = named.select("text", F.lit(None).cast("string").alias("content"), F.lit(1.0).alias("share"))
     all_rows, n = _counted(whole, size)
-    signed, node_of, label, texts = _linked_nodes(named, PLAIN, size, least, block)
-    first = F.coalesce("label", "node") == F.col("node")
-    held = signed.join(node_of, "content").groupBy("content", "node").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum((F.col("doc_id") == F.col("node")).cast("int")).alias("own"))
-    spare = (held.join(label, "node", "left")
-             .withColumn("spare", F.col("rows") - first.cast("int")).filter("spare > 0")
+    per_id = (sketches(named, size).filter("content is not null").groupBy("content", "doc_id")
+              .agg(F.count(F.lit(1)).alias("own"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    heads = scratch.keep("sketch-heads", per_id.groupBy("content").agg(
+        F.min(F.struct("doc_id", "own", "bands", "sketch")).alias("h"), F.sum("own").alias("rows"))
+        .select("content", F.col("h.doc_id").alias("node"), "h.own", "h.bands", "h.sketch", "rows"))
+    buckets = heads.select("node", "content", "sketch", F.posexplode("bands").alias("band", "key"))
+    centres = (buckets.groupBy("band", "key").agg(F.min(F.struct("node", "sketch")).alias("c"), F.max("node").alias("last"))
+               .filter("c.node < last").select("band", "key", F.col("c.node").alias("centre"), F.col("c.sketch").alias("other")))
+    copies = (buckets.join(centres, ["band", "key"]).filter("centre < node")
+              .filter(agreement("sketch", "other") >= ALIKE).select("content").distinct().withColumn("copy", F.lit(1)))
+    spare = (heads.join(copies, "content", "left")
+             .withColumn("spare", F.col("rows") - F.when(F.col("copy") == 1, 0).otherwise(1)).filter("spare > 0")
              .select(F.col("node").alias("doc_id"), "content", (F.col("spare") / F.col("own")).alias("share")))
-    off, spared = _counted(texts.join(spare, "doc_id"), size)
+    off, spared = _counted(named.join(scratch.keep("spare", spare), "doc_id"), size)
+    scratch.drop("sketch-heads", "spare")
+    if own_scratch:
+        scratch.close()
     return np.rint(all_rows - off).astype(np.int64), round(n - spared)
 
 
@@ -117,55 +157,76 @@ def inverse_frequencies(frequencies: np.ndarray, documents: int) -> np.ndarray:
 
 
 def weigh(hashes: np.ndarray, idf: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of a document, sorted, and their TF-IDF weights (1 with ``PLAIN``)."""
+    """Distinct shingles of a document, sorted, and their TF-IDF weights."""
     found, count = np.unique(shingles(hashes, size), return_counts=True)
-    if not len(idf):
-        return found, np.ones(len(found))
     return found, count * idf[feature(found)]
 
 
+def _folded(shingle: np.ndarray) -> np.ndarray:
+    return ((shingle >> np.uint64(32)) ^ shingle).astype(np.uint32)
+
+
 class Sampler:
     """Improved consistent weighted sampling with tabled random variates.
 
     A shingle's variates (two gamma, one uniform) for sample k come from a
     table entry chosen by the shingle's k-th hash, so equal shingles draw
-    alike in every document.
+    alike in every document. A score lies between two bounds that need no
+    level; only shingles whose lower bound reaches the least upper bound are
+    scored, which leaves the sample as it is.
     """
 
     def __init__(self, samples: int = BANDS * ROWS, seed: int = 7):
         draw = np.random.default_rng(seed)
         r, c, beta = draw.gamma(2, 1, TABLE), draw.gamma(2, 1, TABLE), draw.random(TABLE)
-        self.inverse, self.beta, self.r = (x.astype(np.float32) for x in (1 / r, beta, r))
-        self.rest = (np.log(c) + r * beta - r).astype(np.float32)
-        self.multiplier = draw.integers(0, 1 << 63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.inverse, self.beta, self.r = 1 / r, beta, r
+        self.rest = np.log(c) + r * beta - r
+        self.high, self.low = np.log(c).astype(np.float32), (np.log(c) - r).astype(np.float32)
+        self.multiplier = draw.integers(0, 1 << 31, samples, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
     def lowest(self, shingle: np.ndarray) -> np.ndarray:
-        """One sample per multiplier for shingles of equal weight: the shingle of the lowest hash."""
-        out = np.full(len(self.multiplier), np.iinfo(np.uint64).max)
-        for i in range(0, len(shingle), CHUNK):
-            np.minimum(out, (shingle[i:i + CHUNK] * self.multiplier[:, None]).min(axis=1), out=out)
-        return mix(out)
+        """One sample per multiplier for shingles of equal weight: the lowest hash."""
+        part = _folded(shingle)
+        out = np.full(len(self.multiplier), np.iinfo(np.uint32).max)
+        for i in range(0, len(part), CHUNK):
+            np.minimum(out, (part[i:i + CHUNK] * self.multiplier[:, None]).min(axis=1), out=out)
+        return mix(out.astype(np.uint64) + self.multiplier)
 
     def draw(self, shingle: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """One sample (hash of shingle and level) per multiplier; equal scores go to the smaller shingle."""
-        log_weight = np.log(weight).astype(np.float32)
-        best = np.full(len(self.multiplier), np.inf, np.float32)
+        log_weight = np.log(weight)
+        best = np.full(len(self.multiplier), np.inf)
         out = np.zeros(len(self.multiplier), np.uint64)
-        each = np.arange(len(self.multiplier))
         for i in range(0, len(shingle), CHUNK):
-            part = shingle[i:i + CHUNK]
-            entry = ((part * self.multiplier[:, None]) >> np.uint64(64 - 14)).astype(np.int32)
-            level = np.floor(log_weight[i:i + CHUNK] * self.inverse[entry] + self.beta[entry])
+            part, log = shingle[i:i + CHUNK], log_weight[i:i + CHUNK]
+            entry = (_folded(part) * self.multiplier[:, None]) >> np.uint32(32 - 14)
+            single = log.astype(np.float32)
+            reach = np.minimum((self.high[entry] - single).min(axis=1), best) + 1e-3  # more than single precision loses
+            k, at = np.divmod(np.flatnonzero(self.low[entry] - single <= reach[:, None]), len(part))
+            if not len(k):
+                continue
+            entry = entry[k, at]
+            level = np.floor(log[at] * self.inverse[entry] + self.beta[entry])
             score = self.rest[entry] - self.r[entry] * level
-            at = score.argmin(axis=1)
-            value = score[each, at]
-            better = value < best
-            best[better] = value[better]
-            drawn = mix(part[at] + level[each, at].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            out[better] = drawn[better]
+            first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            value = np.minimum.reduceat(score, first)
+            least = np.flatnonzero(score == np.repeat(value, np.diff(np.append(first, len(k)))))
+            least = least[np.append(True, k[least][1:] != k[least][:-1])]
+            better = score[least] < best[k[least]]
+            chosen, sample = least[better], k[least[better]]
+            best[sample] = score[chosen]
+            out[sample] = mix(part[at[chosen]] + level[chosen].astype(np.int64).astype(np.uint64)
+                              * np.uint64(0x9E3779B97F4A7C15))
         return out
 
 
+def _bands(drawn: np.ndarray) -> np.ndarray:
+    key = np.zeros(BANDS, np.uint64)
+    for column in drawn.reshape(BANDS, ROWS).T:
+        key = mix(key + column)
+    return key.view(np.int64)
+
+
 def signatures(docs: DataFrame, idf: np.ndarray, size: int = SHINGLE) -> DataFrame:
     """``(doc_id, content, bands)``: hash of the words and band keys, null for a text without words."""
     shared = docs.sparkSession.sparkContext.broadcast(idf.astype(np.float32))
@@ -180,13 +241,8 @@ def signatures(docs: DataFrame, idf: np.ndarray, size: int = SHINGLE) -> DataFra
                 if not len(hashes):
                     rows.append(None)
                     continue
-                drawn = (sampler.draw(*weigh(hashes, idf, size)) if len(idf)
-                         else sampler.lowest(weigh(hashes, idf, size)[0]))
-                key = np.zeros(BANDS, np.uint64)
-                for column in drawn.reshape(BANDS, ROWS).T:
-                    key = mix(key + column)
-                rows.append({"content": _content(hashes),
-                             "bands": key.view(np.int64)})
+                drawn = sampler.draw(*weigh(hashes, idf, size))
+                rows.append({"content": _content(hashes), "bands": _bands(drawn)})
             yield pa.array(rows, type=kind)
 
     return docs.select("doc_id", sign("text").alias("s")).select("doc_id", "s.*")
@@ -198,11 +254,18 @@ def similarity(idf_shared, size: int = SHINGLE):
     def compare(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         idf = idf_shared.value
         for left, right in batches:
+            # rows come sorted by the left document, so its weights are taken over from row to row
+            encoded = left.dictionary_encode()
+            each, new, known = _documents(encoded.dictionary), 0, -1
             out = []
-            for a, b in zip(_documents(left), _documents(right)):
-                (sa, wa), (sb, wb) = weigh(a, idf, size), weigh(b, idf, size)
-                _, i, j = np.intersect1d(sa, sb, assume_unique=True, return_indices=True)
-                both = np.minimum(wa[i], wb[j]).sum()
+            for i, b in zip(encoded.indices.to_pylist(), _documents(right)):
+                if i != known:
+                    a = next(each) if i == new else next(_documents(encoded.dictionary.slice(i, 1)))
+                    new, known = new + (i == new), i
+                    sa, wa = weigh(a, idf, size)
+                sb, wb = weigh(b, idf, size)
+                _, at, bt = np.intersect1d(sa, sb, assume_unique=True, return_indices=True)
+                both = np.minimum(wa[at], wb[bt]).sum()
                 out.append(both / max(wa.sum() + wb.sum() - both, 1e-12))
             yield pa.array(out, pa.float64())
 
@@ -223,17 +286,15 @@ def _linked(idf_shared, least: float, size: int):
         row, column, total = [], [], np.zeros(len(node))
         for i, hashes in enumerate(_documents(t.column("text").combine_chunks())):
             found, count = np.unique(shingles(hashes, size), return_counts=True)
-            if not len(idf):
-                count = np.ones_like(count)
             each = np.repeat(found, count)
             copy = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
-            total[i] = idf[feature(each)].sum() if len(idf) else len(each)
+            total[i] = idf[feature(each)].sum()
             row.append(np.full(len(each), i))
             # the copy number goes into the column's hash, the weight stays the shingle's
             column.append(np.stack([mix(each + copy.astype(np.uint64)), each], axis=1))
         row, column = np.concatenate(row), np.concatenate(column)
         _, first, number, times = np.unique(column[:, 0], return_index=True, return_inverse=True, return_counts=True)
-        weight = np.sqrt(idf[feature(column[first, 1])]) if len(idf) else np.ones(len(first))
+        weight = np.sqrt(idf[feature(column[first, 1])])
         shared_column = times > 1
         place = np.cumsum(shared_column) - 1
         keep = shared_column[number]
@@ -262,47 +323,36 @@ def _linked(idf_shared, least: float, size: int):
     return link
 
 
-def _linked_nodes(named: DataFrame, idf: np.ndarray, size: int, least: float, block: int):
-    """``(signed, node_of, label, texts)``: signatures, the node of each content, linked nodes' labels, texts read."""
-    signed = cut_lineage(signatures(named, idf, size))
-    node_of = signed.filter("content is not null").groupBy("content").agg(F.min("doc_id").alias("node"))
-    # a class is read at its node's row; a doc_id with several texts joins their classes
-    heads = (signed.join(node_of, "content").filter("doc_id = node").dropDuplicates(["content"])
-             .select("node", "bands"))
-    buckets = cut_lineage(heads.select("node", F.posexplode("bands").alias("band", "key")))
+def _linked_nodes(scratch: Scratch, named: DataFrame, idf: np.ndarray, size: int, least: float, block: int):
+    """``(signed, node_of, label)``: contents of the rows, the node of each content, labels of linked nodes."""
+    signed = scratch.keep("signed", signatures(named, idf, size))
+    # a class is known by its smallest id and read there; a doc_id with several texts joins their classes
+    heads = scratch.keep("heads", signed.filter("content is not null").groupBy("content").agg(
+        F.min(F.struct("doc_id", "bands")).alias("h")).select("content", F.col("h.doc_id").alias("node"), "h.bands"))
+    buckets = heads.select("node", F.posexplode("bands").alias("band", "key"))
     centres = (buckets.groupBy("band", "key").agg(F.min("node").alias("centre"), F.max("node").alias("last"))
                .filter("centre < last").drop("last"))
-    shared_bucket = cut_lineage(buckets.join(centres, ["band", "key"]))
-    nodes = cut_lineage(shared_bucket.select("node").distinct())
-    read = nodes
-    if not len(idf):  # the nodes of repeated texts as well: ``document_frequencies`` takes their copies off
-        repeated = signed.filter("content is not null").groupBy("content").agg(
-            F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-        read = nodes.unionByName(repeated.select("node")).distinct()
-    texts = cut_lineage(named.join(read.withColumnRenamed("node", "doc_id"), "doc_id"))
+    members = scratch.keep("members", buckets.join(centres, ["band", "key"]))
+    texts = scratch.keep("texts", named.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id"))
     shared = named.sparkSession.sparkContext.broadcast(idf.astype(np.float32))
     compare = similarity(shared, size)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links (src, dst) among candidate pairs, by their texts."""
-        left = texts.select(F.col("doc_id").alias("src"), F.col("text").alias("left"))
-        right = texts.select(F.col("doc_id").alias("dst"), F.col("text").alias("right"))
-        both = pairs.join(left, "src").join(right, "dst")
-        return both.withColumn("s", compare("left", "right")).filter(F.col("s") >= least).select("src", "dst")
-
-    star = shared_bucket.filter("node <> centre").select(
-        F.col("centre").alias("src"), F.col("node").alias("dst")).distinct()
-    links = cut_lineage(verified(star))
-    label = connected_components(nodes, links)
+    star = members.filter("node <> centre").select(F.col("centre").alias("src"), F.col("node").alias("dst")).distinct()
+    left = texts.select(F.col("doc_id").alias("src"), F.col("text").alias("left"))
+    right = texts.select(F.col("doc_id").alias("dst"), F.col("text").alias("right"))
+    links = scratch.keep("links", star.join(right, "dst").join(left, "src")
+                         .withColumn("s", compare("left", "right")).filter(F.col("s") >= least).select("src", "dst"))
+    label = components(scratch, links, "star")
 
     # buckets with classes still apart: members outside the centre's component against all others
-    open_ = shared_bucket.join(label, "node").select("band", "key", "node", "label")
     bucket = ["band", "key"]
+    open_ = members.select(*bucket, "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     apart = (open_.groupBy(*bucket).agg(F.min("label").alias("_low"), F.max("label").alias("_high"),
                                         F.min(F.struct("node", "label")).alias("_c"))
              .filter("_low < _high").select(*bucket, F.col("_c.label").alias("_main")))
-    rest = cut_lineage(open_.join(apart, bucket).select(
+    rest = scratch.keep("rest", open_.join(apart, bucket).select(
         *bucket, "node", (F.col("label") == F.col("_main")).alias("main")))
+    scratch.drop("members")
     sizes = rest.groupBy(*bucket).agg(
         F.ceil(F.sum((~F.col("main")).cast("int")) / block).cast("int").alias("_few"),
         F.ceil(F.sum(F.col("main").cast("int")) / block).cast("int").alias("_many"))
@@ -312,10 +362,11 @@ def _linked_nodes(named: DataFrame, idf: np.ndarray, size: int, least: float, bl
     blocks = (rest.join(sizes, bucket).withColumn("_mine", chunk).withColumn("_other", F.explode(others))
               .select(*bucket, "node", F.least("_mine", "_other").alias("i"), F.greatest("_mine", "_other").alias("j"),
                       (F.col("_mine") > F.col("_other")).cast("int").alias("side")))
-    more = cut_lineage(blocks.join(texts.withColumnRenamed("doc_id", "node"), "node")
-                       .groupBy(*bucket, "i", "j").applyInArrow(_linked(shared, least, size), "src bigint, dst bigint"))
-    label = connected_components(nodes, links.unionByName(more))
-    return signed, node_of, label, texts
+    more = scratch.keep("more", blocks.join(texts.withColumnRenamed("doc_id", "node"), "node")
+                        .groupBy(*bucket, "i", "j").applyInArrow(_linked(shared, least, size), "src bigint, dst bigint"))
+    scratch.drop("texts", "rest")
+    label = components(scratch, links.unionByName(more), "all")
+    return signed.select("doc_id", "content"), heads.select("content", "node"), label
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
@@ -327,14 +378,16 @@ def classes(docs: DataFrame, size: int = SHINGLE, least: float = SIMILARITY, blo
     that share a doc_id take the smallest class of their texts. A null doc_id
     has a null class. An empty table gives an empty result.
     """
+    scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     named = rows.filter("doc_id is not null")
-    idf = inverse_frequencies(*document_frequencies(named, size, least, block))
-    signed, node_of, label, _ = _linked_nodes(named, idf, size, least, block)
-    member = signed.select("doc_id", "content").join(node_of, "content", "left").join(label, "node", "left")
-    group = F.coalesce("label", "node", "doc_id")
+    idf = inverse_frequencies(*document_frequencies(named, size, scratch))
+    signed, node_of, label = _linked_nodes(scratch, named, idf, size, least, block)
+    class_of = node_of.join(label, "node", "left").select("content", F.coalesce("label", "node").alias("_g"))
     # versions of one document (a doc_id with several texts) take their smallest class
-    of_id = member.select("doc_id", group.alias("_g")).groupBy("doc_id").agg(F.min("_g").alias("class_id"))
+    of_id = scratch.keep("classes", signed.join(class_of, "content", "left").groupBy("doc_id").agg(
+        F.min(F.coalesce("_g", "doc_id")).alias("class_id")))
+    scratch.close("classes")
     return rows.select("doc_id").join(of_id, "doc_id", "left")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, text_buffer, words
+from .common import mix, pieces, polynomial_words, text_buffer
 
 BITS = 17
 TRAIN_ROWS = 6000
@@ -43,10 +43,10 @@ TERMS = tuple((g, t) for g, group in enumerate(IDENTITY) for t in group)
 def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Feature numbers per word (whole word, then its beginnings; -1 where the word is no longer),
     the words' bounds per text, and the word hashes."""
-    whole, bounds = words(raw, offsets)
+    whole, bounds = polynomial_words(raw, offsets)
     out = [(whole >> np.uint64(64 - BITS)).astype(np.int64)]
     for k in PREFIXES:
-        part, longer = words(raw, offsets, prefix=k)
+        part, longer = polynomial_words(raw, offsets, prefix=k)
         number = (mix(part + np.uint64(k)) >> np.uint64(64 - BITS)).astype(np.int64)
         out.append(np.where(longer, number, -1))
     return out, bounds, whole
