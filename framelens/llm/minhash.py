@@ -145,7 +145,7 @@ def document_frequencies(docs: DataFrame, size: int = SHINGLE, scratch: Scratch
     spare = (heads.join(copies, "content", "left")
              .withColumn("spare", F.col("rows") - F.when(F.col("copy") == 1, 0).otherwise(1)).filter("spare > 0")
              .select(F.col("node").alias("doc_id"), "content", (F.col("spare") / F.col("own")).alias("share")))
-    off, spared = _counted(named.join(scratch.keep("spare", spare), "doc_id"), size)
+    off, spared = _counted(named.join(scratch.keep("spare", spare).hint("merge"), "doc_id"), size)
     scratch.drop("sketch-heads", "spare")
     if own_scratch:
         scratch.close()
@@ -333,14 +333,16 @@ def _linked_nodes(scratch: Scratch, named: DataFrame, idf: np.ndarray, size: int
     centres = (buckets.groupBy("band", "key").agg(F.min("node").alias("centre"), F.max("node").alias("last"))
                .filter("centre < last").drop("last"))
     members = scratch.keep("members", buckets.join(centres, ["band", "key"]))
-    texts = scratch.keep("texts", named.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id"))
+    # tables of ids grow with the corpus: a join with texts is a merge join at every size
+    texts = scratch.keep("texts", named.join(
+        members.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id"))
     shared = named.sparkSession.sparkContext.broadcast(idf.astype(np.float32))
     compare = similarity(shared, size)
 
     star = members.filter("node <> centre").select(F.col("centre").alias("src"), F.col("node").alias("dst")).distinct()
     left = texts.select(F.col("doc_id").alias("src"), F.col("text").alias("left"))
     right = texts.select(F.col("doc_id").alias("dst"), F.col("text").alias("right"))
-    links = scratch.keep("links", star.join(right, "dst").join(left, "src")
+    links = scratch.keep("links", star.hint("merge").join(right, "dst").hint("merge").join(left, "src")
                          .withColumn("s", compare("left", "right")).filter(F.col("s") >= least).select("src", "dst"))
     label = components(scratch, links, "star")
 
@@ -362,7 +364,7 @@ def _linked_nodes(scratch: Scratch, named: DataFrame, idf: np.ndarray, size: int
     blocks = (rest.join(sizes, bucket).withColumn("_mine", chunk).withColumn("_other", F.explode(others))
               .select(*bucket, "node", F.least("_mine", "_other").alias("i"), F.greatest("_mine", "_other").alias("j"),
                       (F.col("_mine") > F.col("_other")).cast("int").alias("side")))
-    more = scratch.keep("more", blocks.join(texts.withColumnRenamed("doc_id", "node"), "node")
+    more = scratch.keep("more", blocks.hint("merge").join(texts.withColumnRenamed("doc_id", "node"), "node")
                         .groupBy(*bucket, "i", "j").applyInArrow(_linked(shared, least, size), "src bigint, dst bigint"))
     scratch.drop("texts", "rest")
     label = components(scratch, links.unionByName(more), "all")
