@@ -79,10 +79,12 @@ def lexical(urls: DataFrame, rules=RULES) -> DataFrame:
             .withColumn("_suffix", F.substring_index("host", ".", -2)))
 
 
-def with_suffix_statistics(df: DataFrame, prior: float, smooth: float = SMOOTH) -> DataFrame:
-    """Add suffix_block and tld_block: smoothed share of blocked urls, the row's own label left out."""
+def with_suffix_statistics(df: DataFrame, prior: float, smooth: float = SMOOTH,
+                           labelled: DataFrame | None = None) -> DataFrame:
+    """Add suffix_block and tld_block: share of blocked urls of ``labelled``, smoothed, the row's own label left out."""
+    labelled = df if labelled is None else labelled
     for key, out in (("_suffix", "suffix_block"), ("_tld", "tld_block")):
-        stats = df.filter("label is not null").groupBy(key).agg(
+        stats = labelled.filter("label is not null").groupBy(key).agg(
             F.count(F.lit(1)).alias("_n"), F.sum("label").alias("_b"))
         own = F.col("label").isNotNull().cast("int")
         df = df.join(stats, key, "left").withColumn(out, (
@@ -92,12 +94,13 @@ def with_suffix_statistics(df: DataFrame, prior: float, smooth: float = SMOOTH)
 
 
 def boost(x: np.ndarray, y: np.ndarray, trees: int = 25, depth: int = 3, rate: float = 0.2,
-          bins: int = 64, ridge: float = 1.0) -> dict:
-    """Gradient-boosted trees for the logistic loss, splits at feature quantiles.
+          bins: int = 64, ridge: float = 1.0, weight: np.ndarray | None = None) -> dict:
+    """Gradient-boosted trees for the logistic loss, splits at feature quantiles; rows count ``weight`` times.
 
     Returns the start margin and trees as nested ``(feature, cut, low, high)`` or leaf values.
     """
-    base = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    weight = np.ones(len(y)) if weight is None else weight
+    base = float(np.log((weight @ y + 1) / (weight @ (1 - y) + 1)))
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
     place = [np.searchsorted(c, v, side="left") for c, v in zip(cuts, x.T)]  # 0: v <= first cut
     margin, out = np.full(len(y), base), []
@@ -125,7 +128,7 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 25, depth: int = 3, rate: f
 
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        out.append(grow(np.arange(len(y)), p - y, p * (1 - p), depth))
+        out.append(grow(np.arange(len(y)), weight * (p - y), weight * p * (1 - p), depth))
     return {"base": base, "trees": out}
 
 
@@ -136,13 +139,26 @@ def tree_column(tree) -> Column:
     return F.when(F.col(name) <= cut, tree_column(low)).otherwise(tree_column(high))
 
 
+def training_urls(df: DataFrame, rules, train_rows: int) -> DataFrame:
+    """At most ``train_rows`` distinct labelled urls, half of each label, drawn by hash, with their number of rows.
+
+    Copies of a url are counted before anything is drawn, so a hot url is one
+    weighted row and both kinds are always present.
+    """
+    counted = df.filter("label is not null").groupBy("url", "label").agg(F.count(F.lit(1)).alias("times"))
+    drawn = [counted.filter(F.col("label") == label).orderBy(F.xxhash64("url"), "url").limit(train_rows // 2)
+             for label in (0.0, 1.0)]
+    return lexical(drawn[0].unionByName(drawn[1]).select("url", "times"), rules)
+
+
 def judge(urls: DataFrame, rules=RULES, train_rows: int = TRAIN_ROWS, **boosting) -> DataFrame:
     """Add host, path, rule, verdict and block_score to rows with a ``url``.
 
     The verdict is the rule's, else ``block`` from a score of 0.5 on. Null
     urls and urls without ``://`` have empty host and path and are scored like
     others. Without labelled urls of both kinds the score is their share of
-    blocked ones (0 without any). Other columns keep their values; columns
+    blocked ones (0 without any). Very long urls are measured whole; repeated
+    rows are judged alike. Other columns keep their values; columns
     named like the added ones are replaced.
     """
     plain = urls.select(F.struct("*").alias("_row"), F.col("url"))
@@ -152,11 +168,11 @@ def judge(urls: DataFrame, rules=RULES, train_rows: int = TRAIN_ROWS, **boosting
     prior = blocked / n if n else 0.0
     df = with_suffix_statistics(df, prior)
     if 0 < blocked < n:
-        share = int(1_000_000 * min(1.0, train_rows / n)) + 1
-        sample = (df.filter("label is not null")
-                  .filter(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < share)
-                  .select("url", "label", *FEATURES).toPandas().sort_values(["url", "label"]))
-        model = boost(sample[list(FEATURES)].to_numpy(np.float64), sample["label"].to_numpy(np.float64), **boosting)
+        sample = training_urls(df, rules, train_rows)
+        sample = (with_suffix_statistics(sample, prior, labelled=df)
+                  .select("url", "label", "times", *FEATURES).toPandas().sort_values("url"))
+        model = boost(sample[list(FEATURES)].to_numpy(np.float64), sample["label"].to_numpy(np.float64),
+                      weight=sample["times"].to_numpy(np.float64), **boosting)
         margin = reduce(lambda a, b: a + b, map(tree_column, model["trees"]), F.lit(model["base"]))
         score = 1 / (1 + F.exp(-margin))
     else:

@@ -115,6 +115,18 @@ def test_url_rules_and_parts(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_urls_with_two_distinct_hot_labelled_urls(spark):
+    rows = [(i, ["https://a.com/en/x", "https://b.net/es/y", "https://c.org/z?q=1", None, "x" * 30_000][i % 5])
+            for i in range(6000)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = urls.judge(df, train_rows=20)
+    assert got.count() == 6000
+    verdicts = {(r["url"], r["verdict"]) for r in got.filter("url is not null").select("url", "verdict").distinct().collect()}
+    assert {("https://a.com/en/x", "allow"), ("https://b.net/es/y", "block")} <= verdicts and len(verdicts) == 4
+    drawn = urls.training_urls(urls.lexical(df.select("url"), urls.RULES), urls.RULES, 20).collect()
+    assert sorted((r["url"][:9], r["label"], r["times"]) for r in drawn) == [("https://a", 0.0, 1200), ("https://b", 1.0, 1200)]
+
+
 def test_url_trees_learn_labels():
     rng = np.random.default_rng(1)
     x = rng.random((2000, len(urls.FEATURES)))
