@@ -56,6 +56,29 @@ def test_nearest_snapshot_tie_takes_earlier(spark):
     assert got == {"u": "20200105000000", "v": "20191231000000"}
 
 
+def test_nearest_snapshot_follows_each_rows_own_date(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    rng, start = random.Random(4), datetime(2015, 1, 1)
+    day = lambda n: start + timedelta(days=n)
+    rows = [("u", "2019-01-01"), ("u", "2022-01-01"), ("w", "2020-05-05"), ("u", "2019-01-01"), ("x", None)]
+    rows += [("hot", day(rng.randint(0, 3000)).strftime("%Y-%m-%d")) for _ in range(300)]
+    points = [("u", "20190101000000"), ("u", "20220101000000"), ("x", "20200601000000"), ("x", "20200601000000")]
+    points += [("hot", day(rng.choice([rng.randint(0, 90), rng.randint(2000, 3000)])).strftime("%Y%m%d%H%M%S"))
+               for _ in range(200)]
+    led = spark.createDataFrame(rows, "url string, date string")
+    snaps = spark.createDataFrame([(*p, True) for p in points], "url string, stamp string, available boolean")
+    want = set()
+    for url, date in rows:
+        at = datetime.strptime(date or "2020-01-01", "%Y-%m-%d")
+        mine = [(abs((datetime.strptime(s, "%Y%m%d%H%M%S") - at).total_seconds()), s) for u, s in points if u == url]
+        if mine:
+            want.add((url, date, min(mine)[1]))
+    got = [tuple(r)[:3] for r in C.nearest_snapshot(led, snaps).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_fetch_schedule_hot_host_exact(spark):
     rows = [(i, "hot" if i % 3 else "cold") for i in range(300)]
     req = spark.createDataFrame(rows, "seq long, host string")
