@@ -19,6 +19,8 @@ from ..functions.scalars import clean_text
 from ..operators import clustering as K
 from ..operators import collection as C
 from ..operators import corpus, frames, langid, modeling, stats, topics
+from ..operators.density_tree import hierarchical_clusters
+from ..operators.neighbours import nearest_neighbours
 from ..params import DEFAULT, Params
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..streaming.ingest import incremental_ingest
@@ -472,6 +474,16 @@ def q_knn_graph(spark, d):
     return K.eps_edges(nodes)
 
 
+def q_nearest_neighbours(spark, d):
+    return rounded(nearest_neighbours(_vectors(spark, d)))
+
+
+def q_hierarchical_clusters(spark, d):
+    """Condensed-tree clusters of the reduced vectors, as the study clusters."""
+    reduced = K.reduce_dims(_vectors(spark, d))
+    return rounded(hierarchical_clusters(cut_lineage(reduced), col="reduced"))
+
+
 def q_density_clusters(spark, d):
     return K.density_clusters(_vectors(spark, d))
 
@@ -503,6 +515,8 @@ def q_embed_docs(spark, d):
 QUERIES.update({
     "knn_graph": q_knn_graph,
     "density_clusters": q_density_clusters,
+    "nearest_neighbours": q_nearest_neighbours,
+    "hierarchical_clusters": q_hierarchical_clusters,
     "assign_topics": q_assign_topics,
     "topic_probability": q_topic_probability,
     "reduce_dims": q_reduce_dims,

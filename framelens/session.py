@@ -7,8 +7,12 @@ ones a test or a laptop run is missing (the checkpoint folder). On a cluster
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import os
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,3 +72,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextlib.contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that writes a table into the shared checkpoint folder and rereads it.
+
+    For long loops: a reread table starts a new plan, while a checkpoint
+    hands the old plan's constraints on, which multiply from round to round.
+    The tables are deleted on leaving, so a result has to be kept outside.
+    """
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+    numbers = itertools.count()
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{next(numbers)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
