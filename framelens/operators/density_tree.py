@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
 from ..session import cut_lineage, scratch_tables
-from .clustering import connected_components, rank_by_size
+from .clustering import rank_by_size
 from .neighbours import Index, _exact, build_index, node_lists, nodes_of, reachable
 
 SPAN = 1 << 16
@@ -145,8 +145,7 @@ def spanning_tree(keep, index: Index, lists: DataFrame, core: DataFrame, bound:
         best = keep(_best_links(offers.unionByName(found), ends))
         chosen = best.select("b.u", "b.v", "b.w").distinct()
         tree = chosen if tree is None else tree.unionByName(chosen)
-        merged = connected_components(comps.withColumnRenamed("comp", "node"),
-                                      best.select(F.col("comp").alias("src"), F.col("b.mate").alias("dst")))
+        merged = _roots(keep, best.select(F.col("comp").alias("id"), F.col("b.mate").alias("ptr")))
         state = keep(
             state.join(best.select("comp", F.col("b.w").alias("w")), "comp")
             .join(merged.toDF("comp", "label"), "comp")
@@ -182,6 +181,23 @@ def _jump(keep, rows: DataFrame) -> DataFrame:
     return rows.select("id", "val")
 
 
+def _roots(keep, steps: DataFrame) -> DataFrame:
+    """``(id, root)`` of ``(id, ptr)``: where the pointers lead, the smaller id of each final pair.
+
+    Every id points along its lightest link, so a path ends in two ids that
+    point at each other; paths halve from round to round.
+    """
+    to = steps.select(F.col("id").alias("ptr"), F.col("ptr").alias("_next"))
+    end = (F.col("_next") == F.col("id")) & (F.col("id") < F.col("ptr"))
+    steps = keep(steps.join(to, "ptr").select("id", F.when(end, F.col("id")).otherwise(F.col("ptr")).alias("ptr"),
+                                              F.lit(True).alias("moved")))
+    while not steps.filter("moved").isEmpty():
+        to = steps.select(F.col("id").alias("ptr"), F.col("ptr").alias("_next"))
+        steps = keep(steps.join(to, "ptr").select("id", F.col("_next").alias("ptr"),
+                                                  (F.col("_next") != F.col("ptr")).alias("moved")))
+    return steps.select("id", F.col("ptr").alias("root"))
+
+
 def merge_tree(keep, tree: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links ``(r, w, chain, size, below, hung)`` and chains ``(chain, anchor, total)``.
 
@@ -207,15 +223,15 @@ def merge_tree(keep, tree: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Data
             break
         lows = least.select(F.col("m").alias("r")).distinct()
         cut = keep(now.join(lows, "r"))
-        label = connected_components(vertices.withColumnRenamed("s", "node"),
-                                     cut.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        to = label.toDF("s", "t")
+        other = F.when(F.col("s") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+        to = _roots(keep, least.join(cut, F.col("m") == F.col("r")).select(F.col("s").alias("id"), other.alias("ptr"))
+                    ).toDF("s", "t")
         pending = keep(here.filter("not in").select("r", "s")
                               .unionByName(cut.select("r", F.col("a").alias("s")))
                               .join(to, "s").select("r", F.col("t").alias("s")))
         now = keep(now.join(lows, "r", "left_anti").join(to.toDF("a", "ta"), "a").join(to.toDF("b", "tb"), "b")
                           .select("r", F.col("ta").alias("a"), F.col("tb").alias("b")))
-        vertices = keep(label.select(F.col("label").alias("s")).distinct())
+        vertices = keep(to.select(F.col("t").alias("s")).distinct())
         level += 1
     placed, anchors = keep(placed), keep(anchors)
     totals = keep(nodes.select(F.concat(F.lit("0:"), F.col("node").cast("string")).alias("chain"),
