@@ -4,14 +4,15 @@ The vectors are hashed TF-IDF terms under a random sign projection to
 ``projection_dims`` dimensions, so no step ever holds a vocabulary-wide
 vector: document frequencies are one count per hashed term (``HASH_SIZE`` at
 most), the sign matrix follows from the seed. The projected vectors are
-reduced by PCA and clustered per model group. A fitted model assigns other
+reduced by PCA and clustered per model group by the condensed density tree,
+which sets no distance by hand. A fitted model assigns other
 texts to the nearest topic centroid if its cosine reaches ``eps_reduced``.
 """
 
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from ..params import DEFAULT, Params
 from ..session import cut_lineage
 from . import clustering
+from .density_tree import hierarchical_clusters
 from .topics import tokenize, with_model_group
 
 HASH_SIZE = 1 << 16
@@ -103,8 +105,7 @@ def fit_group(docs: DataFrame, group: str, params: Params = DEFAULT, key: str =
         usable.select(key, array_to_vector("embedding").alias("_v")))
     pca = PCA(k=min(params.n_components, params.projection_dims), inputCol="_n", outputCol="_p").fit(unit)
     reduced = cut_lineage(_reduced(usable, pca, key))
-    found = cut_lineage(clustering.assign_topics(reduced, key, "embedding",
-                                                 replace(params, eps_cosine=params.eps_reduced)))
+    found = hierarchical_clusters(reduced, key, "embedding", params)
     rest = outliers.join(found.select(key), key, "left_anti")
     return TopicModel(group, idf, pca, found.select(key, "topic", "probability").unionByName(rest),
                       cut_lineage(clustering.topic_centroids(reduced, found.select(key, "topic"), key)))
