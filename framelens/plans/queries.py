@@ -21,6 +21,7 @@ from ..operators import collection as C
 from ..operators import corpus, frames, langid, modeling, stats, topics
 from ..operators.density_tree import hierarchical_clusters
 from ..operators.neighbours import nearest_neighbours
+from ..operators.spectral import spectral_dims
 from ..params import DEFAULT, Params
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..streaming.ingest import incremental_ingest
@@ -502,6 +503,14 @@ def q_reduce_dims(spark, d):
     return out.select("vec_id", *[F.round(F.col("reduced")[i], 6).alias(f"c{i}") for i in range(5)])
 
 
+def q_spectral_dims(spark, d):
+    """Coordinates on the neighbour graph, up to sign; with the largest residual of the vectors."""
+    found = spectral_dims(_vectors(spark, d))
+    worst = float(found.residuals.max()) if len(found.residuals) else 0.0
+    return found.coords.select("vec_id", *[F.round(F.col("reduced")[i], 6).alias(f"c{i}") for i in range(5)],
+                               F.lit(round(worst, 6)).alias("residual"))
+
+
 def q_embed_docs(spark, d):
     docs = ArticlePlan(spark, d).prep()
     out = K.embed_docs(docs)
@@ -520,6 +529,7 @@ QUERIES.update({
     "assign_topics": q_assign_topics,
     "topic_probability": q_topic_probability,
     "reduce_dims": q_reduce_dims,
+    "spectral_dims": q_spectral_dims,
     "embed_docs": q_embed_docs,
 })
 
