@@ -199,10 +199,11 @@ class Sampler:
         out = np.zeros(len(self.multiplier), np.uint64)
         for i in range(0, len(shingle), CHUNK):
             part, log = shingle[i:i + CHUNK], log_weight[i:i + CHUNK]
-            entry = (_folded(part) * self.multiplier[:, None]) >> np.uint32(32 - 14)
+            # index type and take: the same entries as by fancy indexing, which converts the index anew each time
+            entry = ((_folded(part) * self.multiplier[:, None]) >> np.uint32(32 - 14)).astype(np.intp)
             single = log.astype(np.float32)
-            reach = np.minimum((self.high[entry] - single).min(axis=1), best) + 1e-3  # more than single precision loses
-            k, at = np.divmod(np.flatnonzero(self.low[entry] - single <= reach[:, None]), len(part))
+            reach = np.minimum((self.high.take(entry) - single).min(axis=1), best) + 1e-3  # more than single precision loses
+            k, at = np.divmod(np.flatnonzero(self.low.take(entry) - single <= reach[:, None]), len(part))
             if not len(k):
                 continue
             entry = entry[k, at]
