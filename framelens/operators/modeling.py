@@ -1,41 +1,38 @@
 """Text -> topics: vectors of the texts, reduction, density clusters, assignment.
 
-The vectors are hashed TF-IDF terms under a random sign projection to
-``projection_dims`` dimensions, so no step ever holds a vocabulary-wide
-vector: document frequencies are one count per hashed term (``HASH_SIZE`` at
-most), the sign matrix follows from the seed. The projected vectors are
-reduced by PCA and clustered per model group by the condensed density tree,
-which sets no distance by hand. A fitted model assigns other
-texts to the nearest topic centroid if its cosine reaches ``eps_reduced``.
+The vectors are hashed TF-IDF terms (``HASH_SIZE`` columns, unit rows) on the
+leading right singular vectors of the fitted texts (``projection_dims``), so
+no step ever holds a row wider than its own terms, and document frequencies
+and singular vectors are of a fixed size. The vectors are reduced by PCA and
+clustered per model group by the condensed density tree, which sets no
+distance by hand. A fitted model assigns other texts to the nearest topic
+centroid if its cosine reaches ``eps_reduced`` or, for a wider topic, that of
+its farthest fitted text; it can be saved and loaded.
 """
 
 from __future__ import annotations
 
-import functools
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, Normalizer, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
 from ..session import cut_lineage
 from . import clustering
 from .density_tree import hierarchical_clusters
+from .svd import multiplied, slabs, truncated_svd
 from .topics import tokenize, with_model_group
 
 HASH_SIZE = 1 << 16
 
 
-@functools.lru_cache(maxsize=2)
-def sign_matrix(dims: int, seed: int) -> np.ndarray:
-    """Random signs (hashed terms x dims), equal in every process."""
-    return np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (HASH_SIZE, dims))
-
-
 def hashed_terms(docs: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Add ``_h``: the hash of every term of the text, in order."""
     toks = tokenize(docs, params=params)
@@ -44,7 +41,7 @@ def hashed_terms(docs: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 
 def inverse_frequencies(docs: DataFrame, params: Params = DEFAULT) -> np.ndarray:
-    """ln((1 + documents) / (1 + documents with the hashed term)) + 1, over all documents."""
+    """ln((1 + documents) / (1 + documents with the hashed term)) + 1, over all documents; 0 where none has it."""
     hashed = hashed_terms(docs.select("text"), params)
     total = docs.count()
     found = (hashed.select(F.explode(F.array_distinct("_h")).alias("h")).groupBy("h")
@@ -52,38 +49,107 @@ def inverse_frequencies(docs: DataFrame, params: Params = DEFAULT) -> np.ndarray
     counts = np.zeros(HASH_SIZE)
     for r in found:
         counts[r["h"]] = r["n"]
-    return np.log((1 + total) / (1 + counts)) + 1
+    return np.where(counts > 0, np.log((1 + total) / (1 + counts)) + 1, 0.0)
 
 
-def project(docs: DataFrame, idf: np.ndarray, params: Params = DEFAULT, key: str = "doc_id") -> DataFrame:
-    """``(key, embedding)``: projected unit vector; null for a text without terms."""
+def weighted_terms(docs: DataFrame, idf: np.ndarray, params: Params = DEFAULT, key: str = "doc_id") -> DataFrame:
+    """``(key, at, w)``: per text its known hashed terms as columns and their TF-IDF weights, of unit length.
+
+    Columns number the hashed terms with a frequency. Both arrays are empty
+    for a text without such a term.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(idf)          # HASH_SIZE doubles
-    dims, seed = params.projection_dims, params.seed
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weight = shared.value
+        column = np.cumsum(weight > 0) - 1
+        for pdf in batches:
+            sizes = np.array([0 if h is None else len(h) for h in pdf["_h"]], dtype=np.int64)
+            rows = np.repeat(np.arange(len(pdf)), sizes)
+            flat = np.concatenate([np.zeros(0, np.int64), *[h for h in pdf["_h"] if h is not None]]).astype(np.int64)
+            code, n = np.unique((rows * HASH_SIZE + flat)[weight[flat] > 0], return_counts=True)
+            row, term = np.divmod(code, HASH_SIZE)
+            w = n * weight[term]
+            w = w / np.sqrt(np.bincount(row, w * w, len(pdf)))[row]
+            cut = np.searchsorted(row, np.arange(1, len(pdf)))
+            yield pd.DataFrame({key: pdf[key], "at": np.split(column[term].astype(np.int32), cut), "w": np.split(w, cut)})
+
+    terms = hashed_terms(docs.select(key, "text"), params).select(key, "_h")
+    return terms.mapInPandas(run, f"`{key}` {terms.schema[key].dataType.simpleString()}, at array<int>, w array<double>")
+
+
+@dataclass(frozen=True)
+class TextSpace:
+    """Frequencies and right singular vectors of fitted texts; a column per hashed term with a frequency."""
+    idf: np.ndarray                 # HASH_SIZE
+    values: np.ndarray              # singular values, descending
+    basis: np.ndarray               # columns x projection_dims
+
+
+def fit_space(docs: DataFrame, params: Params = DEFAULT, key: str = "doc_id") -> TextSpace:
+    """Truncated singular value decomposition of the texts' weighted terms."""
+    idf = inverse_frequencies(docs, params)
+    size = int((idf > 0).sum())
+    if not size:
+        return TextSpace(idf, np.zeros(params.projection_dims), np.zeros((0, params.projection_dims)))
+    rows = cut_lineage(weighted_terms(docs, idf, params, key).select("at", "w"))
+    return TextSpace(idf, *truncated_svd(rows, size, params.projection_dims, seed=params.seed))
+
+
+def project(docs: DataFrame, space: TextSpace, params: Params = DEFAULT, key: str = "doc_id") -> DataFrame:
+    """``(key, embedding)``: unit vector in the space; null for a text that shares no direction with it."""
+    shared = docs.sparkSession.sparkContext.broadcast(space.basis)   # HASH_SIZE x projection_dims at most
 
     @F.pandas_udf("array<double>")
-    def run(hashes: pd.Series) -> pd.Series:
-        weight, signs = shared.value, sign_matrix(dims, seed)
-        out = []
-        for h in hashes:
-            if h is None or not len(h):
-                out.append(None)
-                continue
-            at, n = np.unique(h, return_counts=True)
-            v = (n * weight[at]) @ signs[at].astype(np.float64)
-            out.append(v / max(np.linalg.norm(v), 1e-300))
+    def run(at: pd.Series, w: pd.Series) -> pd.Series:
+        out: list = [None] * len(at)
+        for rows, starts, columns, values in slabs(at, w):
+            image = multiplied(starts, columns, values, shared.value)
+            length = np.linalg.norm(image, axis=1)
+            for i, v, n in zip(rows, image, length):
+                if n > 1e-12:
+                    out[i] = v / n
         return pd.Series(out)
 
-    return hashed_terms(docs.select(key, "text"), params).select(key, run("_h").alias("embedding"))
+    return weighted_terms(docs, space.idf, params, key).select(key, run("at", "w").alias("embedding"))
 
 
 @dataclass(frozen=True)
 class TopicModel:
     """Fitted state of one model group; ``pca`` is None without any vector."""
     group: str
-    idf: np.ndarray
+    space: TextSpace
     pca: PCAModel | None
     assignments: DataFrame          # (key, topic, probability)
-    centroids: DataFrame            # (topic, centroid)
+    centroids: DataFrame            # (topic, centroid, reach): reach is the least cosine of its fitted texts
+
+
+def save_model(model: TopicModel, path: str) -> None:
+    """Write a model under ``path``, replacing what is there; ``done`` is written last."""
+    spark = model.assignments.sparkSession
+    columns = np.flatnonzero(model.space.idf > 0)
+    basis = pd.DataFrame({"h": columns, "idf": model.space.idf[columns], "v": list(model.space.basis)})
+    schema = "h long, idf double, v array<double>"                  # HASH_SIZE rows at most
+    spark.createDataFrame(basis if len(basis) else [], schema).write.mode("overwrite").parquet(f"{path}/space")
+    model.assignments.write.mode("overwrite").parquet(f"{path}/assignments")
+    model.centroids.write.mode("overwrite").parquet(f"{path}/centroids")
+    if model.pca is not None:
+        model.pca.write().overwrite().save(f"{path}/pca")
+    facts = json.dumps({"group": model.group, "values": model.space.values.tolist(), "pca": model.pca is not None})
+    spark.createDataFrame([(facts,)], "value string").write.mode("overwrite").text(f"{path}/done")
+
+
+def load_model(spark: SparkSession, path: str) -> TopicModel:
+    """A model as saved; places texts as the saved one does."""
+    facts = json.loads(spark.read.text(f"{path}/done").first()["value"])
+    rows = spark.read.parquet(f"{path}/space").orderBy("h").toPandas()
+    idf = np.zeros(HASH_SIZE)
+    idf[rows["h"].to_numpy(dtype=np.int64)] = rows["idf"].to_numpy(dtype=np.float64)
+    values = np.array(facts["values"])
+    basis = np.stack(rows["v"].to_numpy()) if len(rows) else np.zeros((0, len(values)))
+    return TopicModel(facts["group"], TextSpace(idf, values, basis),
+                      PCAModel.load(f"{path}/pca") if facts["pca"] else None,
+                      spark.read.parquet(f"{path}/assignments"), spark.read.parquet(f"{path}/centroids"))
 
 
 def _reduced(vectors: DataFrame, pca: PCAModel, key: str) -> DataFrame:
@@ -94,21 +160,25 @@ def _reduced(vectors: DataFrame, pca: PCAModel, key: str) -> DataFrame:
 
 def fit_group(docs: DataFrame, group: str, params: Params = DEFAULT, key: str = "doc_id") -> TopicModel:
     """Topics of one group of texts; a text without terms is an outlier (-1)."""
-    idf = inverse_frequencies(docs, params)
-    vectors = cut_lineage(project(docs, idf, params, key))
+    space = fit_space(docs, params, key)
+    vectors = cut_lineage(project(docs, space, params, key))
     usable = vectors.filter("embedding is not null")
-    nothing = docs.sparkSession.createDataFrame([], "topic int, centroid array<double>")
+    nothing = docs.sparkSession.createDataFrame([], "topic int, centroid array<double>, reach double")
     outliers = vectors.select(key, F.lit(-1).alias("topic"), F.lit(0.0).alias("probability"))
     if usable.isEmpty():
-        return TopicModel(group, idf, None, outliers, nothing)
+        return TopicModel(group, space, None, outliers, nothing)
     unit = Normalizer(inputCol="_v", outputCol="_n", p=2.0).transform(
         usable.select(key, array_to_vector("embedding").alias("_v")))
     pca = PCA(k=min(params.n_components, params.projection_dims), inputCol="_n", outputCol="_p").fit(unit)
     reduced = cut_lineage(_reduced(usable, pca, key))
     found = hierarchical_clusters(reduced, key, "embedding", params)
     rest = outliers.join(found.select(key), key, "left_anti")
-    return TopicModel(group, idf, pca, found.select(key, "topic", "probability").unionByName(rest),
-                      cut_lineage(clustering.topic_centroids(reduced, found.select(key, "topic"), key)))
+    centroids = cut_lineage(clustering.topic_centroids(reduced, found.select(key, "topic"), key))
+    own = clustering.nearest_centroid(reduced, centroids, key, "embedding").join(
+        found.select(key, F.col("topic").alias("_own")), key).filter(F.col("topic") == F.col("_own"))
+    reach = own.groupBy("topic").agg(F.min(F.round("cosine", 6)).alias("reach"))
+    return TopicModel(group, space, pca, found.select(key, "topic", "probability").unionByName(rest),
+                      cut_lineage(centroids.select("topic", "centroid").join(reach, "topic", "left")))
 
 
 def fit_topics(docs: DataFrame, params: Params = DEFAULT, key: str = "doc_id") -> list[TopicModel]:
@@ -128,14 +198,14 @@ def assigned(models: list[TopicModel]) -> DataFrame:
 
 
 def transform(docs: DataFrame, model: TopicModel, params: Params = DEFAULT, key: str = "doc_id") -> DataFrame:
-    """``(model_group, key, topic)`` of other texts: nearest centroid, or -1 below ``eps_reduced``."""
-    vectors = project(docs, model.idf, params, key)
+    """``(model_group, key, topic)`` of other texts: nearest centroid, or -1 beyond its topic."""
+    vectors = project(docs, model.space, params, key)
     none = vectors.select(F.lit(model.group).alias("model_group"), key, F.lit(-1).alias("topic"))
     if model.pca is None:
         return none
     reduced = cut_lineage(_reduced(vectors.filter("embedding is not null"), model.pca, key))
-    near = clustering.nearest_centroid(reduced, model.centroids, key, "embedding")
-    found = vectors.select(key).join(near, key, "left")
-    ok = F.round("cosine", 6) >= params.eps_reduced
+    near = clustering.nearest_centroid(reduced, model.centroids.select("topic", "centroid"), key, "embedding")
+    found = vectors.select(key).join(near, key, "left").join(model.centroids.select("topic", "reach"), "topic", "left")
+    ok = F.round("cosine", 6) >= F.least(F.lit(params.eps_reduced), "reach")
     return found.select(F.lit(model.group).alias("model_group"), key,
                         F.when(ok, F.col("topic")).otherwise(-1).alias("topic"))

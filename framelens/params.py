@@ -91,7 +91,7 @@ class Params:
     min_cluster_size: int = 5
     min_samples: int = 1
     eps_cosine: float = 0.36
-    projection_dims: int = 64            # random projection of the hashed text vectors
+    projection_dims: int = 64            # singular vectors kept of the hashed text vectors
     eps_reduced: float = 0.95            # cosine of linked texts after the reduction
     nr_topics: int | None = None
     seed: int = 42

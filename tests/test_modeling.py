@@ -6,7 +6,11 @@ import numpy as np
 
 from framelens.operators import modeling
 from framelens.operators.frames import frame_names
+from framelens.operators.svd import truncated_svd
 from framelens.params import DEFAULT
+from framelens.plans.queries import ArticlePlan
+
+from conftest import SF_CHECK
 
 PARAMS = replace(DEFAULT, n_components=3)
 
@@ -58,3 +62,47 @@ def test_no_text_gives_outliers_only(spark):
     model, = modeling.fit_topics(docs, PARAMS)
     assert [r["topic"] for r in model.assignments.collect()] == [-1, -1]
     assert modeling.fit_topics(docs.limit(0), PARAMS)[0].assignments.count() == 0
+
+
+def test_singular_values_and_vectors_equal_a_dense_decomposition(spark):
+    docs = ArticlePlan(spark, SF_CHECK).prep().select("doc_id", "text")
+    space = modeling.fit_space(docs)
+    rows = modeling.weighted_terms(docs, space.idf).collect()
+    dense = np.zeros((len(rows), len(space.basis)))
+    for i, r in enumerate(rows):
+        dense[i, r["at"]] = r["w"]
+    assert np.allclose(np.linalg.norm(dense, axis=1), 1.0)
+    want = np.linalg.svd(dense, compute_uv=False)[:DEFAULT.projection_dims]
+    assert np.allclose(space.values, want, rtol=0.01)
+    assert np.allclose(space.basis.T @ space.basis, np.eye(DEFAULT.projection_dims), atol=1e-8)
+    # the best approximation of this rank, to a hundredth
+    lost = np.linalg.norm(dense) ** 2 - np.linalg.norm(dense @ space.basis) ** 2
+    assert lost <= 1.01 * (np.linalg.norm(dense) ** 2 - (want ** 2).sum())
+
+
+def test_svd_of_low_rank_one_column_and_no_rows(spark):
+    rows = spark.createDataFrame([([0, 2], [1.0, 2.0]), ([0, 2], [2.0, 4.0]), ([], []), (None, None)],
+                                 "at array<int>, w array<double>")
+    values, basis = truncated_svd(rows, 4, 3)
+    assert np.allclose(values, [5.0, 0, 0]) and np.allclose(np.abs(basis[:, 0]), np.array([1, 0, 2, 0]) / 5 ** 0.5)
+    assert not basis[:, 1:].any()
+    assert not truncated_svd(rows.limit(0), 4, 3)[0].any()
+    assert truncated_svd(rows.selectExpr("array(0) at", "array(1.0D) w"), 1, 3)[0].tolist() == [2.0, 0.0, 0.0]
+
+
+def test_saved_model_places_texts_as_before(spark, tmpdir_path):
+    model, = modeling.fit_topics(planted(spark), PARAMS)
+    modeling.save_model(model, tmpdir_path)
+    loaded = modeling.load_model(spark.newSession(), tmpdir_path)
+    new = planted(spark, 9, 500)
+
+    def placed(m):
+        return sorted(tuple(r) for r in modeling.transform(new, m, PARAMS).collect())
+    assert placed(loaded) == placed(model) and {t for _, _, t in placed(loaded)} == {0, 1, 2}
+    fitted = {r["doc_id"]: r["topic"] for r in model.assignments.collect()}
+    again = {r["doc_id"]: r["topic"] for r in modeling.transform(planted(spark), loaded, PARAMS).collect()}
+    assert again == fitted                      # a topic reaches as far as its own texts
+    assert sorted(map(tuple, loaded.assignments.collect())) == sorted(map(tuple, model.assignments.collect()))
+    nothing, = modeling.fit_topics(spark.createDataFrame([(1, None)], "doc_id long, text string"), PARAMS)
+    modeling.save_model(nothing, tmpdir_path)
+    assert modeling.load_model(spark, tmpdir_path).pca is None
