@@ -9,15 +9,12 @@ epsilon graph. That cut is built here, as Spark jobs:
 
 1. exact duplicate vectors collapse into one node with a multiplicity, so a
    group of copies never produces quadratic edges;
-2. the epsilon graph is found exactly with pivot partitioning: every node
-   has a home cell (nearest of P pivots) and is replicated to each cell
-   whose pivot is within ``d(x, home) + 2r``; by the triangle inequality
-   every pair within ``r`` meets in the home cell of its larger end, so
-   comparing each cell's replicas with its homes finds every edge once.
-   Cells are cut into bounded chunks and compared block by block with
-   numpy matrix products (one block per row of a join), so a hot cell is
-   spread over many tasks. Clustering needs only the components, so a block
-   returns links to its local roots, not its edges;
+2. the epsilon graph is found exactly: nodes are dealt to hash groups, and
+   one task compares two groups, block by block (numpy products). Inside a
+   group nodes are ordered by pivot and distance, and by the triangle
+   inequality two blocks are left out where a pivot keeps them apart. What
+   is shuffled is a fixed number of copies of the nodes. Clustering needs
+   only the components, so a task returns links between roots, not edges;
 3. connected components by min-label propagation with pointer jumping,
    checkpointed each round into the shared checkpoint folder;
 4. components smaller than ``min_cluster_size`` (counting copies) become
@@ -39,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_tables
 
 
 def cosine(a: str, b: str) -> Column:
@@ -88,168 +85,271 @@ def node_members(vectors: DataFrame, key: str = "vec_id", col: str = "embedding"
 
 def _pick_pivots(nodes: DataFrame, n_pivots: int) -> np.ndarray:
     """A deterministic sample of ``n_pivots`` unit vectors (smallest hash of node id)."""
-    rows = (nodes.select("vec", F.xxhash64("node").alias("_h"))
-                 .orderBy("_h").limit(n_pivots).collect())
+    rows = (nodes.filter("forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) "
+                         "and exists(vec, x -> x <> 0)")
+                 .select("vec", F.xxhash64("node").alias("_h")).orderBy("_h").limit(n_pivots).collect())
+    if not rows:
+        return np.zeros((1, 1))
     piv = np.array([r["vec"] for r in rows], dtype=np.float64)
-    norms = np.linalg.norm(piv, axis=1, keepdims=True)
-    return piv / np.where(norms == 0, 1.0, norms)
+    return piv / np.linalg.norm(piv, axis=1, keepdims=True)
+
+
+def _sorted_blocks(vecs: np.ndarray, dims: int, pivots: np.ndarray, block: int):
+    """Vectors in order of (nearest pivot, distance to it): order, vectors, norms, unit vectors, and
+    per block of that order the least and largest distance to every pivot."""
+    x = vecs.reshape(-1, dims).astype(np.float64)
+    norm = np.sqrt((x * x).sum(axis=1))
+    usable = np.flatnonzero((norm > 0) & np.isfinite(norm))     # the others link with nothing
+    unit = x[usable] / norm[usable][:, None]
+    if not len(usable):
+        return usable, x, norm, unit.astype(np.float32), np.zeros((0, 1)), np.zeros((0, 1))
+    dist = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (unit @ pivots.T)))
+    order = np.lexsort((dist.min(axis=1), dist.argmin(axis=1)))
+    at, unit, dist = usable[order], unit[order], dist[order]
+    cuts = np.arange(0, len(at), block)
+    return (at, x, norm, unit.astype(np.float32), np.minimum.reduceat(dist, cuts, axis=0),
+            np.maximum.reduceat(dist, cuts, axis=0))
+
+
+def _matches(a, b, eps: float, radius: float, block: int, same: bool):
+    """Yield ``(i, j, cosine)`` arrays with ``round(cosine, 6) >= eps``, one block against one block.
+
+    Blocks are left out where the triangle inequality over a pivot keeps them
+    more than the radius apart. Single precision only screens: what it lets
+    through is computed again in double precision.
+    """
+    at, x, nx, ux, low_a, high_a = a
+    bt, y, ny, uy, low_b, high_b = b
+    margin = 2e-6 + 3e-7 * x.shape[1]
+    for s, i0 in enumerate(range(0, len(at), block)):
+        if not len(bt):
+            return
+        apart = np.maximum(low_b - high_a[s], low_a[s] - high_b).max(axis=1)
+        for t in np.flatnonzero(apart <= radius + 1e-6):
+            if same and t < s:
+                continue
+            j0 = t * block
+            i, j = np.nonzero(ux[i0:i0 + block] @ uy[j0:j0 + block].T >= np.float32(eps - margin))
+            i, j = at[i0 + i], bt[j0 + j]
+            cos = np.round(np.einsum("ij,ij->i", x[i], y[j]) / (nx[i] * ny[j]), 6)
+            ok = cos >= eps
+            if same and t == s:
+                ok &= i < j
+            yield i[ok], j[ok], cos[ok]
+
+
+def _joined(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Smallest label reachable from every label over the links ``u - v`` (labels are positions)."""
+    while True:
+        step = label.copy()
+        np.minimum.at(step, label[u], label[v])
+        np.minimum.at(step, label[v], label[u])
+        while (step[step] != step).any():
+            step = step[step]
+        step = step[label]
+        if (step == label).all():
+            return label
+        label = step
+
+
+def _forest(label: np.ndarray, matches, pending: int = 1 << 18) -> np.ndarray:
+    """``label`` joined over all matches; links between joined ends are dropped as they come."""
+    us, vs, n = [], [], 0
+    for u, v in matches:
+        differ = label[u] != label[v]
+        us.append(u[differ])
+        vs.append(v[differ])
+        n += len(us[-1])
+        if n >= pending:
+            label, us, vs, n = _joined(label, np.concatenate(us), np.concatenate(vs)), [], [], 0
+    return _joined(label, np.concatenate(us), np.concatenate(vs)) if n else label
+
+
+def _strongest(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray):
+    """The links of a maximum spanning forest of ``n`` positions (Boruvka rounds; ties by place)."""
+    order = np.argsort(-w, kind="stable")
+    u, v, w = u[order], v[order], w[order]
+    label, alive, taken = np.arange(n), np.arange(len(u)), []
+    while len(alive):
+        best = np.full(n, len(u))
+        np.minimum.at(best, label[u[alive]], alive)
+        np.minimum.at(best, label[v[alive]], alive)
+        chosen = np.unique(best[best < len(u)])
+        taken.append(chosen)
+        label = _joined(label, u[chosen], v[chosen])
+        alive = alive[label[u[alive]] != label[v[alive]]]
+    keep = np.concatenate(taken) if taken else np.zeros(0, np.int64)
+    return u[keep], v[keep], w[keep]
+
+
+class _Pair:
+    """Two groups of nodes (or one with itself) as blocks, for :func:`_matches`."""
+
+    def __init__(self, ids, vecs, oids, ovecs, pivots: np.ndarray, block: int, same: bool):
+        self.n, self.block, self.same = len(ids), block, same
+        self.ids = ids if same else np.concatenate([ids, oids])
+        self.a = _sorted_blocks(vecs, len(vecs) // len(ids), pivots, block)
+        self.b = self.a if same else _sorted_blocks(ovecs, len(ovecs) // len(oids), pivots, block)
+
+    def matches(self, eps: float, radius: float):
+        """``(i, j, cosine)`` with places in ``ids``."""
+        for i, j, cos in _matches(self.a, self.b, eps, radius, self.block, self.same):
+            yield i, j if self.same else j + self.n, cos
+
+    def edges(self, i, j, cos) -> pd.DataFrame:
+        a, b = self.ids[i], self.ids[j]
+        return pd.DataFrame({"src": np.minimum(a, b), "dst": np.maximum(a, b), "cosine": cos})[a != b]
+
+
+def _pairs(batches, pivots: np.ndarray, block: int):
+    for pdf in batches:
+        for row in pdf.itertuples():
+            yield row, _Pair(row.ids, row.vecs, row.oids, row.ovecs, pivots, block, row.g == row.h)
+
+
+def _radius(eps: float) -> float:
+    # slack so that the rounding in the test can never drop a true edge
+    return math.sqrt(max(0.0, 2.0 - 2.0 * (eps - 1e-6)))
 
 
-def pivot_cells(nodes: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
-    """``(node, vec, weight, cell, home)`` rows: the home cell plus replicas."""
-    piv = pivots
+def eps_edges(nodes: DataFrame, params: Params = DEFAULT, n_pivots: int = 32,
+              block: int = 1024) -> DataFrame:
+    """Undirected edges ``(src, dst, cosine)`` with src < dst and
+    ``round(cosine, 6) >= eps_cosine``; exact (no candidate cap)."""
+    eps = params.eps_cosine
+    groups, pivots = _groups(nodes, n_pivots, block)
 
-    def assign(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            x = x / np.where(n == 0, 1.0, n)
-            dist = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ piv.T)))
-            home = dist.argmin(axis=1)
-            dhome = dist[np.arange(len(x)), home]
-            rows, cells = np.nonzero(dist <= (dhome + 2.0 * radius + 1e-9)[:, None])
-            yield pd.DataFrame({
-                "node": pdf["node"].to_numpy()[rows],
-                "vec": pdf["vec"].to_numpy()[rows],
-                "weight": pdf["weight"].to_numpy()[rows],
-                "cell": cells.astype(np.int32),
-                "home": cells == home[rows],
-            })
-
-    return nodes.mapInPandas(assign, "node long, vec array<float>, weight long, cell int, home boolean")
-
-
-def _block_roots(eps: float):
-    """mapInPandas body: per node of one block its smallest id reachable inside the block.
-
-    Links to roots, never pairs: a dense cell yields rows in proportion to
-    its nodes.
-    """
     def run(batches):
-        for pdf in batches:
-            for rid, rvec, hid, hvec in zip(pdf["rid"], pdf["rvec"], pdf["hid"], pdf["hvec"]):
-                a, b = np.stack(rvec).astype(np.float64), np.stack(hvec).astype(np.float64)
-                na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-                both = np.outer(na, nb)
-                cos = np.round((a @ b.T) / np.where(both == 0, np.inf, both), 6)
-                ra, hb = np.asarray(rid), np.asarray(hid)
-                linked = (cos >= eps) | (ra[:, None] == hb[None, :])
-                top = np.iinfo(np.int64).max
-                from_a, from_b = ra.copy(), hb.copy()
-                while True:
-                    step_a = np.minimum(from_a, np.where(linked, from_b[None, :], top).min(axis=1))
-                    step_b = np.minimum(from_b, np.where(linked, step_a[:, None], top).min(axis=0))
-                    if (step_a == from_a).all() and (step_b == from_b).all():
-                        break
-                    from_a, from_b = step_a, step_b
-                src, dst = np.concatenate([from_a, from_b]), np.concatenate([ra, hb])
-                yield pd.DataFrame({"src": src[src != dst], "dst": dst[src != dst]})
-    return run
-
-
-def _block_edges(eps: float):
-    """mapInPandas body: exact cosines of one (replica chunk x home chunk) block."""
+        for _, pair in _pairs(batches, pivots, block):
+            for found in pair.matches(eps, _radius(eps)):
+                yield pair.edges(*found)
+
+    return _group_pairs(groups).mapInPandas(run, "src long, dst long, cosine double")
+
+
+def eps_forest(nodes: DataFrame, params: Params = DEFAULT, n_pivots: int = 32, block: int = 1024,
+               pending: int = 1 << 20) -> DataFrame:
+    """Those edges of :func:`eps_edges` that a maximum spanning forest of two groups needs.
+
+    At every threshold from ``eps_cosine`` up they have the components of all
+    edges; there are fewer of them than nodes in two groups, for every pair
+    of groups.
+    """
+    eps = params.eps_cosine
+    groups, pivots = _groups(nodes, n_pivots, block)
+
     def run(batches):
+        for _, pair in _pairs(batches, pivots, block):
+            held, n = [np.zeros((3, 0))], 0
+            for i, j, cos in pair.matches(eps, _radius(eps)):
+                held.append(np.stack([i, j, cos]))
+                n += len(i)
+                if n >= pending:
+                    held, n = [_reduced_links(len(pair.ids), held)], 0
+            i, j, cos = _reduced_links(len(pair.ids), held)
+            yield pair.edges(i.astype(np.int64), j.astype(np.int64), cos)
+
+    return _group_pairs(groups).mapInPandas(run, "src long, dst long, cosine double")
+
+
+def _reduced_links(n: int, held: list) -> np.ndarray:
+    i, j, cos = np.concatenate(held, axis=1)
+    return np.stack(_strongest(n, i.astype(np.int64), j.astype(np.int64), cos))
+
+
+def eps_links(nodes: DataFrame, params: Params = DEFAULT, n_pivots: int = 32, block: int = 1024) -> DataFrame:
+    """Links ``(src, dst)`` with the components of the epsilon graph, without its edges.
+
+    Every group is joined in itself first; a pair of groups then links roots
+    of those, so there are as many links as two groups have components.
+    """
+    eps = params.eps_cosine
+    groups, pivots = _groups(nodes, n_pivots, block)
+
+    def inside(batches):
         for pdf in batches:
-            out_src, out_dst, out_cos = [], [], []
-            for rid, rvec, hid, hvec in zip(pdf["rid"], pdf["rvec"], pdf["hid"], pdf["hvec"]):
-                a = np.stack(rvec).astype(np.float64)
-                b = np.stack(hvec).astype(np.float64)
-                na = np.sqrt((a * a).sum(axis=1))
-                nb = np.sqrt((b * b).sum(axis=1))
-                cos = np.round((a @ b.T) / np.outer(na, nb), 6)
-                ra = np.asarray(rid)[:, None]
-                hb = np.asarray(hid)[None, :]
-                i, j = np.nonzero((cos >= eps) & (ra < hb))
-                out_src.append(np.asarray(rid)[i])
-                out_dst.append(np.asarray(hid)[j])
-                out_cos.append(cos[i, j])
-            if out_src:
-                yield pd.DataFrame({"src": np.concatenate(out_src).astype(np.int64),
-                                    "dst": np.concatenate(out_dst).astype(np.int64),
-                                    "cosine": np.concatenate(out_cos)})
-    return run
+            for row in pdf.itertuples():
+                pair = _Pair(row.ids, row.vecs, row.ids, row.vecs, pivots, block, True)
+                yield pd.DataFrame({"g": [row.g], "root": [_forest(
+                    np.arange(len(row.ids)), ((i, j) for i, j, _ in pair.matches(eps, _radius(eps))))]})
 
+    def across(batches):
+        for row, pair in _pairs(batches, pivots, block):
+            first = np.concatenate([row.root, row.oroot + len(row.ids)])
+            label = _forest(first, ((i, j) for i, j, _ in pair.matches(eps, _radius(eps))))
+            moved = np.flatnonzero((first == np.arange(len(first))) & (label != first))
+            yield pd.DataFrame({"src": pair.ids[label[moved]], "dst": pair.ids[moved]})
 
-def eps_edges(nodes: DataFrame, params: Params = DEFAULT, n_pivots: int = 32,
-              block: int = 256) -> DataFrame:
-    """Undirected edges ``(src, dst, cosine)`` with src < dst and
-    ``round(cosine, 6) >= eps_cosine``; exact (no candidate cap)."""
-    return _blocks(nodes, params, n_pivots, block).mapInPandas(
-        _block_edges(params.eps_cosine), "src long, dst long, cosine double")
+    roots = cut_lineage(groups.mapInPandas(inside, "g int, root array<long>"))
+    rooted = groups.join(roots, "g")
+    own = (rooted.select("ids", F.explode(F.arrays_zip("ids", "root")).alias("z"))
+           .select(F.get("ids", F.col("z.root").cast("int")).alias("src"), F.col("z.ids").alias("dst")))
+    pairs = _group_pairs(rooted).filter("g < h").mapInPandas(across, "src long, dst long")
+    return own.unionByName(pairs).filter("src <> dst")
 
 
-def eps_links(nodes: DataFrame, params: Params = DEFAULT, n_pivots: int = 32, block: int = 256) -> DataFrame:
-    """Links ``(src, dst)`` with the components of the epsilon graph, without its edges."""
-    return _blocks(nodes, params, n_pivots, block).mapInPandas(
-        _block_roots(params.eps_cosine), "src long, dst long")
+GROUPS, GROUP_ROWS = 16, 1 << 16
 
 
-def _blocks(nodes: DataFrame, params: Params, n_pivots: int, block: int) -> DataFrame:
-    """``(rid, rvec, hid, hvec)``: the block comparisons that cover every pair within the radius.
+def _groups(nodes: DataFrame, n_pivots: int, block: int) -> tuple[DataFrame, np.ndarray]:
+    """``(g, ids, vecs)``: nodes in hash groups, vectors end to end; and the pivots.
 
-    Inside a cell, replicas and homes are cut into hash chunks of about
-    ``block`` rows; each (cell, replica chunk, home chunk) is one join key and
-    one numpy matrix product, so work is spread over tasks and no task holds
-    more than two chunks, however large the cell. Cells prune only where the
-    radius is small against the distances to the pivots: at a radius of 1 or
-    more between unit vectors every node is in every cell, and this is a
-    blocked comparison of all pairs.
+    There are ``GROUPS`` groups, more where they would hold over
+    ``GROUP_ROWS`` nodes and fewer where they would not fill a block.
     """
-    eps = params.eps_cosine
-    # slack so that the rounding in the test can never drop a true edge
-    radius = math.sqrt(max(0.0, 2.0 - 2.0 * (eps - 1e-6)))
-    pivots = _pick_pivots(nodes, n_pivots)
-    cells = cut_lineage(pivot_cells(nodes, pivots, radius).drop("weight"))
-    sizes = cells.groupBy("cell").agg(
-        F.sum(F.col("home").cast("long")).alias("n_home"), F.count(F.lit(1)).alias("n_rep"))
-    chunked = (cells.join(sizes, "cell")
-                    .withColumn("hchunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("n_home") / block)))
-                    .withColumn("rchunk", F.pmod(F.xxhash64("node", F.lit(1)),
-                                                 F.ceil(F.col("n_rep") / block))))
-    homes = (chunked.filter("home").groupBy("cell", "hchunk")
-                    .agg(F.collect_list(F.struct("node", "vec")).alias("_h"),
-                         F.first(F.ceil(F.col("n_rep") / block)).alias("_k"))
-                    .select("cell", "hchunk", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("rchunk"),
-                            F.col("_h.node").alias("hid"), F.col("_h.vec").alias("hvec")))
-    reps = (chunked.groupBy("cell", "rchunk")
-                   .agg(F.collect_list(F.struct("node", "vec")).alias("_r"),
-                        F.first(F.ceil(F.col("n_home") / block)).alias("_k")).filter("_k > 0")
-                   .select("cell", "rchunk", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("hchunk"),
-                           F.col("_r.node").alias("rid"), F.col("_r.vec").alias("rvec")))
-    return reps.join(homes, ["cell", "rchunk", "hchunk"]).select("rid", "rvec", "hid", "hvec")
+    usable = cut_lineage(nodes.select("node", "vec").filter("node is not null and vec is not null and size(vec) > 0"))
+    n = usable.count()
+    n_groups = max(1, min(GROUPS, -(-n // block)), -(-n // GROUP_ROWS))
+    packed = (usable.groupBy(F.pmod(F.xxhash64("node"), F.lit(n_groups)).cast("int").alias("g"))
+              .agg(F.collect_list(F.struct("node", "vec")).alias("_b"))
+              .select("g", F.col("_b.node").alias("ids"), F.flatten("_b.vec").alias("vecs")))
+    return cut_lineage(packed), _pick_pivots(usable, n_pivots)
+
+
+def _group_pairs(groups: DataFrame) -> DataFrame:
+    """``(g, h, ids, vecs, oids, ovecs, ...)``: every two groups once, and each with itself.
+
+    A group goes to as many pairs as there are groups, so what is shuffled is
+    ``GROUPS`` times the nodes, up to ``GROUPS * GROUP_ROWS`` of them. A task
+    holds two groups, compares them block by block and yields as it goes.
+    """
+    n_groups = groups.agg(F.max("g")).first()[0]
+    n_groups = 0 if n_groups is None else n_groups
+    first = groups.withColumn("h", F.explode(F.sequence(F.col("g"), F.lit(n_groups))))
+    other = groups.select(F.col("g").alias("h"), *[F.col(c).alias("o" + c) for c in groups.columns if c != "g"],
+                          F.explode(F.sequence(F.lit(0), F.col("g"))).alias("g"))
+    return first.join(other, ["g", "h"])
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """``(node, label)``: label = smallest node id of the node's component.
 
     Min-label propagation over both edge directions, then pointer jumping
-    (label <- label of label); each round is checkpointed reliably. Runs to
+    (label <- label of label); each round is written to the shared folder. Runs to
     convergence; ``max_rounds`` only turns a runaway loop into an error, it
     never returns unconverged labels.
     """
-    both = (edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-                 .unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))))
-    both = cut_lineage(both)
-    labels = cut_lineage(nodes.select("node", F.col("node").alias("label")))
-    # labels only ever decrease, so "some label changed" == "the sum dropped"
-    total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-    for _ in range(max_rounds):
-        offers = (both.join(labels.withColumnRenamed("node", "b"), "b")
-                      .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("offer")))
-        step = (labels.join(offers, "node", "left")
-                      .select("node", F.least("label", F.coalesce("offer", "label")).alias("label")))
-        jumped = (step.alias("s").join(step.alias("t"), F.col("s.label") == F.col("t.node"), "left")
-                      .select(F.col("s.node").alias("node"),
-                              F.least(F.col("s.label"), F.coalesce(F.col("t.label"), F.col("s.label")))
-                              .alias("label")))
-        labels = cut_lineage(jumped)
-        new_total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if new_total == total:
-            return labels
-        total = new_total
+    # reread tables: a checkpoint hands the plan's constraints on, which multiply from round to round
+    with scratch_tables(nodes.sparkSession) as keep:
+        both = keep(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+        both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        labels = keep(nodes.select("node", F.col("node").alias("label")))
+        # labels only ever decrease, so "some label changed" == "the sum dropped"
+        total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        for _ in range(max_rounds):
+            offers = (both.join(labels.withColumnRenamed("node", "b"), "b")
+                          .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("offer")))
+            step = keep(labels.join(offers, "node", "left")
+                        .select("node", F.least("label", F.coalesce("offer", "label")).alias("label")))
+            jumped = (step.alias("s").join(step.alias("t"), F.col("s.label") == F.col("t.node"), "left")
+                          .select(F.col("s.node").alias("node"),
+                                  F.least(F.col("s.label"), F.coalesce(F.col("t.label"), F.col("s.label")))
+                                  .alias("label")))
+            labels = keep(jumped)
+            new_total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+            if new_total == total:
+                return cut_lineage(labels)
+            total = new_total
     raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
 
 
@@ -307,7 +407,8 @@ def _against_centroids(vectors: DataFrame, cents: DataFrame, body, schema: str,
     Vectors come in hash chunks of about ``block`` rows, centroids in blocks
     of ``topics_per_block``; each block is copied to ``salts`` keys, so a
     block is never one reducer's key. Nothing is read by the driver but the
-    row count and the largest topic number. ``vectors`` may carry ``topic``.
+    row count and the largest topic number. ``vectors`` may carry ``topic``, any
+    number that the body takes per row.
     """
     size = vectors.agg(F.count(F.lit(1))).first()[0]
     last = cents.agg(F.max("topic")).first()[0]
@@ -348,14 +449,20 @@ def topic_probability(vectors: DataFrame, assignment: DataFrame, key: str = "vec
     The full matrix has vectors x topics rows; :func:`assign_topics` gives the
     assigned topic's probability alone, without it. No topics: no rows.
     """
+    def sums(ids, own, tids, e):
+        return pd.DataFrame({key: ids, "total": e.sum(axis=1)})
+
     def all_topics(ids, own, tids, e):
         return pd.DataFrame({key: np.repeat(ids, len(tids)), "topic": np.tile(tids, len(ids)),
-                             "e": e.reshape(-1)})
+                             "probability": (e / own[:, None]).reshape(-1)})
 
+    # the sums first, one row per vector and centroid block: the matrix itself is never shuffled
     cents = cut_lineage(topic_centroids(vectors, assignment, key, col))
-    long = _against_centroids(vectors.select(key, col), cents, all_topics,
-                              f"{key} long, topic int, e double", key, col)
-    return long.select(key, "topic", (F.col("e") / F.sum("e").over(Window.partitionBy(key))).alias("probability"))
+    rows = vectors.select(key, col)
+    totals = (_against_centroids(rows, cents, sums, f"{key} long, total double", key, col)
+              .groupBy(key).agg(F.sum("total").alias("topic")))
+    return _against_centroids(rows.join(cut_lineage(totals), key), cents, all_topics,
+                              f"{key} long, topic int, probability double", key, col)
 
 
 def assign_topics(vectors: DataFrame, key: str = "vec_id", col: str = "embedding",
@@ -412,18 +519,23 @@ def stable_clusters(vectors: DataFrame, key: str = "vec_id", col: str = "embeddi
     spark = vectors.sparkSession
     eps = params.eps_cosine
     nodes = cut_lineage(collapse_copies(vectors, key, col))
-    edges = cut_lineage(eps_edges(nodes, params))
+    edges = cut_lineage(eps_forest(nodes, params))
     top = edges.agg(F.max("cosine")).first()[0]
     members = node_members(vectors, key, col)
     if top is None:
         return members.select(key, F.lit(-1).alias("topic"))
     lam = [eps + j * (top - eps) / levels for j in range(levels)] + [top]
-    per_level = None
-    for j in range(levels):
-        lj = connected_components(nodes.select("node"), edges.filter(F.col("cosine") >= lam[j]))
-        lj = lj.withColumn("level", F.lit(j))
-        per_level = lj if per_level is None else per_level.unionByName(lj)
-    labels = cut_lineage(per_level)                                   # (node, label, level)
+    # all levels in one search: a node has a vertex per level, an edge joins those up to its own level
+    held = F.array(*[F.when(F.col("cosine") >= lam[j], F.lit(j)) for j in range(levels)])
+    vertex = lambda c: (F.col(c) * levels + F.col("level")).alias(c)                     # noqa: E731
+    everywhere = nodes.select("node", F.explode(F.array(*[F.lit(j) for j in range(levels)])).alias("level"))
+    found = connected_components(
+        everywhere.select(vertex("node")),
+        edges.select("src", "dst", F.explode(F.array_compact(held)).alias("level")).select(vertex("src"), vertex("dst")))
+    level = F.pmod("node", F.lit(levels))
+    labels = cut_lineage(found.select(F.floor((F.col("node") - level) / levels).cast("long").alias("node"),
+                                      F.floor((F.col("label") - level) / levels).cast("long").alias("label"),
+                                      level.cast("int").alias("level")))                 # (node, label, level)
     steps = spark.createDataFrame([(j, float(lam[j + 1] - lam[j])) for j in range(levels)],
                                   "level int, dlam double")
     clusters = cut_lineage(

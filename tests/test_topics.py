@@ -242,3 +242,49 @@ def test_rank_by_size_exact_with_ties(spark):
     got = {r["label"]: r["topic"] for r in K.rank_by_size(df, bucket_width=16).collect()}
     want = {lab: i for i, (lab, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
     assert got == want
+
+
+def _planted(spark, n=300):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(6, 12))
+    vecs = np.concatenate([c + 0.3 * rng.normal(size=(n // 6, 12)) for c in centres])
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(vecs)]
+    return rows, spark.createDataFrame(rows, "node long, vec array<float>").withColumn("weight", F.lit(1))
+
+
+def test_graph_shuffles_a_fixed_number_of_copies_of_the_nodes(spark):
+    """Every node goes to each of the groups once, where cells and chunks sent it n / block times."""
+    _, nodes = _planted(spark)
+    for n in (120, 300):
+        groups, _ = K._groups(nodes.filter(F.col("node") < n), 8, 4)
+        sides = K._group_pairs(groups).agg(F.sum(F.size("ids")), F.sum(F.size("oids"))).first()
+        assert groups.count() == K.GROUPS and sum(sides) == n * (K.GROUPS + 1)
+
+
+def test_links_and_forest_have_the_components_of_all_edges(spark):
+    rows, nodes = _planted(spark)
+    odd = nodes.unionByName(spark.createDataFrame([(900, None), (901, [0.0] * 12), (902, [float("nan")] * 12)],
+                                                  "node long, vec array<float>").withColumn("weight", F.lit(1)))
+    for eps in (0.6, 0.9):
+        p = Params(eps_cosine=eps)
+        want = {r[0]: r[1] for r in K.connected_components(nodes, K.eps_edges(odd, p, 6, 16)).collect()}
+        links = K.eps_links(odd, p, 6, 16)
+        assert {r[0]: r[1] for r in K.connected_components(nodes, links).collect()} == want
+        forest = K.eps_forest(odd, Params(eps_cosine=0.6), 6, 16, pending=50).filter(F.col("cosine") >= eps)
+        assert {r[0]: r[1] for r in K.connected_components(nodes, forest).collect()} == want
+    assert len(set(want.values())) > 6
+
+
+def test_probabilities_are_not_ranked_in_a_window(spark):
+    _, nodes = _planted(spark)
+    v = nodes.withColumnRenamed("node", "vec_id").withColumnRenamed("vec", "embedding")
+    prob = K.topic_probability(v, K.density_clusters(v, params=Params(eps_cosine=0.7)))
+    assert "Window" not in prob._jdf.queryExecution().optimizedPlan().toString()
+    assert prob.groupBy("vec_id").agg(F.sum("probability").alias("s")).filter(F.abs(F.col("s") - 1) > 1e-9).count() == 0
+
+
+def test_embedded_rows_are_never_dense(spark, monkeypatch):
+    from framelens.plans import queries
+    out = queries.q_embed_docs(spark, SF_CHECK)
+    assert "vector_to_array" not in out._jdf.queryExecution().optimizedPlan().toString().lower().replace("vectortoarray", "vector_to_array")
+    assert out.filter("nnz > 0 and abs(norm - 1) < 1e-6").count() > 700
