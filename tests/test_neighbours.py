@@ -44,3 +44,14 @@ def test_few_rows_and_no_rows(spark):
     assert nearest_neighbours(spark.createDataFrame([], schema), 15).count() == 0
     got = listed(nearest_neighbours(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], schema)))
     assert {i: [j for j, _ in v] for i, v in got.items()} == {1: [3, 2], 2: [3, 1], 3: [1, 2]}
+
+
+def test_blocks_are_shuffled_a_fixed_number_of_times(spark):
+    from pyspark.sql import functions as F
+    from framelens.operators import neighbours as N
+    rng = np.random.default_rng(5)
+    for n in (200, 800):
+        rows = [(i, [float(a) for a in v], [i]) for i, v in enumerate(rng.normal(size=(n, 8)))]
+        index = N.build_index(spark.createDataFrame(rows, "node long, vec array<double>, extra array<long>"), 4, 8)
+        sent = N.streamed(index.blocks, index.blocks, N.part_count(index)).agg(F.sum(F.size("ids"))).first()[0]
+        assert sent <= n * (N.PARTS + 1)
