@@ -288,3 +288,31 @@ def test_embedded_rows_are_never_dense(spark, monkeypatch):
     out = queries.q_embed_docs(spark, SF_CHECK)
     assert "vector_to_array" not in out._jdf.queryExecution().optimizedPlan().toString().lower().replace("vectortoarray", "vector_to_array")
     assert out.filter("nnz > 0 and abs(norm - 1) < 1e-6").count() > 700
+
+
+def test_reduce_topics_equals_merging_the_counts(spark):
+    """Rounds over unmerged topics give what merging the counts in every round gives."""
+    rng = np.random.default_rng(9)
+    n = rng.integers(0, 5, size=(9, 40)) * (rng.random((9, 40)) < 0.5)
+    n[0] += 1
+    topic = np.arange(-1, 8)
+    rows = [("all", int(t), f"w{j}", int(n[i, j])) for i, t in enumerate(topic) for j in range(40) if n[i, j]]
+    counts = spark.createDataFrame(rows, "model_group string, topic int, term string, n long")
+    docs = spark.createDataFrame([("all", int(t), "x") for t in topic for _ in range(int(t) + 3)],
+                                 "model_group string, topic int, text string")
+    size = {int(t): int(t) + 3 for t in topic}
+    group = {int(t): int(t) for t in topic}
+    while len(set(group.values()) - {-1}) > 3:
+        m = {g: sum(n[i] for i, t in enumerate(topic) if group[int(t)] == g) for g in sorted(set(group.values()))}
+        avg, f = int(np.mean([v.sum() for v in m.values()])), sum(m.values())
+        w = {g: v / v.sum() * np.log(avg / f + 1) for g, v in m.items() if g != -1}
+        sim = {(a, b): round(float(w[a] @ w[b] / np.linalg.norm(w[a]) / np.linalg.norm(w[b])), 12)
+               for a in w for b in w if a < b}
+        a, b = max(sim, key=lambda p: (sim[p], -p[0], -p[1]))
+        total = {g: sum(size[t] for t in size if group[t] == g) for g in (a, b)}
+        gone, kept = (a, b) if total[a] < total[b] else (b, a)
+        group = {t: kept if g == gone else g for t, g in group.items()}
+    total = {g: sum(size[t] for t in size if group[t] == g) for g in set(group.values()) - {-1}}
+    order = {g: i for i, g in enumerate(sorted(total, key=lambda g: (-total[g], g)))}
+    got = {r["topic"]: r["new_topic"] for r in topics.reduce_topics(docs, counts, 3).collect()}
+    assert got == {t: order.get(g, -1) for t, g in group.items()}
