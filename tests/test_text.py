@@ -57,3 +57,21 @@ def test_compose_and_parse_date(spark):
     rows = df.select(S.compose_text("t", "b").alias("x"), S.parse_date("d").alias("dt")).collect()
     assert rows[0]["x"] == ". body" and str(rows[0]["dt"]) == "2020-02-03"
     assert rows[1]["dt"] is None
+
+
+def test_clean_text_agrees_with_the_line_by_line_rule(spark):
+    """Texts without a phrase skip the search of their lines; the outcome is the rule's."""
+    texts = ["a\n\nb  c\t d", "  x　\r\ny\x85z ", "NEWSLETTER\nkept\n\n\n\n\n  end ", "one\x1ctwo CooKie",
+             "© x\ny", "a     b", "\n", " cookie rest\x0bsub", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    lines = F.filter(F.split("t", S.LINE_BREAK), lambda ln: ~ln.rlike(S.boilerplate_pattern()))
+    rule = F.coalesce(F.trim(F.regexp_replace(F.array_join(lines, " "), S.WHITESPACE_RUN, " ")), F.lit(""))
+    for row in df.select("t", S.clean_text("t").alias("got"), rule.alias("rule")).collect():
+        assert row["got"] == row["rule"], repr(row["t"])
+
+
+def test_every_whitespace_character_collapses(spark):
+    """The plain-text test knows every character of the whitespace pattern."""
+    chars = spark.createDataFrame([(chr(i),) for i in range(1, 0xD800)], "c string")
+    matched = {r["c"] for r in chars.filter(F.col("c").rlike(f"^{S.WHITESPACE_RUN}$")).collect()}
+    assert matched == {" ", "\n", *S.RARE_WHITESPACE}
