@@ -17,11 +17,19 @@ left to the adaptive skew join where the profile is too large to broadcast.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..params import DEFAULT, Params
+from ..session import cut_lineage
 
+# A profile of up to so many (language, trigram) rows goes to every task.
+BROADCAST_ROWS = 1_000_000
 NON_LETTERS = r"[^\p{L}]+"
 
 
@@ -32,41 +40,49 @@ def normalized_letters(text) -> Column:
                     F.lit(" "))
 
 
-def trigrams(norm: str) -> Column:
-    """All overlapping character trigrams of a normalised-text column.
-
-    One linear regex pass: each match consumes one character (a whole code
-    point, also beyond the basic plane) and captures three by look-ahead.
-    """
-    return F.regexp_extract_all(F.col(norm), F.lit("(?=(.{3}))."), F.lit(1))
-
-
 def trigram_counts(docs: DataFrame, keys: list, text: str = "text") -> DataFrame:
     """``(keys..., tri, c)``: trigram counts of each row, counted inside the row.
 
-    The sorted trigram array is cut where its value changes. A text without
-    trigrams gives one row with null ``tri`` and ``c``. The one-element
-    ``inline`` steps keep the arrays from being recomputed per element.
+    A trigram is three code points, held as one integer while a text's are
+    sorted and counted. A text without trigrams gives one row with null ``tri``
+    and ``c``.
     """
-    listed = (docs.select(*keys, normalized_letters(text).alias("_norm"))
-                  .select(*keys, F.inline(F.array(F.struct(F.sort_array(trigrams("_norm")).alias("_s"))))))
-    s, n = F.col("_s"), F.size("_s")
-    firsts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-    cut = listed.select(*keys, "_s", F.inline(F.array(F.struct(
-        F.when(n > 0, firsts).otherwise(F.array().cast("array<int>")).alias("_f")))))
-    f = F.col("_f")
-    runs = F.transform(f, lambda p, j: F.struct(
-        F.get(s, p).alias("tri"),
-        (F.coalesce(F.get(f, j + 1), F.size(s)) - p).cast("long").alias("c")))
-    return cut.select(*keys, F.inline_outer(runs))
+    listed = docs.select(*keys, normalized_letters(text).alias("_norm"))
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in listed.schema.fields[:-1]],
+                           T.StructField("tri", T.StringType()), T.StructField("c", T.LongType())])
+    names, step = schema.names, 256     # rows whose counts leave in one batch
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                found = [_counted(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+                rows = pa.array(np.repeat(np.arange(len(found)), [len(n) for _, n in found]))
+                codes, n = (np.concatenate(x) for x in zip(*found))
+                points = np.stack([codes >> 42, (codes >> 21) & 0x1FFFFF, codes & 0x1FFFFF], 1).astype("<u4")
+                none = n == 0
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(i).take(rows) for i in range(batch.num_columns - 1)],
+                     pa.array(points.view("<U3").ravel(), pa.string(), mask=none), pa.array(n, pa.int64(), mask=none)],
+                    names)
+
+    return listed.mapInArrow(counted, schema)
+
+
+def _counted(norm: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigrams of one text as integers, and their counts; one count 0 for a text without."""
+    p = np.frombuffer(norm.encode("utf-32-le"), "<u4").astype(np.int64)
+    if len(p) < 3:
+        return np.zeros(1, np.int64), np.zeros(1, np.int64)
+    return np.unique((p[:-2] << 42) | (p[1:-1] << 21) | p[2:], return_counts=True)
 
 
 def train_profiles(labelled: DataFrame, key: str = "doc_id", text: str = "text",
                    label: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(profile ``(lang, tri, logn)``, per-language constants ``(lang, prior, denom)``)."""
     lab = labelled.filter(F.col(label).isNotNull()).select(F.col(label).alias("lang"), text)
-    counts = (trigram_counts(lab, ["lang"], text).filter(F.col("tri").isNotNull())
-              .groupBy("lang", "tri").agg(F.sum("c").alias("n")))
+    # written once: profile and constants, read more than once, follow from this small table
+    counts = cut_lineage(trigram_counts(lab, ["lang"], text).filter(F.col("tri").isNotNull())
+                         .groupBy("tri", "lang").agg(F.sum("c").alias("n")).select("lang", "tri", "n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("N"))
     docs = lab.groupBy("lang").agg(F.count(F.lit(1)).alias("d"))
     # Vocabulary size V, split by the first language of each trigram so that
@@ -95,6 +111,8 @@ def detect_language(docs: DataFrame, profile: DataFrame, consts: DataFrame, key:
     langs = consts.orderBy("lang").collect()
     weights = profile.groupBy("tri").agg(
         F.map_from_entries(F.collect_list(F.struct("lang", "logn"))).alias("_w"))
+    if profile.count() <= BROADCAST_ROWS:
+        weights = F.broadcast(weights)
     tc = trigram_counts(docs.select(key, F.col(hint).alias("_hint"), text), [key, "_hint"], text)
     sums = (tc.join(weights, "tri", "left").groupBy(key, "_hint")
               .agg(F.coalesce(F.sum("c"), F.lit(0)).alias("_C"),
