@@ -6,7 +6,7 @@ import numpy as np
 
 from framelens.operators import modeling
 from framelens.operators.frames import frame_names
-from framelens.operators.svd import truncated_svd
+from framelens.operators.svd import gram_product, orthonormal, truncated_svd
 from framelens.params import DEFAULT
 from framelens.plans.queries import ArticlePlan
 
@@ -106,3 +106,33 @@ def test_saved_model_places_texts_as_before(spark, tmpdir_path):
     nothing, = modeling.fit_topics(spark.createDataFrame([(1, None)], "doc_id long, text string"), PARAMS)
     modeling.save_model(nothing, tmpdir_path)
     assert modeling.load_model(spark, tmpdir_path).pca is None
+
+
+def test_passes_of_the_decomposition_leave_no_partials_on_disk(spark):
+    """A partial of every task and pass stayed on disk until the driver collected its garbage."""
+    rng = np.random.default_rng(2)
+    rows = [(sorted(rng.choice(1 << 14, 30, replace=False).tolist()), rng.uniform(size=30).tolist()) for _ in range(64)]
+    table = spark.createDataFrame(rows, "at array<int>, w array<double>").repartition(16).localCheckpoint()
+    store = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        files = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.getAllFiles())
+        return sum(f.length() for f in files if f.getName().startswith("shuffle_"))
+
+    before = held()
+    block = orthonormal(rng.normal(size=(1 << 14, 64)))
+    got = gram_product(table, block)
+    assert held() - before < 1 << 20                    # a partial is 8 MB
+    dense = np.zeros((64, 1 << 14))
+    for i, (at, w) in enumerate(rows):
+        dense[i, at] = w
+    assert np.allclose(got, dense.T @ (dense @ block), atol=1e-12)
+
+
+def test_orthonormal_basis_in_pieces():
+    rng = np.random.default_rng(4)
+    for n, width in ((5, 3), (3, 3), (9000, 80), (4096 + 7, 20), (8192, 5)):
+        x = rng.normal(size=(n, width))
+        q = orthonormal(x.copy())
+        assert np.allclose(q.T @ q, np.eye(width), atol=1e-12)
+        assert np.allclose(q @ (q.T @ x), x, atol=1e-9)
