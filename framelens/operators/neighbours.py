@@ -30,6 +30,7 @@ from ..session import cut_lineage
 from .topk import top_k_per_group
 
 SLACK = 1e-9
+SPARSE = 1 / 32             # share of pairs past the screen up to which they are decided one by one
 
 
 @dataclass(frozen=True)
@@ -88,9 +89,11 @@ PARTS, PART_NODES = 16, 1 << 16
 
 
 def part_count(index: Index) -> int:
-    """Tasks that ask: ``PARTS``, more where one would hold over ``PART_NODES`` nodes."""
+    """Tasks that ask: ``PARTS``, more where one would hold over ``PART_NODES`` nodes; whole rounds of the cores up to four times that."""
     n = index.blocks.agg(F.sum(F.size("ids"))).first()[0] or 0
-    return max(PARTS, -(-n // PART_NODES))
+    least, cores = max(PARTS, -(-n // PART_NODES)), index.blocks.sparkSession.sparkContext.defaultParallelism
+    whole = -(-least // cores) * cores
+    return whole if whole <= 4 * PARTS else least
 
 
 def streamed(asks: DataFrame, others: DataFrame, n_parts: int) -> DataFrame:
@@ -191,8 +194,17 @@ def _listed(index: Index, k: int, cosine: bool):
         flat, start = np.concatenate([np.asarray(m, dtype=np.int64) for m in members]), np.cumsum(sizes) - sizes
         worst = lists.dist[:, -1]
         if cosine:
-            found = []
+            found, slight = [], y.astype(np.float32).T
+            # single precision screens, with room for its rounding on unit vectors; double precision decides
+            room = 1e-6 + (y.shape[1] + 4) * 2.0 ** -23
             for at in np.array_split(rows, max(1, -(-len(rows) // 4096))):
+                least = (1.0 - worst[at] - room).astype(np.float32)
+                i, j = np.nonzero(asking.slight[at] @ slight >= least[:, None])
+                if len(i) <= SPARSE * len(at) * len(y):
+                    dot = np.einsum("ij,ij->i", asking.x[at[i]], y[j])
+                    ok = 1.0 - dot <= worst[at[i]] + 1e-6
+                    found.append((at[i[ok]], j[ok], 1.0 - np.round(dot[ok], 6)))
+                    continue
                 dot = asking.x[at] @ y.T
                 i, j = np.nonzero(1.0 - dot <= worst[at][:, None] + 1e-6)
                 found.append((at[i], j, 1.0 - np.round(dot[i, j], 6)))
@@ -212,6 +224,8 @@ def _listed(index: Index, k: int, cosine: bool):
                 continue
             ids = np.concatenate([np.asarray(m.ids) for m in mine])
             asking = Asking(np.concatenate([np.stack(m.vecs) for m in mine]), np.full(len(ids), np.inf), pivots, radii)
+            if cosine:
+                asking.slight = asking.x.astype(np.float32)
             lists, done, at = _Lists(len(ids), k), {m.blk for m in mine}, 0
 
             def reach():

@@ -1,4 +1,4 @@
-"""Non-linear reduction: eigenvectors of the neighbour graph, by block iteration on joins.
+"""Non-linear reduction: eigenvectors of the neighbour graph, by block iteration on packed parts.
 
 The graph is the fuzzy neighbour graph of the UMAP paper: each distinct
 vector asks its k nearest others, weights fall from 1 at the nearest with a
@@ -8,9 +8,9 @@ normalised adjacency ``D^-1/2 W D^-1/2`` other than the trivial one, divided
 by the root of the degree (the paper's first layout; its force-directed
 refinement, a sequence of random single-edge moves, is not run).
 
-A round applies the matrix a few times (each a join with the edges and a sum
-per node, ``dims + extra`` columns wide), then takes the best vectors in the
-span of everything applied so far. That choice needs inner products alone: a
+A round applies the matrix a few times (each one pass of array products over
+the edges, packed by part, ``dims + extra`` columns wide), then takes the best
+vectors in the span of everything applied so far. That choice needs inner products alone: a
 square of at most ``(hops + 2) * (dims + extra)`` numbers, added up from one
 partial per task. Nothing in proportion to the nodes reaches the driver.
 """
@@ -22,13 +22,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
-from ..session import cut_lineage, scratch_tables
+from ..session import cut_lineage, scratch_tables, shuffles_released
 from .neighbours import build_index, node_lists, nodes_of
 
+BLOCK = "part int, x binary"
+SMALL_PART, PART_NODES = 1 << 10, 1 << 16       # nodes of a part: so many at least while cores are left, and at most
 RANK_CUT = 1e-10        # directions of the span below this share of its largest are dropped
 
 
@@ -41,23 +44,26 @@ class Spectral:
 
 
 def _fuzzy(k: int):
-    """mapInPandas body: a node's distances to one-way weights (scale by bisection)."""
+    """mapInPandas body: the nodes' distances to one-way weights (scale by bisection, all nodes of a batch at once)."""
     target = math.log2(max(k, 2))
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for node, others, dist in zip(pdf["node"], pdf["others"], pdf["dist"]):
-                d = np.asarray(dist, dtype=np.float64)
-                d = d - d.min()
-                low, high = 0.0, max(float(d.max()), 1e-12) * 64
-                for _ in range(64):
-                    mid = (low + high) / 2
-                    low, high = (mid, high) if np.exp(-d / mid).sum() < target else (low, mid)
-                out.append(pd.DataFrame({"src": node, "dst": np.asarray(others, dtype=np.int64),
-                                         "w": np.exp(-d / high)}))
-            if out:
-                yield pd.concat(out)
+            if not len(pdf):
+                continue
+            sizes = np.array([len(d) for d in pdf["dist"]])
+            held = np.arange(sizes.max()) < sizes[:, None]
+            d = np.full(held.shape, np.inf)                                 # weight 0 beyond a short list
+            d[held] = np.concatenate(pdf["dist"].to_numpy())
+            d -= d.min(axis=1, keepdims=True)
+            low = np.zeros((len(d), 1))
+            high = np.maximum(np.where(held, d, 0.0).max(axis=1, keepdims=True), 1e-12) * 64
+            for _ in range(64):
+                mid = (low + high) / 2
+                less = np.exp(-d / mid).sum(axis=1, keepdims=True) < target
+                low, high = np.where(less, mid, low), np.where(less, high, mid)
+            yield pd.DataFrame({"src": np.repeat(pdf["node"].to_numpy(), sizes),
+                                "dst": np.concatenate(pdf["others"].to_numpy()).astype(np.int64), "w": np.exp(-d / high)[held]})
     return run
 
 
@@ -75,20 +81,127 @@ def fuzzy_graph(nodes: DataFrame, k: int, cosine: bool, n_pivots: int = 64, bloc
                                            .otherwise(0.0)).alias("w"))
 
 
-def _gram(rows: DataFrame, width: int) -> np.ndarray:
-    """Inner products of the columns of ``s``, with the trivial vector ``q`` as the last."""
-    def run(batches):
-        total = np.zeros((width + 1, width + 1))
-        for pdf in batches:
-            if len(pdf):
-                x = np.column_stack([np.stack(pdf["s"].to_numpy()), pdf["q"].to_numpy()])
-                total += x.T @ x
-        yield pd.DataFrame({"g": [total.ravel()]})
+class Parts:
+    """A graph and vectors over its nodes, both cut by part: a hop is a product of arrays, not a join of edges.
+
+    Nodes are dealt to parts by hash and numbered inside them. A vector block
+    is one row ``(part, x)`` per part; the edges are one row per part and part
+    of the other ends. In a hop the blocks of all parts pass by each part one
+    at a time, each after its edges, so a task holds its own sums, one block
+    and its edges to it.
+    """
+
+    def __init__(self, keep, edges: DataFrame, degree: DataFrame, count: int, total: float, cols: int, seed: int):
+        self.keep = keep
+        cores = edges.sparkSession.sparkContext.defaultParallelism
+        self.n = max(min(cores, -(-count // SMALL_PART)), -(-count // PART_NODES))
+        part = F.pmod(F.xxhash64("node"), F.lit(self.n)).cast("int")
+        order = F.row_number().over(Window.partitionBy("part").orderBy("node"))        # PART_NODES rows, about
+        index = keep(degree.select("node", F.sqrt("degree").alias("root"), part.alias("part")).withColumn(
+            "pos", (order - 1).cast("int")))
+        start = [(F.xxhash64("node", F.lit(seed), F.lit(c)) / F.lit(2.0 ** 63)) for c in range(cols)]
+        rows = F.sort_array(F.collect_list(F.struct("pos", "node", "root", F.array(*start).alias("s"))))
+        self.base = keep(index.groupBy("part").agg(rows.alias("_r")).select(
+            "part", F.col("_r.node").alias("node"), F.col("_r.root").alias("root"), F.flatten("_r.s").alias("s")))
+        self.q = self._bytes("root", 1 / math.sqrt(total))
+        self.start = self._bytes("s", 1.0)
+        src, dst = index.toDF("src", "_a", "part", "_i"), index.toDF("dst", "_b", "other", "_j")
+        cell = F.sort_array(F.collect_list(F.struct("_i", "_j", (F.col("w") / (F.col("_a") * F.col("_b"))).alias("w"))))
+        sizes = index.groupBy("part").agg(F.count(F.lit(1)).alias("size"))                # n rows
+        self.edges = keep(edges.join(src, "src").join(dst, "dst").groupBy("part", "other").agg(cell.alias("_e"))
+                          .join(F.broadcast(sizes), "part")
+                          .select("part", "other", "size", F.col("_e._i").alias("i"), F.col("_e._j").alias("j"),
+                                  F.col("_e.w").alias("w")))
+
+    def _bytes(self, col: str, factor: float) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    x = batch.column(1)[i].values.to_numpy(zero_copy_only=False) * factor
+                    yield _block(batch.column(0)[i].as_py(), x)
+        return self.keep(self.base.select("part", col).mapInArrow(run, BLOCK))
+
+    def hop(self, x: DataFrame, cols: int) -> DataFrame:
+        """The product of the normalised adjacency with a block of ``cols`` vectors."""
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("i", "array<int>"), ("j", "array<int>"), ("w", "array<double>"))]
+        blocks = x.select(F.explode(F.sequence(F.lit(0), F.lit(self.n - 1))).alias("part"), F.col("part").alias("other"),
+                          F.lit(1).alias("kind"), F.lit(0).cast("long").alias("size"), *none, "x")
+        edges = self.edges.select("part", "other", F.lit(0).alias("kind"), "size", "i", "j", "w",
+                                  F.lit(None).cast("binary").alias("x"))
+        rows = edges.unionByName(blocks).repartitionById(self.n, F.col("part")).sortWithinPartitions("part", "other", "kind")
+
+        def run(batches):
+            part, total, held = None, None, None
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    own, other, kind, size = (batch.column(c)[r].as_py() for c in range(4))
+                    if own != part:
+                        if total is not None:
+                            yield _block(part, total)
+                        part, total, held = own, None, None
+                    if kind == 0:
+                        if total is None:
+                            total = np.zeros((size, cols))
+                        held = other, *(batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in (4, 5, 6))
+                    elif held is not None and held[0] == other:
+                        _, i, j, w = held
+                        x = np.frombuffer(batch.column(7)[r].as_buffer()).reshape(-1, cols)
+                        first = np.flatnonzero(np.diff(i, prepend=-1))                  # entries are ordered by i
+                        total[i[first]] += np.add.reduceat(w[:, None] * x[j], first, axis=0)
+            if total is not None:
+                yield _block(part, total)
+        return self.keep(rows.mapInArrow(run, BLOCK))
+
+    def _together(self, blocks: list[DataFrame], body, schema: str) -> DataFrame:
+        """``body`` over ``(part, all vectors of the blocks side by side, trivial vector)``, part by part."""
+        rows = self.q.select("part", F.lit(-1).alias("i"), "x")
+        for i, x in enumerate(blocks):
+            rows = rows.unionByName(x.select("part", F.lit(i).alias("i"), "x"))
+        last = len(blocks) - 1
+
+        def run(batches):
+            held = []
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    held.append(np.frombuffer(batch.column(2)[r].as_py()))
+                    if batch.column(1)[r].as_py() == last:
+                        q = held[0]
+                        yield from body(batch.column(0)[r].as_py(), np.hstack([x.reshape(len(q), -1) for x in held[1:]]), q)
+                        held = []
+        return rows.repartitionById(self.n, F.col("part")).sortWithinPartitions("part", "i").mapInArrow(run, schema)
 
-    parts = rows.select("s", "q").mapInPandas(run, "g array<double>")
-    cells = (parts.select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
-             .orderBy("i").collect())                                      # (width + 1)^2 numbers
-    return np.array([r["v"] for r in cells]).reshape(width + 1, width + 1)
+    def gram(self, blocks: list[DataFrame]) -> np.ndarray:
+        """Inner products of all vectors of the blocks, with the trivial vector as the last."""
+        def body(_, s, q):
+            x = np.column_stack([s, q])
+            yield pa.RecordBatch.from_arrays([pa.array([(x.T @ x).ravel().tolist()], pa.list_(pa.float64()))], ["g"])
+
+        with shuffles_released(self.q.sparkSession):
+            cells = (self._together(blocks, body, "g array<double>").select(F.posexplode("g").alias("i", "v"))
+                     .groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect())     # (all vectors + 1)^2 numbers
+        width = math.isqrt(len(cells))
+        return np.array([r["v"] for r in cells]).reshape(width, width)
+
+    def combined(self, blocks: list[DataFrame], y: np.ndarray, share: np.ndarray) -> DataFrame:
+        def body(part, s, q):
+            yield _block(part, s[:, :len(y)] @ y - np.outer(q, share))
+        return self.keep(self._together(blocks, body, BLOCK))
+
+    def rows(self, x: DataFrame, cols: int) -> DataFrame:
+        """``(node, s, root)`` of a block of vectors."""
+        def run(batches):
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    node, root = (batch.column(c)[r].values for c in (0, 1))
+                    s = pa.array(np.frombuffer(batch.column(2)[r].as_buffer()))
+                    ends = pa.array(np.arange(len(node) + 1, dtype=np.int32) * cols)
+                    yield pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(ends, s), root], ["node", "s", "root"])
+        return self.keep(self.base.join(x, "part").select("node", "root", "x").mapInArrow(
+            run, "node long, s array<double>, root double"))
+
+
+def _block(part: int, x: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["part", "x"])
 
 
 def _best_vectors(g: np.ndarray, cols: int):
@@ -107,15 +220,6 @@ def _best_vectors(g: np.ndarray, cols: int):
     return y, values, np.sqrt(np.maximum(sq, 0.0)), lead[:m] @ y
 
 
-def _combine(y: np.ndarray, share: np.ndarray):
-    def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                s = np.stack(pdf["s"].to_numpy())[:, :len(y)]
-                yield pdf.assign(s=list(s @ y - np.outer(pdf["q"].to_numpy(), share)))
-    return run
-
-
 def eigenvectors(keep, edges: DataFrame, dims: int, extra: int = 4, hops: int = 4, tolerance: float = 1e-3,
                  max_rounds: int = 60, seed: int = 42) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """``(node, s, root)`` with the leading eigenvectors in ``s`` and the root of the degree; values; residuals.
@@ -127,26 +231,18 @@ def eigenvectors(keep, edges: DataFrame, dims: int, extra: int = 4, hops: int =
     degree = keep(edges.groupBy("src").agg(F.sum("w").alias("degree")).withColumnRenamed("src", "node"))
     count, total = degree.agg(F.count(F.lit(1)), F.sum("degree")).first()
     cols = min(dims + extra, max(count - 1, 1))
-    roots = degree.select("node", F.sqrt("degree").alias("root"))
-    normal = keep(edges.join(roots.withColumnRenamed("node", "src"), "src").withColumnRenamed("root", "_a")
-                  .join(roots.withColumnRenamed("node", "dst"), "dst")
-                  .select("src", "dst", (F.col("w") / (F.col("_a") * F.col("root"))).alias("w")))
-    start = [(F.xxhash64("node", F.lit(seed), F.lit(c)) / F.lit(2.0 ** 63)) for c in range(cols)]
-    state = keep(roots.select("node", "root", (F.col("root") / math.sqrt(total)).alias("q"), F.array(*start).alias("s")))
-    schema = "node long, root double, q double, s array<double>"
+    parts = Parts(keep, edges, degree, count, total, cols, seed)
+    x = parts.start
     for _ in range(max_rounds):
-        for hop in range(hops + 1):
-            last = state.select(F.col("node").alias("dst"), F.slice("s", hop * cols + 1, cols).alias("x"))
-            image = (normal.join(last, "dst").groupBy("src")
-                     .agg(*[F.sum(F.col("w") * F.col("x")[c]).alias(f"_{c}") for c in range(cols)])
-                     .select(F.col("src").alias("node"), F.array(*[f"_{c}" for c in range(cols)]).alias("_image")))
-            state = keep(state.join(image, "node").select("node", "root", "q", F.concat("s", "_image").alias("s")))
-        y, values, residuals, share = _best_vectors(_gram(state, cols * (hops + 2)), cols)
+        blocks = [x]
+        for _ in range(hops + 1):
+            blocks.append(parts.hop(blocks[-1], cols))
+        y, values, residuals, share = _best_vectors(parts.gram(blocks), cols)
+        x = parts.combined(blocks, y, share)
         cols = len(values)
-        state = keep(state.select("node", "root", "q", "s").mapInPandas(_combine(y, share), schema))
         if (residuals[:dims] <= tolerance).all():
             break
-    return state, values[:dims], residuals[:dims]
+    return parts.rows(x, cols), values[:dims], residuals[:dims]
 
 
 def spectral_dims(vectors: DataFrame, key: str = "vec_id", col: str = "embedding", params: Params = DEFAULT,
